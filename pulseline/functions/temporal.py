@@ -32,6 +32,11 @@ def duration(text: str) -> int:
     return total
 
 
+def interval(text: str) -> Column:
+    """The duration as an interval literal."""
+    return F.expr(f"interval {duration(text)} microseconds")
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 

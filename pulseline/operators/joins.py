@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseline.functions.temporal import at, bin_of, duration
+from pulseline.functions.temporal import at, bin_of, duration, interval
 from pulseline.operators.skew import DEFAULT, Budget, salted_join
 
 
@@ -51,7 +51,7 @@ def overlap_join(
     resting = placed(right, "right_").withColumn("_bucket", bin_of(F.col(f"right_{ts}"), size_us))
 
     if left.isStreaming or right.isStreaming:
-        bound = F.expr(f"interval {size_us + hop_us} microseconds")
+        bound = interval(f"{size_us + hop_us} microseconds")
         near = (F.col(f"right_{ts}") >= F.col(f"left_{ts}") - bound) & (
             F.col(f"right_{ts}") <= F.col(f"left_{ts}") + bound
         )
@@ -96,7 +96,7 @@ def lookback(
     """
     if direction not in ("before", "after"):
         raise ValueError(f"direction must be before or after, not {direction!r}")
-    width = F.expr(f"interval {duration(within)} microseconds")
+    width = interval(within)
     low, high = (
         (F.col("anchor_ts") - width, F.col("anchor_ts"))
         if direction == "before"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseline.functions.temporal import duration, micros
+from pulseline.functions.temporal import duration, interval, micros
 from pulseline.operators.skew import DEFAULT, Budget, with_previous
 
 
@@ -14,7 +14,7 @@ def status_rows(last_seen: Column, until: Column, over: str, fail: str) -> Colum
     silence = micros(until) - micros(last_seen)
 
     def state(name: str, after: str) -> Column:
-        since = last_seen + F.expr(f"interval {duration(after)} microseconds")
+        since = last_seen + interval(after)
         row = F.struct(F.lit(name).alias("status"), since.alias("since"))
         return F.when(silence >= duration(after), row)
 

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
-from pulseline.plans import basics, patterns, places, timing
+from pulseline.plans import basics, patterns, places, reports, streams, timing
 
-QUERIES = {**basics.QUERIES, **timing.QUERIES, **patterns.QUERIES, **places.QUERIES}
+QUERIES = {
+    **basics.QUERIES,
+    **timing.QUERIES,
+    **patterns.QUERIES,
+    **places.QUERIES,
+    **reports.QUERIES,
+    **streams.QUERIES,
+}

@@ -80,11 +80,11 @@ def proximity_named(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(geo.named_proximity(df, pairs, "1 day", "6 hours", 1.0), 6, "distance")
 
 
-_TO_FENCE = distance_sql("lat", "lon", "40.00699e0", "-105.26284e0")
+TO_FENCE = distance_sql("lat", "lon", "40.00699e0", "-105.26284e0")
 
 _TRANSITIONS = f"""SELECT user_id, ts, event_id, CASE WHEN now_in THEN 'enter' ELSE 'leave' END AS transition
   FROM (SELECT *, lag(now_in, 1, FALSE) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was_in
-        FROM (SELECT *, {_TO_FENCE} <= 100000 AS now_in FROM loc))
+        FROM (SELECT *, {TO_FENCE} <= 100000 AS now_in FROM loc))
   WHERE now_in <> was_in"""
 
 
@@ -103,7 +103,7 @@ QUERIES = {
     ),
     "fence_membership": Query(
         fence_membership,
-        f"WITH {LOCATIONS} SELECT event_id, user_id, {_TO_FENCE} <= 100000 AS inside FROM loc",
+        f"WITH {LOCATIONS} SELECT event_id, user_id, {TO_FENCE} <= 100000 AS inside FROM loc",
     ),
     "geofence_transitions": Query(geofence_transitions, f"WITH {LOCATIONS} {_TRANSITIONS}"),
     "geofence_lines": Query(
@@ -115,17 +115,17 @@ QUERIES = {
     "inside_fence_hop": Query(
         inside_fence_hop,
         f"""WITH {LOCATIONS}
-            SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, round(min({_TO_FENCE}), 2) AS distance
-            FROM {hops("loc", 10, 6)} GROUP BY ws HAVING min({_TO_FENCE}) <= 20000""",
+            SELECT ws AS window_start, ws + INTERVAL 1 HOUR AS window_end, round(min({TO_FENCE}), 2) AS distance
+            FROM {hops("loc", 10, 6)} GROUP BY ws HAVING min({TO_FENCE}) <= 20000""",
     ),
     "count_in_radius": Query(
         count_in_radius,
-        f"WITH {LOCATIONS}, {NEWEST_LOCATION} SELECT count(*) AS n FROM newest WHERE {_TO_FENCE} <= 100000",
+        f"WITH {LOCATIONS}, {NEWEST_LOCATION} SELECT count(*) AS n FROM newest WHERE {TO_FENCE} <= 100000",
     ),
     "list_in_radius": Query(
         list_in_radius,
         f"""WITH {LOCATIONS}, {NEWEST_LOCATION}
-            SELECT user_id, round({_TO_FENCE}, 2) AS distance_m FROM newest WHERE {_TO_FENCE} <= 100000""",
+            SELECT user_id, round({TO_FENCE}, 2) AS distance_m FROM newest WHERE {TO_FENCE} <= 100000""",
     ),
     "radius_pairs": Query(
         radius_pairs,
