@@ -160,12 +160,15 @@ def _close_pairs(
     fields = ["id", "tie", "hop", *limits]
     resting = placed.select(*[F.col(c).alias(f"r_{c}") for c in fields], *grid)
     steps = F.array(
-        *[F.struct(*[F.lit(s).alias(g) for g, s in zip(grid, o)]) for o in _forward(len(grid))]
+        *[
+            F.struct(*[F.lit(s).alias(g) for g, s in zip(grid, o)], F.lit(not any(o)).alias("own"))
+            for o in _forward(len(grid))
+        ]
     )
     looking = placed.withColumn("_step", F.explode(steps)).select(
         *[F.col(c).alias(f"l_{c}") for c in fields],
         *[(F.col(g) + F.col(f"_step.{g}")).alias(g) for g in grid],
-        F.forall(F.array(*[F.col(f"_step.{g}") for g in grid]), lambda s: s == 0).alias("_own"),
+        F.col("_step.own").alias("_own"),
     )
     close = (F.col("l_id") != F.col("r_id")) & (
         F.abs(F.col("l_hop") - F.col("r_hop")) < size_us // hop_us
@@ -266,11 +269,13 @@ def named_proximity(
 
     ``pairs`` has ``left_id`` and ``right_id``. The distance is in coordinate units.
     """
-    watched = (
-        pairs.select(F.explode(F.array("left_id", "right_id")).alias(device)).distinct()
+    ends = pairs.select(
+        "left_id",
+        "right_id",
+        F.posexplode(F.array("left_id", "right_id")).alias("_side", device),
     )
     fixes = hop_aggregate(
-        df.join(watched, device, "left_semi"),
+        df.join(ends.select(device), device, "left_semi"),
         [device],
         size,
         slide,
@@ -278,15 +283,17 @@ def named_proximity(
         ts=ts,
         dense=False,
     )
-    left = fixes.select(
-        F.col(device).alias("left_id"), "window_start", "window_end", F.col("fix").alias("_a")
+    # One grouping brings both ends of a pair together, instead of a join of positions with
+    # themselves. Each side has at most one row per pair and window.
+    both = (
+        fixes.join(ends, device)
+        .groupBy("left_id", "right_id", "window_start", "window_end")
+        .agg(*[F.max(F.when(F.col("_side") == i, F.col("fix"))).alias(n) for i, n in enumerate("ab")])
+        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
     )
-    right = fixes.select(F.col(device).alias("right_id"), "window_start", F.col("fix").alias("_b"))
-    distance = euclid(F.col("_a.lat"), F.col("_a.lon"), F.col("_b.lat"), F.col("_b.lon"))
+    distance = euclid(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     return (
-        left.join(pairs, "left_id")
-        .join(right, ["right_id", "window_start"])
-        .withColumn("distance", distance)
+        both.withColumn("distance", distance)
         .where(F.col("distance") <= within)
         .select("left_id", "right_id", "window_start", "window_end", "distance")
     )

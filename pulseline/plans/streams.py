@@ -62,7 +62,7 @@ def stream_geofence_transitions(spark: SparkSession, folder: str) -> DataFrame:
     return replay(
         spark,
         events_stream(spark, folder),
-        lambda s: keyed.stream_geofence_transitions(with_location(s), places.FENCE, bin_width="1 hour"),
+        lambda s: keyed.stream_geofence_transitions(with_location(s), places.FENCE, bin_width="1 day"),
         "geofence_transitions",
     )
 
@@ -71,7 +71,7 @@ def stream_threshold_cross_up(spark: SparkSession, folder: str) -> DataFrame:
     return replay(
         spark,
         events_stream(spark, folder),
-        lambda s: keyed.stream_threshold_cross_up(s, 42, bin_width="1 hour"),
+        lambda s: keyed.stream_threshold_cross_up(s, 42, bin_width="1 day"),
         "threshold_cross_up",
     )
 
@@ -81,7 +81,7 @@ def stream_avg_last_n(spark: SparkSession, folder: str) -> DataFrame:
     updates = replay(
         spark,
         events_stream(spark, folder),
-        lambda s: keyed.stream_average_of_last(s, C, 10, bin_width="1 hour"),
+        lambda s: keyed.stream_average_of_last(s, C, 10, bin_width="1 day"),
         "avg_last_n",
         event_type=C,
     )

@@ -9,17 +9,16 @@ the rows of one trigger.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pulseline.functions.geo import metres
 from pulseline.functions.temporal import duration
 from pulseline.operators.geo import fence_distance
 from pulseline.sources.rules import Fence
+from pulseline.streaming.processors import CarryNewest, CarryPrevious
 
 
 def _binned(df: DataFrame, device: str, width: str, value: Column) -> DataFrame:
@@ -29,25 +28,6 @@ def _binned(df: DataFrame, device: str, width: str, value: Column) -> DataFrame:
     return df.groupBy(device, bins.alias("bin")).agg(F.sort_array(F.collect_list(sample)).alias("samples"))
 
 
-class CarryPrevious(StatefulProcessor):
-    """Gives the first sample of each bin its predecessor, the last sample of an earlier bin."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "value DOUBLE")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        samples = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        carried = samples["value"].where(samples["is_last"]).ffill().shift(1)
-        if self.last.exists():
-            carried = carried.fillna(self.last.get()[0])
-        samples["previous"] = samples["previous"].where(~samples["is_first"], carried)
-        self.last.update((float(samples["value"].iloc[-1]),))
-        yield samples[["device", "ts", "event_id", "value", "previous"]]
-
-    def close(self) -> None:
-        pass
-
-
 def stream_previous(
     df: DataFrame,
     value: Column,
@@ -114,38 +94,6 @@ def stream_threshold_cross_up(
     )
 
 
-class CarryNewest(StatefulProcessor):
-    """Keeps the newest ``n`` whole values of a device and reports their average."""
-
-    def __init__(self, n: int):
-        self.n = n
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("kept", "samples ARRAY<BIGINT>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        bins = pd.concat(list(rows)).sort_values("bin_end")
-        kept = list(self.kept.get()[0]) if self.kept.exists() else []
-        # Each bin brings its newest values, oldest first.
-        kept = [*kept, *(v for values in bins["newest"] for v in values)][-self.n :]
-        kept = [int(v) for v in kept]
-        self.kept.update((kept,))
-        total = sum(kept)
-        # Cut toward zero, also below zero.
-        average = abs(total) // self.n * (1 if total >= 0 else -1)
-        yield pd.DataFrame(
-            {
-                "device": [key[0]],
-                "as_of": [bins["bin_end"].iloc[-1]],
-                "n": [len(kept)],
-                "average": [average if len(kept) == self.n else None],
-            }
-        ).astype({"average": "Int64"})
-
-    def close(self) -> None:
-        pass
-
-
 def stream_average_of_last(
     df: DataFrame, event_type: str, n: int, device: str = "user_id", bin_width: str = "1 minute"
 ) -> DataFrame:
