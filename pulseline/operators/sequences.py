@@ -21,6 +21,12 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def _place(ts: str, tie: str) -> list[Column]:
+    """Time and row id under fixed names."""
+    names = {"ts": ts, "event_id": tie}
+    return [F.col(c) if c == name else F.col(c).alias(name) for name, c in names.items()]
+
+
 def match_sequence(
     df: DataFrame,
     steps: Steps,
@@ -38,7 +44,7 @@ def match_sequence(
     """
     wanted = step_types(steps)
     count = len(wanted)
-    rows = df.select(*partition_by, F.col(ts).alias("ts"), F.col(tie).alias("event_id"), "event_type")
+    rows = df.select(*partition_by, *_place(ts, tie), "event_type")
     chained = with_previous(
         rows, ["event_id", "ts", "event_type"], list(partition_by), count - 1, budget=budget
     )
@@ -79,9 +85,9 @@ def sequence_fsm(
     if size_us % slide_us:
         raise ValueError("size must be a multiple of slide")
     per_event = size_us // slide_us
-    rows = df.select(
-        F.col(ts).alias("ts"), F.col(tie).alias("event_id"), F.lower("event_type").alias("kind")
-    ).where(F.col("kind").isin(a, b, c, d))
+    rows = df.where(F.lower("event_type").isin(a, b, c, d)).select(
+        *_place(ts, tie), F.lower("event_type").alias("kind")
+    )
     chained = with_previous(rows, ["ts", "kind"], k=3, budget=budget)
 
     def run(*types: str) -> Column:

@@ -12,16 +12,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseline.functions.temporal import bin_of, duration
+from pulseline.functions.temporal import bin_of, duration, micros
 
 
 @dataclass(frozen=True)
 class Budget:
-    """Rows one task should handle, and the time bins hot keys are cut into."""
+    """Rows one task should handle, and the time slices a hot key is first cut into."""
 
     rows: int = 5_000_000
-    coarse: str = "1 hour"
-    fine: str = "1 second"
+    slice: str = "1 hour"
 
 
 DEFAULT = Budget()
@@ -57,36 +56,44 @@ def salted_join(
 
 
 def _sliced(df: DataFrame, keys: list[str], ts: str, budget: Budget) -> DataFrame:
-    """Add ``_hot``, ``_bin`` and ``_sub``: the time slice of each row of a hot key.
+    """Add ``_hot`` and ``_s0`` .. ``_s2``: the time slice of each row of a hot key.
 
-    Slices follow each other in time. Keys within the budget stay in one slice. Without keys
-    the whole input is one key, and always sliced.
+    Keys within the budget stay whole. A hot key is cut into slices of ``budget.slice``; a slice
+    that is still over the budget is cut into as many equal parts as it has budgets of rows, and
+    such a part once more, so that bursts are cut finely and quiet times are not. Slices follow
+    each other in time; only events of one key at (nearly) the same microsecond never part.
+    Without keys the whole input is one hot key.
     """
-    coarse, fine = duration(budget.coarse), duration(budget.fine)
-    binned = df.withColumn("_coarse", bin_of(F.col(ts), coarse))
-    histogram = binned.groupBy(*keys, "_coarse").agg(F.count(F.lit(1)).alias("_n"))
-    hot_bins = histogram.where(F.col("_n") > budget.rows).select(
-        *keys, "_coarse", F.lit(True).alias("_hot_bin")
-    )
+    width = duration(budget.slice)
+
+    def over_budget(rows: DataFrame, path: list[str]) -> DataFrame:
+        counted = rows.groupBy(*path).agg(F.count(F.lit(1)).alias("_n"))
+        return counted.where(F.col("_n") > budget.rows)
+
     if keys:
-        hot_keys = (
-            histogram.groupBy(*keys)
-            .agg(F.sum("_n").alias("_n"))
-            .where(F.col("_n") > budget.rows)
-            .select(*keys, F.lit(True).alias("_hot"))
-        )
-        binned = binned.join(F.broadcast(hot_keys), keys, "left").withColumn(
-            "_hot", F.coalesce("_hot", F.lit(False))
-        )
+        hot = over_budget(df, keys).select(*keys, F.lit(True).alias("_hot"))
+        rows = df.join(F.broadcast(hot), keys, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     else:
-        binned = binned.withColumn("_hot", F.lit(True))
-    binned = binned.join(F.broadcast(hot_bins), [*keys, "_coarse"], "left")
-    return binned.withColumns(
+        rows = df.withColumn("_hot", F.lit(True))
+    rows = rows.withColumns(
         {
-            "_bin": F.when(F.col("_hot"), F.col("_coarse")),
-            "_sub": F.when(F.col("_hot") & F.col("_hot_bin"), bin_of(F.col(ts), fine)),
+            "_s0": F.when(F.col("_hot"), bin_of(F.col(ts), width)),
+            # Place inside the slice, from 0 up to its width. Parts are scaled to that width too.
+            "_at": F.pmod(micros(F.col(ts)), F.lit(width)),
         }
-    ).drop("_coarse", "_hot_bin")
+    )
+    path, crowded = [*keys, "_s0"], F.col("_hot")
+    for level in (1, 2):
+        # Only rows of slices over the budget are counted again; mostly there are none.
+        parts = F.ceil(F.col("_n") / F.lit(budget.rows)).cast("bigint").alias(f"_parts{level}")
+        cut = over_budget(rows.where(crowded), path).select(*path, parts)
+        scaled = F.col("_at") * F.col(f"_parts{level}")
+        part = F.call_function("div", scaled, F.lit(width).cast("bigint"))
+        rows = rows.join(F.broadcast(cut), path, "left").withColumns(
+            {f"_s{level}": part, "_at": F.pmod(scaled, F.lit(width))}
+        )
+        path, crowded = [*path, f"_s{level}"], F.col(f"_parts{level}").isNotNull()
+    return rows.drop("_at", "_parts1", "_parts2")
 
 
 def with_previous(
@@ -106,28 +113,44 @@ def with_previous(
     each first row finds its true predecessors.
     """
     keys = list(keys or [])
-    row = F.struct(*fields)
+    slices = ["_s0", "_s1", "_s2"]
 
     def lags(window) -> dict[str, Column]:
-        return {f"prev_{j}": F.lag(row, j).over(window) for j in range(1, k + 1)}
+        # Field by field, not as one struct: nothing is copied into the shuffle, and both branches
+        # below can share it.
+        out = {"_rank": F.row_number().over(window)}
+        for j in range(1, k + 1):
+            out.update({f"_lag_{j}_{f}": F.lag(f, j).over(window) for f in fields})
+        return out
+
+    def previous(rows: DataFrame) -> DataFrame:
+        kept = [c for c in rows.columns if not c.startswith("_lag_") and c not in helpers]
+        return rows.select(
+            *kept,
+            *[
+                F.when(
+                    F.col("_rank") > j, F.struct(*[F.col(f"_lag_{j}_{f}").alias(f) for f in fields])
+                ).alias(f"prev_{j}")
+                for j in range(1, k + 1)
+            ],
+        )
 
+    helpers = {"_hot", "_rank", "_slice_rank", "_last", *slices}
     # _hot is part of the key only so that the seam branch can filter on it before its shuffle:
     # without hot keys that branch reads and moves nothing.
-    in_slice = Window.partitionBy(*keys, "_hot", "_bin", "_sub").orderBy(ts, tie)
-    local = _sliced(df, keys, ts, budget).withColumns(
-        {
-            **lags(in_slice),
-            "_rank": F.row_number().over(in_slice),
-            "_last": F.lead(F.lit(1), k).over(in_slice).isNull(),
-        }
-    )
-    settled = local.where(~F.col("_hot") | (F.col("_rank") > k))
+    in_slice = Window.partitionBy(*keys, "_hot", *slices).orderBy(ts, tie)
+    local = _sliced(df, keys, ts, budget).withColumns(lags(in_slice))
+    settled = previous(local.where(~F.col("_hot") | (F.col("_rank") > k)))
     # At most 2k rows per slice come here, so ordering them per key (without keys: in one task)
     # stays small however many rows the slices hold.
     along_key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(ts, tie)
+    edges = local.withColumn("_last", F.lead(F.lit(1), k).over(in_slice).isNull()).where(
+        F.col("_hot") & ((F.col("_rank") <= k) | F.col("_last"))
+    )
     seams = (
-        local.where(F.col("_hot") & ((F.col("_rank") <= k) | F.col("_last")))
+        edges.withColumn("_slice_rank", F.col("_rank"))
+        .drop("_rank", *[f"_lag_{j}_{f}" for j in range(1, k + 1) for f in fields])
         .withColumns(lags(along_key))
-        .where(F.col("_rank") <= k)
+        .where(F.col("_slice_rank") <= k)
     )
-    return settled.unionByName(seams).drop("_hot", "_bin", "_sub", "_rank", "_last")
+    return settled.unionByName(previous(seams))

@@ -53,7 +53,7 @@ def stream_seq_abc_immediate(spark: SparkSession, folder: str) -> DataFrame:
     return replay(
         spark,
         events_stream(spark, folder),
-        lambda s: windowed.stream_match_sequence(s, [A, B, C], "10 minutes"),
+        lambda s: windowed.stream_match_sequence(s, [A, B, C], "10 minutes", bin_width="1 minute"),
         "seq_abc_immediate",
     )
 

@@ -32,7 +32,7 @@ def stream_match_sequence(
     steps: Steps,
     within: str,
     partition_by: tuple[str, ...] = (),
-    bin_width: str = "1 minute",
+    bin_width: str = "1 second",
 ) -> DataFrame:
     """Strictly consecutive events of the given types over a stream, at most ``within`` apart.
 

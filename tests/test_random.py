@@ -12,7 +12,7 @@ from pulseline.operators import geo, joins, liveness, sequences, windows
 from pulseline.operators.skew import Budget, salted_join, with_previous
 
 T0 = datetime(2024, 1, 1)
-BUDGETS = [Budget(), Budget(40, "10 seconds", "1 second"), Budget(3, "7 seconds", "100 milliseconds")]
+BUDGETS = [Budget(), Budget(40, "10 seconds"), Budget(3, "1 minute"), Budget(2, "7 seconds")]
 
 
 def random_events(seed, n=400, span=200, users=5):
