@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseline.functions.temporal import interval
 from pulseline.functions.text import one_of, parse_long, same_text, words
 
 
@@ -62,6 +63,20 @@ def latest(df: DataFrame, keys: list[str], fields: list[str], ts: str = "ts", ti
     return df.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
 
+def retained(df: DataFrame, keep: str, as_of: Column | None = None, ts: str = "ts") -> DataFrame:
+    """Events not older than ``keep``, counted back from ``as_of`` (by default the newest event)."""
+    if as_of is None:
+        as_of = df.select(F.max(ts)).scalar()
+    return df.where(F.col(ts) >= as_of - interval(keep))
+
+
+def last_seen(df: DataFrame, event_types: list[str], device: str = "user_id", ts: str = "ts") -> DataFrame:
+    """Time of each device's newest event of each type, one column ``last_<type>`` per type."""
+    return df.groupBy(device).agg(
+        *[F.max(F.when(F.col("event_type") == t, F.col(ts))).alias(f"last_{t}") for t in event_types]
+    )
+
+
 def series_counts(df: DataFrame, event_types: list[str], device: str = "user_id") -> DataFrame:
     """Every device with every event type and its number of events, zeros included."""
     counts = df.groupBy(device).agg(

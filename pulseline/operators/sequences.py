@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseline.functions.temporal import at, bin_of, duration, micros
+from pulseline.operators.filters import last_seen
 from pulseline.operators.skew import DEFAULT, Budget, with_previous
 
 Steps = list[str | list[str]]
@@ -146,14 +147,10 @@ def last_seen_order(
     bounds the time between neighbours.
     """
     types = sorted({t for p in patterns for t in p})
-    newest = (
-        df.where(F.col("event_type").isin(types))
-        .groupBy(device)
-        .agg(*[F.max(F.when(F.col("event_type") == t, F.col(ts))).alias(f"_{t}") for t in types])
-    )
+    newest = last_seen(df.where(F.col("event_type").isin(types)), types, device, ts)
 
     def verdict(pattern: list[str]) -> Column:
-        seen = [F.col(f"_{t}") for t in pattern]
+        seen = [F.col(f"last_{t}") for t in pattern]
         steps = [x <= y for x, y in zip(seen, seen[1:])]
         if max_gap is not None:
             steps += [micros(y) - micros(x) <= duration(max_gap) for x, y in zip(seen, seen[1:])]

@@ -191,6 +191,14 @@ def series_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return filters.series_counts(events(spark, folder), ALL_TYPES)
 
 
+def last_seen_times(spark: SparkSession, folder: str) -> DataFrame:
+    return filters.last_seen(events(spark, folder), ALL_TYPES)
+
+
+def retained_events(spark: SparkSession, folder: str) -> DataFrame:
+    return filters.retained(events(spark, folder), "7 days").select("event_id", "ts")
+
+
 def avg_last_n(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.average_of_last(events(spark, folder), C, 10, 50)
 
@@ -314,6 +322,16 @@ QUERIES = {
            LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = t.event_type
            GROUP BY ALL""",
     ),
+    "last_seen_times": Query(
+        last_seen_times,
+        "SELECT user_id, "
+        + ", ".join(f"max(ts) FILTER (event_type = '{t}') AS last_{t}" for t in ALL_TYPES)
+        + " FROM events GROUP BY user_id",
+    ),
+    "retained_events": Query(
+        retained_events,
+        "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY",
+    ),
     "avg_last_n": Query(
         avg_last_n,
         f"""SELECT user_id, CAST(trunc(sum(trunc(value)) / 10) AS BIGINT) AS average

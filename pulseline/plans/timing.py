@@ -114,6 +114,11 @@ def late_flags(spark: SparkSession, folder: str) -> DataFrame:
     return liveness.flag_late(_arrivals(spark, folder), "arrival").select("event_id", "late")
 
 
+def order_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Events in the order of their ids; the job fails if one is out of order in time."""
+    return liveness.require_order(events(spark, folder), "event_id").select("event_id", "ts")
+
+
 _AB_WINDOWS = f"""SELECT {{keys}}ws AS window_start, ws + INTERVAL '{{size}}' AS window_end,
          min(ts) FILTER (event_type = 'view') AS first_ts, max(ts) FILTER (event_type = 'click') AS last_ts
   FROM {{hops}} WHERE event_type IN ('view', 'click') GROUP BY ALL
@@ -216,5 +221,6 @@ QUERIES = {
            WHERE coalesce(next_seen, top) - last_seen >= h * INTERVAL 1 HOUR""",
     ),
     "late_drop": Query(late_drop, f"SELECT event_id, arrival, ts FROM ({_LATE}) WHERE NOT late"),
+    "order_check": Query(order_check, "SELECT event_id, ts FROM events"),
     "late_flags": Query(late_flags, f"SELECT event_id, late FROM ({_LATE})"),
 }

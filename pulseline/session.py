@@ -38,13 +38,15 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(name: str = "pulseline", cores: int | str = 8, memory: str = "8g") -> SparkSession:
+def local_session(
+    name: str = "pulseline", cores: int | str = 8, memory: str = "8g", partitions: int | None = None
+) -> SparkSession:
     """A session for tests and the local benchmark; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.driver.memory", memory)
-        .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.sql.shuffle.partitions", str(partitions or cores))
         .config("spark.ui.enabled", "false")
     )
     for key, value in {**REQUIRED, **TUNING}.items():

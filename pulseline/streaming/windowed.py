@@ -107,8 +107,3 @@ def stream_match_sequence(
 def stream_distinct(df: DataFrame, keys: list[str]) -> DataFrame:
     """First arrival per key; state is kept as long as the watermark delay."""
     return df.dropDuplicatesWithinWatermark(keys)
-
-
-def expire(df: DataFrame, keep: str, as_of: Column, ts: str = "ts") -> DataFrame:
-    """Events not older than ``keep``: a retention period on a stored table."""
-    return df.where(F.col(ts) >= as_of - interval(keep))

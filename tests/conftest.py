@@ -12,7 +12,7 @@ from pulseline.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", cores=4, memory="4g")
+    session = local_session("tests", cores=4, memory="4g", partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     logging.getLogger("py4j").setLevel(logging.ERROR)
     yield session
