@@ -19,7 +19,7 @@ from pulseline.functions.temporal import bin_of, duration, micros
 class Budget:
     """Rows one task should handle, and the time slices a hot key is first cut into."""
 
-    rows: int = 5_000_000
+    rows: int = 2_000_000
     slice: str = "1 hour"
 
 
