@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulseline.functions.geo import EARTH_RADIUS_M, euclid, haversine_m, metres
 from pulseline.functions.temporal import at, bin_of, duration
 from pulseline.operators.filters import latest
+from pulseline.operators.joins import meet
 from pulseline.operators.skew import DEFAULT, Budget, salted_join, with_previous
 from pulseline.operators.windows import hop_aggregate, largest
 from pulseline.sources.rules import Fence
@@ -144,7 +145,10 @@ def _close_pairs(
     tie: str,
     budget: Budget,
 ) -> DataFrame:
-    """Event pairs of two devices, alive together and close on every axis; each pair both ways."""
+    """Event pairs of two devices, alive together and close on every axis; each pair both ways.
+
+    A stream needs a watermark.
+    """
     size_us, hop_us = duration(size), duration(hop)
     if size_us % hop_us:
         raise ValueError("size must be a multiple of hop")
@@ -152,12 +156,13 @@ def _close_pairs(
     placed = df.select(
         F.col(device).alias("id"),
         F.col(tie).alias("tie"),
+        F.col(ts).alias("ts"),
         bin_of(F.col(ts), hop_us).alias("hop"),
         *limits,
         bin_of(F.col(ts), size_us).alias("_bucket"),
         *[F.floor(F.col(axis) / F.lit(limit)).alias(f"_c_{axis}") for axis, limit in limits.items()],
     )
-    fields = ["id", "tie", "hop", *limits]
+    fields = ["id", "tie", "hop", "ts", *limits]
     resting = placed.select(*[F.col(c).alias(f"r_{c}") for c in fields], *grid)
     steps = F.array(
         *[
@@ -176,7 +181,11 @@ def _close_pairs(
     close = close & (~F.col("_own") | (F.col("l_tie") < F.col("r_tie")))
     for axis, limit in limits.items():
         close = close & (F.abs(F.col(f"l_{axis}") - F.col(f"r_{axis}")) <= limit)
-    pairs = salted_join(resting, looking, grid, ["r_tie"], budget=budget).where(close)
+    if df.isStreaming:
+        pairs = meet(looking, resting, grid, "l_ts", "r_ts", size_us + hop_us)
+    else:
+        pairs = salted_join(resting, looking, grid, ["r_tie"], budget=budget)
+    pairs = pairs.where(close)
 
     start = F.greatest("l_hop", "r_hop") * hop_us
     end = F.least("l_hop", "r_hop") * hop_us + size_us
@@ -274,23 +283,18 @@ def named_proximity(
         "right_id",
         F.posexplode(F.array("left_id", "right_id")).alias("_side", device),
     )
-    fixes = hop_aggregate(
-        df.join(ends.select(device), device, "left_semi"),
-        [device],
+    # Each position goes to the pairs its device belongs to, so that one grouping finds the latest
+    # of both sides: a maximum per side, which merges before the shuffle.
+    fix = F.struct(ts, tie, "lat", "lon")
+    both = hop_aggregate(
+        df.join(ends, device),
+        ["left_id", "right_id"],
         size,
         slide,
-        {"fix": largest(F.struct(ts, tie, "lat", "lon"))},
+        {side: largest(F.when(F.col("_side") == i, fix)) for i, side in enumerate("ab")},
         ts=ts,
         dense=False,
-    )
-    # One grouping brings both ends of a pair together, instead of a join of positions with
-    # themselves. Each side has at most one row per pair and window.
-    both = (
-        fixes.join(ends, device)
-        .groupBy("left_id", "right_id", "window_start", "window_end")
-        .agg(*[F.max(F.when(F.col("_side") == i, F.col("fix"))).alias(n) for i, n in enumerate("ab")])
-        .where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    )
+    ).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     distance = euclid(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     return (
         both.withColumn("distance", distance)

@@ -15,6 +15,23 @@ def _prefixed(df: DataFrame, prefix: str, skip: tuple[str, ...] = ()) -> DataFra
     )
 
 
+def meet(
+    left: DataFrame, right: DataFrame, on: list[str], left_ts: str, right_ts: str, apart: int
+) -> DataFrame:
+    """Stream-stream equi join of events at most ``apart`` microseconds from each other.
+
+    The bound on time tells Spark when a waiting row can be dropped from the state.
+    """
+    bound = interval(f"{apart} microseconds")
+    near = (F.col(right_ts) >= F.col(left_ts) - bound) & (F.col(right_ts) <= F.col(left_ts) + bound)
+    for c in on:
+        near = near & (left[c] == right[c])
+    pairs = left.join(right, near, "inner")
+    for c in on:
+        pairs = pairs.drop(right[c])
+    return pairs
+
+
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
@@ -51,15 +68,7 @@ def overlap_join(
     resting = placed(right, "right_").withColumn("_bucket", bin_of(F.col(f"right_{ts}"), size_us))
 
     if left.isStreaming or right.isStreaming:
-        bound = interval(f"{size_us + hop_us} microseconds")
-        near = (F.col(f"right_{ts}") >= F.col(f"left_{ts}") - bound) & (
-            F.col(f"right_{ts}") <= F.col(f"left_{ts}") + bound
-        )
-        for c in key:
-            near = near & (looking[c] == resting[c])
-        pairs = looking.join(resting, near, "inner")
-        for c in key:
-            pairs = pairs.drop(resting[c])
+        pairs = meet(looking, resting, key, f"left_{ts}", f"right_{ts}", size_us + hop_us)
     else:
         pairs = salted_join(resting, looking, key, [f"right_{tie}"], budget=budget)
 

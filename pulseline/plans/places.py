@@ -73,11 +73,17 @@ def axis_pair_join(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(pairs, 6, "lat_diff", "lon_diff")
 
 
+def watched_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every device together with the one that has the next number."""
+    devices = events(spark, folder).select(F.col("user_id").alias("left_id")).distinct()
+    return devices.withColumn("right_id", F.col("left_id") + 1)
+
+
 def proximity_named(spark: SparkSession, folder: str) -> DataFrame:
-    """Every device is watched together with the one that has the next number."""
-    df = located(spark, folder)
-    pairs = df.select(F.col("user_id").alias("left_id"), (F.col("user_id") + 1).alias("right_id")).distinct()
-    return _rounded(geo.named_proximity(df, pairs, "1 day", "6 hours", 1.0), 6, "distance")
+    near = geo.named_proximity(
+        located(spark, folder), watched_pairs(spark, folder), "1 day", "6 hours", 1.0
+    )
+    return _rounded(near, 6, "distance")
 
 
 TO_FENCE = distance_sql("lat", "lon", "40.00699e0", "-105.26284e0")

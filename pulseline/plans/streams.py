@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from pulseline.operators import windows
 from pulseline.operators.filters import above
 from pulseline.operators.alerts import all_alerts, as_alert
-from pulseline.operators.geo import fence_distance
+from pulseline.operators.geo import box_pairs, fence_distance, named_proximity
 from pulseline.operators.joins import overlap_join
 from pulseline.plans import basics, patterns, places, timing
-from pulseline.plans.registry import A, B, C, Query
+from pulseline.plans.registry import A, B, C, D, Query
 from pulseline.session import work_dir
 from pulseline.sources.tables import events_stream, with_location
 from pulseline.streaming import keyed, sinks, windowed
@@ -111,6 +111,38 @@ def stream_inside_fence_hop(spark: SparkSession, folder: str) -> DataFrame:
     return near.withColumn("distance", F.round("distance", 2))
 
 
+def stream_seq_fsm_hop(spark: SparkSession, folder: str) -> DataFrame:
+    return replay(
+        spark,
+        events_stream(spark, folder),
+        lambda s: windowed.stream_sequence_fsm(s, (A, B, C, D), "1 hour", "10 minutes"),
+        "seq_fsm_hop",
+        event_type=A,
+    )
+
+
+def stream_proximity_named(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = places.watched_pairs(spark, folder)
+    near = replay(
+        spark,
+        events_stream(spark, folder),
+        lambda s: named_proximity(with_location(s), pairs, "1 day", "6 hours", 1.0),
+        "proximity_named",
+    )
+    return near.withColumn("distance", F.round("distance", 6))
+
+
+def stream_proximity_box(spark: SparkSession, folder: str) -> DataFrame:
+    near = replay(
+        spark,
+        events_stream(spark, folder),
+        lambda s: box_pairs(with_location(s), 0.16, 0.165, "30 minutes", "1 minute"),
+        "proximity_box",
+        close=False,
+    )
+    return near.withColumns({n: F.round(n, 6) for n in ("lat_diff", "lon_diff")})
+
+
 def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
     return replay(
         spark,
@@ -168,6 +200,9 @@ QUERIES = {
     "stream_avg_last_n": Query(stream_avg_last_n, basics.QUERIES["avg_last_n"].sql),
     "stream_device_liveness": Query(stream_device_liveness, _LIVENESS),
     "stream_inside_fence_hop": Query(stream_inside_fence_hop, places.QUERIES["inside_fence_hop"].sql),
+    "stream_seq_fsm_hop": Query(stream_seq_fsm_hop, patterns.QUERIES["seq_fsm_hop"].sql),
+    "stream_proximity_named": Query(stream_proximity_named, places.QUERIES["proximity_named"].sql),
+    "stream_proximity_box": Query(stream_proximity_box, places.QUERIES["proximity_box"].sql),
     "stream_distinct": Query(stream_distinct, "SELECT event_id, ts FROM events"),
     "stream_latest_location": Query(stream_latest_location, places.QUERIES["latest_location"].sql),
     "stream_event_table": Query(

@@ -104,6 +104,67 @@ def stream_match_sequence(
     )
 
 
+def stream_sequence_fsm(
+    df: DataFrame, steps: tuple[str, str, str, str], size: str, slide: str
+) -> DataFrame:
+    """Progress of A, B, C, D in each hopping window, when the window closes.
+
+    Rows as from ``sequences.sequence_fsm``. A window's events of the four types are one array, so
+    windows should be as short as the runs looked for.
+    """
+    a, b, c, d = [s.lower() for s in steps]
+    kind = F.lower("event_type")
+    windows = F.window("ts", f"{duration(size)} microseconds", f"{duration(slide)} microseconds")
+    event = F.struct("ts", "event_id", kind.alias("kind"))
+    gathered = (
+        df.where(kind.isin(a, b, c, d))
+        .groupBy(windows.alias("window"))
+        .agg(F.sort_array(F.collect_list(event)).alias("events"))
+    )
+
+    def ends_run(x: Column, i: Column, run: tuple[str, ...]) -> Column:
+        back = len(run) - 1
+        before = [
+            F.element_at("events", (i - back + 1 + n).cast("int"))["kind"] == t
+            for n, t in enumerate(run[:-1])
+        ]
+        return F.when(i >= back, all_of([*before, x["kind"] == run[-1]])).otherwise(F.lit(False))
+
+    marked = F.transform(
+        "events",
+        lambda x, i: F.struct(
+            x["ts"].alias("ts"),
+            x["event_id"].alias("event_id"),
+            ends_run(x, i, (a, b, c)).alias("short"),
+            ends_run(x, i, (a, b, c, d)).alias("full"),
+        ),
+    )
+    done = F.element_at(F.filter("marked", lambda m: m["full"]), 1)
+
+    def place(m: Column) -> Column:
+        return F.struct(m["ts"], m["event_id"])
+
+    hits = (
+        gathered.select("window", marked.alias("marked"))
+        .select("window", "marked", F.when(F.exists("marked", lambda m: m["full"]), place(done)).alias("done"))
+        .select(
+            "window",
+            "done",
+            F.explode(
+                F.filter("marked", lambda m: m["short"] | F.coalesce(place(m) >= F.col("done"), F.lit(False)))
+            ).alias("m"),
+        )
+    )
+    late = F.coalesce(place(F.col("m")) >= F.col("done"), F.lit(False))
+    return hits.select(
+        F.col("window.start").alias("window_start"),
+        F.col("window.end").alias("window_end"),
+        "m.ts",
+        "m.event_id",
+        F.when(late, F.lit(4)).otherwise(F.lit(3)).alias("state"),
+    )
+
+
 def stream_distinct(df: DataFrame, keys: list[str]) -> DataFrame:
     """First arrival per key; state is kept as long as the watermark delay."""
     return df.dropDuplicatesWithinWatermark(keys)
