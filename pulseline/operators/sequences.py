@@ -24,7 +24,7 @@ def all_of(conditions: list[Column]) -> Column:
 
 def _place(ts: str, tie: str) -> list[Column]:
     """Time and row id under fixed names."""
-    names = {"ts": ts, "event_id": tie}
+    names = {"event_id": tie, "ts": ts}
     return [F.col(c) if c == name else F.col(c).alias(name) for name, c in names.items()]
 
 
@@ -86,16 +86,12 @@ def sequence_fsm(
     if size_us % slide_us:
         raise ValueError("size must be a multiple of slide")
     per_event = size_us // slide_us
-    rows = df.where(F.lower("event_type").isin(a, b, c, d)).select(
-        *_place(ts, tie), F.lower("event_type").alias("kind")
-    )
-    chained = with_previous(rows, ["ts", "kind"], k=3, budget=budget)
+    rows = df.where(F.lower("event_type").isin(a, b, c, d)).select(*_place(ts, tie), "event_type")
+    chained = with_previous(rows, ["ts", "event_type"], k=3, budget=budget)
 
     def run(*types: str) -> Column:
-        before = [
-            F.col(f"prev_{len(types) - 1 - i}.kind") == t for i, t in enumerate(types[:-1])
-        ]
-        return all_of([*before, F.col("kind") == types[-1]])
+        back = [f"prev_{n}.event_type" for n in range(len(types) - 1, 0, -1)]
+        return all_of([F.lower(kind) == t for kind, t in zip([*back, "event_type"], types)])
 
     events = chained.select(
         "ts",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulseline.operators import evaluation, sequences
 from pulseline.operators.filters import retained
-from pulseline.operators.geo import Fence, geofence_transitions
+from pulseline.operators.geo import Fence, box_pairs, geofence_transitions
 from pulseline.streaming import keyed, sinks, windowed
 from pulseline.streaming.replay import replay, run_to_end
 
@@ -88,6 +88,24 @@ def test_sequence(spark, feed, bin_width, by_user):
     same(got, sequences.match_sequence(stored, steps, "4 seconds", keys))
 
 
+def test_state_machine(spark, feed):
+    stored, stream = feed
+    steps = ("a", "b", "c", "d")
+    got = replay(
+        spark, stream, lambda s: windowed.stream_sequence_fsm(s, steps, "20 seconds", "5 seconds"), "t", event_type="a"
+    )
+    same(got, sequences.sequence_fsm(stored, steps, "20 seconds", "5 seconds"))
+
+
+def test_box_pairs(spark, feed):
+    stored, stream = feed
+
+    def build(df):
+        return box_pairs(df, 0.5, 0.5, "6 seconds", "2 seconds")
+
+    same(replay(spark, stream, build, "t", close=False), build(stored))
+
+
 def test_late_events_are_dropped(spark, tmp_path):
     path = str(tmp_path / "late")
     schema = "event_id long, ts timestamp, user_id long"
