@@ -37,11 +37,12 @@ def hop_aggregate(
     """Group by keys and epoch-aligned windows [start, start + size), one every ``slide``.
 
     A batch of dense keys is first reduced to one row per key and slide-wide pane, and only the
-    panes are copied into their windows; rows are never copied. Streams, and keys with few rows
-    per pane, use Spark's window function, which gives the same windows.
+    panes are copied into their windows; rows are never copied. Keys with few rows per pane have
+    nothing to reduce and skip that step. Streams, and sizes that are no multiple of the slide,
+    use Spark's window function, which gives the same windows.
     """
     size_us, slide_us = duration(size), duration(slide)
-    if df.isStreaming or not dense or size_us % slide_us:
+    if df.isStreaming or size_us % slide_us:
         window = F.window(ts, f"{size_us} microseconds", f"{slide_us} microseconds")
         grouped = df.groupBy(window, *keys).agg(
             *[rows.alias(name) for name, (rows, _) in aggregates.items()]
@@ -52,16 +53,16 @@ def hop_aggregate(
             F.col("window.end").alias("window_end"),
             *aggregates,
         )
-    panes = (
-        df.withColumn("_pane", bin_of(F.col(ts), slide_us))
-        .groupBy(*keys, "_pane")
-        .agg(*[rows.alias(name) for name, (rows, _) in aggregates.items()])
-    )
+    panes = df.withColumn("_pane", bin_of(F.col(ts), slide_us))
+    results = [rows.alias(name) for name, (rows, _) in aggregates.items()]
+    if dense:
+        panes = panes.groupBy(*keys, "_pane").agg(*results)
+        results = [merge(name).alias(name) for name, (_, merge) in aggregates.items()]
     first = F.col("_pane") - (size_us // slide_us - 1)
     merged = (
         panes.withColumn("_w", F.explode(F.sequence(first, F.col("_pane"))))
         .groupBy(*keys, "_w")
-        .agg(*[merge(name).alias(name) for name, (_, merge) in aggregates.items()])
+        .agg(*results)
     )
     return merged.select(
         *keys,

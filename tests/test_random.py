@@ -249,3 +249,18 @@ def test_hop_aggregate(spark, dense):
             want[r[3], w] = want.get((r[3], w), 0) + 1
     assert {(r["event_type"], micros(r["window_start"]) // 5_000_000): r["n"] for r in got} == want
     assert len(got) == len(want)
+
+
+def test_hop_aggregate_of_any_size(spark):
+    """A size that is no multiple of the slide."""
+    rows = random_events(13)
+    got = windows.hop_aggregate(
+        frame(spark, rows), [], "7 seconds", "5 seconds", {"n": windows.count_rows()}
+    ).collect()
+    want = {}
+    for r in rows:
+        us = micros(r[1])
+        for w in range(us // 5_000_000 - 1, us // 5_000_000 + 1):
+            if w * 5_000_000 <= us < w * 5_000_000 + 7_000_000:
+                want[w] = want.get(w, 0) + 1
+    assert {micros(r["window_start"]) // 5_000_000: r["n"] for r in got} == want
