@@ -32,9 +32,11 @@ TUNING = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
-    for key, value in {**REQUIRED, **TUNING}.items():
-        spark.conf.set(key, value)
+    """Apply the runtime settings to a session somebody else created; its own tuning stays."""
+    given = spark.conf.getAll
+    for key, value in {**{k: v for k, v in TUNING.items() if k not in given}, **REQUIRED}.items():
+        if given.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 
