@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -56,17 +58,28 @@ def local_session(
     return builder.getOrCreate()
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder named by ``spark.checkpoint.dir``.
+_LOCAL_ROOTS: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    Only a local-mode session may run without that setting; it gets a temporary folder.
+    Only a local-mode session may run without that setting. It gets one temporary folder per
+    process, which is removed when the process ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="pulseline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    if not _LOCAL_ROOTS:
+        _LOCAL_ROOTS.append(tempfile.mkdtemp(prefix="pulseline-"))
+        atexit.register(shutil.rmtree, _LOCAL_ROOTS[0], ignore_errors=True)
+    return _LOCAL_ROOTS[0]
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below ``shared_root``. Its owner keeps it as long as results read from it."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -4,6 +4,7 @@ import pytest
 from checks import database, rows_of
 
 import __spark_entry__ as entry_points
+from pulseline.plans.catalogue import QUERIES
 
 SQL = entry_points.oracle_sql()
 
@@ -13,7 +14,7 @@ def con(folder):
     return database(folder)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, folder, con, name):
     got = entry_points.queries()[name](spark, folder).toPandas()
     want = con.execute(SQL[name]).df()
@@ -26,4 +27,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(SQL) == set(entry_points.queries())
+    assert set(QUERIES) <= set(SQL) and set(QUERIES) <= set(entry_points.queries())
