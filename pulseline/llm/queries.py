@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseline.llm import shards, tokens
+from pulseline.llm import order_minhash, shards, tokens, warc
 from pulseline.llm.common import table
 from pulseline.plans.registry import Query
 
@@ -23,7 +23,34 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_counts(table(spark, folder, "documents"), tokenizer_file())
 
 
+def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.edited_likeness(table(spark, folder, "documents"))
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.page_records(table(spark, folder, "pages"))
+
+
+# Five bits at a time of the SHA-1, as letters.
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages
+), bits AS (
+  SELECT *, CAST(unhex(digest) AS BIT)::VARCHAR AS b, max(page_id) OVER (PARTITION BY digest) AS stored FROM p
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + 16 * CAST(substr(b, CAST(5 * i + 1 AS BIGINT), 1) AS INT) + 8 * CAST(substr(b, CAST(5 * i + 2 AS BIGINT), 1) AS INT)
+    + 4 * CAST(substr(b, CAST(5 * i + 3 AS BIGINT), 1) AS INT) + 2 * CAST(substr(b, CAST(5 * i + 4 AS BIGINT), 1) AS INT)
+    + CAST(substr(b, CAST(5 * i + 5 AS BIGINT), 1) AS INT) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN stored <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN stored <> page_id THEN stored END AS refers_to
+FROM bits
+"""
+
 QUERIES = {
     "op2_sharding": Query(op2_sharding),
     "op3_token_counts": Query(op3_token_counts),
+    "op4_order_minhash": Query(op4_order_minhash),
+    "op6_warc": Query(op6_warc, OP6_SQL),
 }
