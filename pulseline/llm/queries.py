@@ -39,10 +39,10 @@ WITH p AS (
   SELECT *, CAST(unhex(digest) AS BIT)::VARCHAR AS b, max(page_id) OVER (PARTITION BY digest) AS stored FROM p
 )
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
-  list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    CAST(1 + 16 * CAST(substr(b, CAST(5 * i + 1 AS BIGINT), 1) AS INT) + 8 * CAST(substr(b, CAST(5 * i + 2 AS BIGINT), 1) AS INT)
-    + 4 * CAST(substr(b, CAST(5 * i + 3 AS BIGINT), 1) AS INT) + 2 * CAST(substr(b, CAST(5 * i + 4 AS BIGINT), 1) AS INT)
-    + CAST(substr(b, CAST(5 * i + 5 AS BIGINT), 1) AS INT) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + 16 * CAST(substr(b, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(b, 5 * i + 2, 1) AS INT)
+    + 4 * CAST(substr(b, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(b, 5 * i + 4, 1) AS INT)
+    + CAST(substr(b, 5 * i + 5, 1) AS INT) AS BIGINT), 1) FOR i IN range(32)], '') AS payload_digest,
   CASE WHEN stored <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN stored <> page_id THEN stored END AS refers_to
 FROM bits
