@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseline.llm import order_minhash, shards, tokens, warc
+from pulseline.llm import order_minhash, quality, shards, tokens, toxicity, warc
 from pulseline.llm.common import table
 from pulseline.plans.registry import Query
 
@@ -31,6 +31,14 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_records(table(spark, folder, "pages"))
 
 
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 # Five bits at a time of the SHA-1, as letters.
 OP6_SQL = """
 WITH p AS (
@@ -53,4 +61,6 @@ QUERIES = {
     "op3_token_counts": Query(op3_token_counts),
     "op4_order_minhash": Query(op4_order_minhash),
     "op6_warc": Query(op6_warc, OP6_SQL),
+    "op7_quality": Query(op7_quality),
+    "op9_toxicity": Query(op9_toxicity),
 }
