@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseline.llm import order_minhash, quality, shards, tokens, toxicity, warc
+from pulseline.llm import decontaminate, order_minhash, quality, shards, tokens, toxicity, warc
 from pulseline.llm.common import table
 from pulseline.plans.registry import Query
 
@@ -39,6 +39,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 # Five bits at a time of the SHA-1, as letters.
 OP6_SQL = """
 WITH p AS (
@@ -63,4 +67,5 @@ QUERIES = {
     "op6_warc": Query(op6_warc, OP6_SQL),
     "op7_quality": Query(op7_quality),
     "op9_toxicity": Query(op9_toxicity),
+    "op10_decontamination": Query(op10_decontamination),
 }
