@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseline.llm import decontaminate, order_minhash, quality, shards, tokens, toxicity, warc
+from pulseline.llm import decontaminate, jaccard, order_minhash, packing, quality, shards, tokens, toxicity, warc
 from pulseline.llm.common import table
 from pulseline.plans.registry import Query
 
@@ -15,6 +15,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"))
+
+
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shards.digests(shards.write_shards(table(spark, folder, "documents"), 40))
 
@@ -35,6 +39,10 @@ def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op8_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_classes(table(spark, folder, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -61,11 +69,13 @@ FROM bits
 """
 
 QUERIES = {
+    "op1_packing": Query(op1_packing),
     "op2_sharding": Query(op2_sharding),
     "op3_token_counts": Query(op3_token_counts),
     "op4_order_minhash": Query(op4_order_minhash),
     "op6_warc": Query(op6_warc, OP6_SQL),
     "op7_quality": Query(op7_quality),
+    "op8_jaccard": Query(op8_jaccard),
     "op9_toxicity": Query(op9_toxicity),
     "op10_decontamination": Query(op10_decontamination),
 }
