@@ -265,6 +265,18 @@ class Index:
             begin = end
 
 
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
+    """The items (id, text) in blocks of about ``block_chars`` characters; one empty block if there are none."""
+    shipped(__name__)
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text"))
+    items = items.where(F.col("text").isNotNull())
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_chars))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for b in range(blocks):
+        yield [(r["item_id"], r["text"]) for r in items.where(block == b).orderBy("item_id", "text").collect()]
+
+
 def benchmark_matches(
     docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), block_chars: int = 2_000_000
 ) -> DataFrame:
@@ -279,15 +291,8 @@ def benchmark_matches(
     Items go to the tasks in blocks of about ``block_chars`` characters, so a large benchmark takes
     more passes over the documents, not more memory.
     """
-    shipped(__name__)
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").alias("text"))
-    items = items.where(F.col("text").isNotNull())
-    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_chars))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    rows, out = texts(docs), None
-    for b in range(blocks):
-        own = [(r["item_id"], r["text"]) for r in items.where(block == b).orderBy("item_id", "text").collect()]
+    out = None
+    for own in _blocks(benchmark, block_chars):
 
         def look(batches: Iterator[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
             index = Index(rules).build(own)
@@ -299,6 +304,29 @@ def benchmark_matches(
                     frame = pd.DataFrame(found, columns=names)
                     yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
 
-        part = rows.mapInPandas(look, MATCHES)
+        part = texts(docs).mapInPandas(look, MATCHES)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _clean(items: list[tuple], rules: Rules):
+    """A function of text columns: whether a text matches none of the items."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Index(rules).build(items)
+        for batch in batches:
+            out = np.ones(len(batch), dtype=bool)
+            out[[m[0] for m in index.matches(batch.tolist())]] = False
+            yield pd.Series(out)
+
+    return clean
+
+
+def clean_documents(
+    docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), block_chars: int = 2_000_000
+) -> DataFrame:
+    """The rows of ``docs``, as they are, whose texts match no item."""
+    for own in _blocks(benchmark, block_chars):
+        docs = docs.where(_clean(own, rules)(F.coalesce(docs["text"], F.lit(""))))
+    return docs

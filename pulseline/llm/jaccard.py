@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from pulseline.llm.common import saved, shipped, texts
 from pulseline.llm.components import components
+from pulseline.llm.order import distinct
 from pulseline.llm.rolling import Stretches, mixed
 
 # Words hashed at a time.
@@ -329,3 +330,17 @@ def similar_classes(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "cls", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     return rows.select("doc_id", "cls").join(by_class, "cls").select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the one with the smallest id stays.
+
+    Of repeated rows (same id and text) one stays; where ids repeat or are NULL, texts that share an id
+    are taken in the order of a hash.
+    """
+    rows, order = distinct(docs, docs.columns)
+    found = similar_classes(rows.select(F.col("uid").alias("doc_id"), "text"), rules)
+    lost = found.where("doc_id <> class_id").select(F.col("doc_id").alias("uid"))
+    if order is None:
+        return docs.join(lost.select(F.col("uid").alias("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(lost, "uid", "left_anti").select(*[F.col("rest").getField(c).alias(c) for c in docs.columns])

@@ -10,10 +10,11 @@ entry if they share both elements *and* their order, so moving text about costs
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseline.llm.common import saved, texts
+from pulseline.llm.common import texts
+from pulseline.llm.order import following
 
 # Entries of a fingerprint (a power of two), and units in a k-mer.
 SLOTS, K = 64, 2
@@ -117,27 +118,6 @@ def as_text(fingerprint: Column) -> Column:
     return F.lower(F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x.cast("int").bitwiseAND(F.lit(0xFFFF))), 4, "0")), ""))
 
 
-def following(keys: DataFrame, by: list[str]) -> DataFrame:
-    """Distinct rows in the order ``by``, each with ``seq`` and the ``next_seq`` of the row after it.
-
-    The last row is followed by the first. Rows are dealt by range and numbered inside their
-    partition, so no task sees more than its range; only one row per partition meets the others.
-    """
-    spark = keys.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keys.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    # Written, as the ranges come from a sample and must not be drawn anew.
-    ordered = saved(ordered.withColumn("seq", F.monotonically_increasing_id()), "order")
-    part = F.shiftrightunsigned("seq", 33)
-    ends = ordered.groupBy(part.alias("part")).agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
-    along = Window.orderBy("part")
-    start = F.min("first").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    seams = ends.select(F.col("last").alias("seq"), F.coalesce(F.lead("first").over(along), start).alias("after"))
-    return ordered.join(seams, "seq", "left").select(
-        *keys.columns, "seq", F.coalesce("after", F.col("seq") + 1).alias("next_seq")
-    )
-
-
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of an edited form of it, and how alike they are.
 

@@ -14,7 +14,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseline.llm.common import saved, shipped, texts
@@ -144,16 +144,50 @@ def matrix(values) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in values]).reshape(len(values), -1)
 
 
-def with_form(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``form`` of every whole text."""
+def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
+    """The model of ``docs`` and their training labels; None if nothing can be learned from them.
+
+    Only the ids are read to choose the sample; only the sample's texts come to be described.
+    """
     shipped(__name__)
+    known = training_labels(labels, "quality")
+    prior = prior_of(known)
+    if not prior or prior >= 1:
+        return None
+    rows = texts(docs)
+    good = sampled(known.where("label = 1").join(rows.select("doc_id").distinct(), "doc_id"), sample)
+    any_ = sampled(rows.select("doc_id").where("doc_id is not null").distinct(), sample, seed=12)
+    chosen = saved(
+        good.select("doc_id", F.lit(True).alias("good")).unionByName(any_.select("doc_id", F.lit(False).alias("good"))),
+        "sample",
+    )
 
     @F.pandas_udf("array<float>")
     def described(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([form(t) for t in batch])
 
-    return texts(docs).select("doc_id", described("text").alias("form"))
+    # The sample's size is bounded by the parameter, so its ids may go to every task.
+    found = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", described("text").alias("form"))
+    table = found.dropDuplicates(["doc_id", "good"]).orderBy("doc_id", "good").toPandas()
+    mark = table["good"].to_numpy(dtype=bool)
+    if not mark.any() or mark.all():
+        return None
+    values = matrix(table["form"])
+    return fit_pu(values[mark], values[~mark], prior)
+
+
+def score_of(model: Network | None, text: Column) -> Column:
+    """The score of a whole text as a column: the probability of class 1, or 1 without a model."""
+    if model is None:
+        return F.lit(1.0)
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(model.score(matrix([form(t) for t in batch])) if len(batch) else [], dtype="float64")
+
+    return score(F.coalesce(text, F.lit("")))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
@@ -161,30 +195,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
 
     Only training rows with label 1 are learned from, next to unlabelled texts; the training labels'
     share of ones is the class prior. At most ``sample`` rows of either kind are fitted on (those of
-    the smallest hashes of their ids). The texts are read once, for their form, which is written and
-    read again. A NULL text is empty. Repeated rows are scored alike. Without a usable label of
-    class 1 nothing speaks against any text: all scores are 1. If all labels are 1, so is the prior,
-    and all scores are 1.
+    the smallest hashes of their ids). A NULL text is empty. Repeated rows are scored alike. Without
+    training labels of both classes nothing speaks for or against any text: all scores are 1.
     """
-    known = training_labels(labels, "quality")
-    described = saved(with_form(docs), "form")
-    prior = prior_of(known)
-    out = described.withColumn("held_out", held_out(F.col("doc_id")))
-    if not prior or prior >= 1:
-        scored = out.select("doc_id", "held_out", F.lit(1.0).alias("score"))
-    else:
-        good = described.join(known.where("label = 1").select("doc_id"), "doc_id", "left_semi")
-        positive = matrix(sampled(good, sample).toPandas()["form"])
-        unlabelled = matrix(sampled(described, sample, seed=12).toPandas()["form"])
-        if len(positive):
-            model = fit_pu(positive, unlabelled, prior)
-
-            @F.pandas_udf("double")
-            def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-                for batch in batches:
-                    yield pd.Series(model.score(matrix(batch)) if len(batch) else [], dtype="float64")
-
-            scored = out.select("doc_id", "held_out", score("form").alias("score"))
-        else:
-            scored = out.select("doc_id", "held_out", F.lit(1.0).alias("score"))
+    model = fitted(docs, labels, sample)
+    scored = texts(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_of(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, as they are, whose texts score ``threshold`` or more."""
+    return docs.where(score_of(fitted(docs, labels, sample), docs["text"]) >= threshold)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseline.llm import decontaminate, jaccard, order_minhash, packing, quality, shards, tokens, toxicity, warc
+from pulseline.llm import decontaminate, jaccard, order_minhash, packing, quality, shards, suffixes, tokens, toxicity, warc
 from pulseline.llm.common import table
 from pulseline.plans.registry import Query
 
@@ -31,6 +31,10 @@ def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.edited_likeness(table(spark, folder, "documents"))
 
 
+def op5_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.digests(suffixes.deduplicated(table(spark, folder, "documents")))
+
+
 def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_records(table(spark, folder, "pages"))
 
@@ -73,6 +77,7 @@ QUERIES = {
     "op2_sharding": Query(op2_sharding),
     "op3_token_counts": Query(op3_token_counts),
     "op4_order_minhash": Query(op4_order_minhash),
+    "op5_suffixes": Query(op5_suffixes),
     "op6_warc": Query(op6_warc, OP6_SQL),
     "op7_quality": Query(op7_quality),
     "op8_jaccard": Query(op8_jaccard),
