@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulseline.llm.common import saved
 from pulseline.session import work_dir
 
 # Bytes that a row counts besides its text.
@@ -45,14 +46,19 @@ def write_shards(
     total = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
     n_buckets = max(1, -(-total["bytes"] // bucket_bytes))
 
-    def scattered(*by) -> tuple[DataFrame, DataFrame]:
+    def scattered(*by) -> DataFrame:
         bucket = F.pmod(F.xxhash64(F.lit(seed), doc_id, *by), F.lit(n_buckets)).cast("bigint")
-        placed = rows.withColumn("bucket", bucket)
-        return placed, placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+        return rows.withColumn("bucket", bucket)
 
-    placed, sizes = scattered(F.crc32(text))
+    def sizes_of(placed: DataFrame) -> DataFrame:
+        return placed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+
+    placed = scattered(F.crc32(text))
+    sizes = sizes_of(placed)
     if n_buckets > 1 and sizes.where(F.col("bytes") > 4 * bucket_bytes).limit(1).count():
-        placed, sizes = scattered(F.monotonically_increasing_id())
+        # Places may come out otherwise when they are asked for again, so these buckets are written.
+        placed = saved(scattered(F.monotonically_increasing_id()), "scattered")
+        sizes = sizes_of(placed)
 
     # One short row per bucket.
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
