@@ -31,11 +31,12 @@ def metres_of(column: Column) -> Column:
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance in metres."""
+    """Great-circle distance in metres; NULL if a coordinate is."""
     dlat = F.sin(F.radians(lat1 - lat2) / 2)
     dlon = F.sin(F.radians(lon1 - lon2) / 2)
     h = dlat * dlat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * dlon * dlon
-    return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2 * EARTH_RADIUS_M)
+    # ``least`` would pass over a NULL.
+    return F.asin(F.sqrt(F.when(h > 1.0, F.lit(1.0)).otherwise(h))) * (2 * EARTH_RADIUS_M)
 
 
 def euclid(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

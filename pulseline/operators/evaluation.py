@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseline.operators.skew import DEFAULT, Budget, with_previous
 from pulseline.sources.rules import ABOVE_SAMPLES, EvalRule, rule_column
 
 
+def whole_value(value: str = "value") -> Column:
+    """A sample as a whole number, cut toward zero; NULL if it is NULL or beyond 64 bits.
+
+    The rules take such a sample for none: it is neither tested nor counted.
+    """
+    return F.col(value).try_cast("bigint")
+
+
 def newest(
     df: DataFrame, n: int, keys: list[str], ts: str = "ts", tie: str = "event_id"
 ) -> DataFrame:
@@ -24,10 +32,10 @@ def last_n_above(
 
     Values count in whole numbers, cut toward zero.
     """
-    series = df.where(F.col("event_type") == event_type)
+    series = df.where((F.col("event_type") == event_type) & whole_value().isNotNull())
     return (
         newest(series, n, [device])
-        .withColumn("whole_value", F.col("value").cast("int"))
+        .withColumn("whole_value", whole_value())
         .where(F.col("whole_value") > threshold)
         .select(device, "event_id", "ts", "whole_value")
     )
@@ -40,13 +48,13 @@ def average_of_last(
 
     Samples and average are whole numbers, cut toward zero.
     """
-    series = df.where(F.col("event_type") == event_type)
+    series = df.where((F.col("event_type") == event_type) & whole_value().isNotNull())
     return (
         newest(series, n, [device])
         .groupBy(device)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("int")).alias("_total"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(whole_value().cast("decimal(38,0)")).alias("_total"))
         .where(F.col("n") == n)
-        .select(device, F.call_function("div", "_total", F.lit(n)).alias("average"))
+        .select(device, F.call_function("div", "_total", F.lit(n).cast("decimal(38,0)")).alias("average"))
         .where(F.col("average") < threshold)
     )
 
@@ -60,25 +68,25 @@ def evaluate_rules(df: DataFrame, rules: list[EvalRule], device: str = "user_id"
     if not rules:
         raise ValueError("no rules")
     deepest = max(r.samples for r in rules)
-    series = df.where(F.col("event_type").isin(sorted({r.event for r in rules})))
+    series = df.where(F.col("event_type").isin(sorted({r.event for r in rules})) & whole_value().isNotNull())
     ruled = (
         newest(series, deepest, [device, "event_type"])
         .select(device, "event_id", "ts", "value", "rank", F.inline(rule_column(rules, F.col("event_type"))))
         .where(F.col("rank") <= F.col("samples"))
-        .withColumn("_whole", F.col("value").cast("int"))
+        .withColumn("_whole", whole_value())
     )
     # Both kinds become one aggregate: ">" keeps each passing sample, "avg<" needs the sum.
     per_rule = ruled.groupBy("rule_id", "event", "sign", "samples", "threshold", device).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.sum("_whole").cast("bigint").alias("_total"),
+        F.sum(F.col("_whole").cast("decimal(38,0)")).alias("_total"),
         F.collect_list(
             F.when(
                 (F.col("sign") == ">") & (F.col("_whole") > F.col("threshold")),
-                F.struct("event_id", F.col("_whole").cast("bigint").alias("measure")),
+                F.struct("event_id", F.col("_whole").alias("measure")),
             )
         ).alias("_above"),
     )
-    average = F.call_function("div", F.col("_total"), F.col("samples").cast("bigint"))
+    average = F.call_function("div", F.col("_total"), F.col("samples").cast("decimal(38,0)"))
     below = F.when(
         (F.col("_n") == F.col("samples")) & (average < F.col("threshold")),
         F.array(F.struct(F.lit(None).cast("bigint").alias("event_id"), average.alias("measure"))),

@@ -48,8 +48,11 @@ def geofence_transitions(
     tie: str = "event_id",
     budget: Budget = DEFAULT,
 ) -> DataFrame:
-    """Fixes at which a device enters or leaves; before its first fix it counts as outside."""
-    flagged = inside(df, fence).select(device, ts, tie, "inside")
+    """Fixes at which a device enters or leaves; before its first fix it counts as outside.
+
+    A malformed fix (a NULL coordinate) says nothing and moves no device.
+    """
+    flagged = inside(df, fence).where(F.col("inside").isNotNull()).select(device, ts, tie, "inside")
     before = F.coalesce("prev_1.inside", F.lit(False))
     moved = with_previous(flagged, ["inside"], [device], 1, ts, tie, budget).where(
         F.col("inside") != before
@@ -88,6 +91,7 @@ def pairs_within(
         width = _reach(F.least(edge, F.lit(90.0)), angle)
         return F.greatest(F.floor(F.lit(360.0) / width), F.lit(1))
 
+    positions = positions.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     band = F.floor((F.col("lat") + 90.0) / height)
     turn = F.pmod(F.col("lon") + 180.0, F.lit(360.0))
     resting = positions.select(

@@ -13,15 +13,28 @@ from pulseline.operators.joins import overlap_join
 from pulseline.plans import basics, patterns, places, timing
 from pulseline.plans.registry import A, B, C, D, Query
 from pulseline.session import work_dir
-from pulseline.sources.tables import events_stream, with_location
+from pulseline.sources.tables import events, events_stream, with_location
 from pulseline.streaming import keyed, sinks, windowed
-from pulseline.streaming.replay import replay, run_to_end
+from pulseline.streaming.replay import disorder, replay, run_to_end
+
+# Files per micro-batch of all replays here; None takes all at once. The rows do not depend on it.
+FILES_PER_BATCH: int | None = None
+
+
+def source(spark: SparkSession, folder: str) -> DataFrame:
+    return events_stream(spark, folder, FILES_PER_BATCH)
+
+
+def replayed(spark: SparkSession, folder: str, build, name: str, **options) -> DataFrame:
+    """All that ``build`` emits over the stored events, in whatever order their files are read."""
+    delay = disorder(events(spark, folder))
+    return replay(spark, source(spark, folder), build, name, watermark=delay, **options)
 
 
 def stream_freq_in_hop(spark: SparkSession, folder: str) -> DataFrame:
-    return replay(
+    return replayed(
         spark,
-        events_stream(spark, folder),
+        folder,
         lambda s: windows.event_frequency(s, A, 3, "1 hour", "10 minutes"),
         "freq_in_hop",
         event_type=A,
@@ -29,9 +42,9 @@ def stream_freq_in_hop(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_a_then_b_in_hop(spark: SparkSession, folder: str) -> DataFrame:
-    return replay(
+    return replayed(
         spark,
-        events_stream(spark, folder),
+        folder,
         lambda s: windows.followed_within(s, A, B, "1 hour", "10 minutes"),
         "a_then_b_in_hop",
         event_type=A,
@@ -46,31 +59,32 @@ def stream_overlap_join_ab(spark: SparkSession, folder: str) -> DataFrame:
             "left_event_id", "right_event_id", "left_ts", "right_ts", "valid_from", "valid_to"
         )
 
-    return replay(spark, events_stream(spark, folder), build, "overlap_join_ab", close=False)
+    return replayed(spark, folder, build, "overlap_join_ab", close=False)
 
 
 def stream_seq_abc_immediate(spark: SparkSession, folder: str) -> DataFrame:
-    return replay(
+    return replayed(
         spark,
-        events_stream(spark, folder),
+        folder,
         lambda s: windowed.stream_match_sequence(s, [A, B, C], "10 minutes", bin_width="1 minute"),
         "seq_abc_immediate",
     )
 
 
 def stream_geofence_transitions(spark: SparkSession, folder: str) -> DataFrame:
-    return replay(
+    return replayed(
         spark,
-        events_stream(spark, folder),
+        folder,
         lambda s: keyed.stream_geofence_transitions(with_location(s), places.FENCE, bin_width="1 day"),
         "geofence_transitions",
+        props='{"k": 1}',
     )
 
 
 def stream_threshold_cross_up(spark: SparkSession, folder: str) -> DataFrame:
-    return replay(
+    return replayed(
         spark,
-        events_stream(spark, folder),
+        folder,
         lambda s: keyed.stream_threshold_cross_up(s, 42, bin_width="1 day"),
         "threshold_cross_up",
     )
@@ -78,31 +92,35 @@ def stream_threshold_cross_up(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_avg_last_n(spark: SparkSession, folder: str) -> DataFrame:
     """The last average of each device, where it is below the threshold."""
-    updates = replay(
+    updates = replayed(
         spark,
-        events_stream(spark, folder),
+        folder,
         lambda s: keyed.stream_average_of_last(s, C, 10, bin_width="1 day"),
         "avg_last_n",
         event_type=C,
+        value=0.0,
     )
     final = updates.groupBy("user_id").agg(F.max_by("average", "as_of").alias("average"))
     return final.where(F.col("average") < 50)
 
 
 def stream_device_liveness(spark: SparkSession, folder: str) -> DataFrame:
-    return replay(
+    """Silences as of the newest event: the marker moves the watermark just there."""
+    newest, oldest = events(spark, folder).agg(F.max("ts"), F.min("ts")).first()
+    close = newest + (newest - oldest) if newest else False
+    return replayed(
         spark,
-        events_stream(spark, folder),
+        folder,
         lambda s: windowed.stream_liveness(s, "18 hours", "24 hours"),
         "device_liveness",
-        close=False,
+        close=close,
     )
 
 
 def stream_inside_fence_hop(spark: SparkSession, folder: str) -> DataFrame:
-    near = replay(
+    near = replayed(
         spark,
-        events_stream(spark, folder),
+        folder,
         lambda s: windows.nearest_to_point(
             with_location(s), fence_distance(places.FENCE), "1 hour", "10 minutes", 20_000.0
         ),
@@ -112,9 +130,9 @@ def stream_inside_fence_hop(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_seq_fsm_hop(spark: SparkSession, folder: str) -> DataFrame:
-    return replay(
+    return replayed(
         spark,
-        events_stream(spark, folder),
+        folder,
         lambda s: windowed.stream_sequence_fsm(s, (A, B, C, D), "1 hour", "10 minutes"),
         "seq_fsm_hop",
         event_type=A,
@@ -123,9 +141,9 @@ def stream_seq_fsm_hop(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_proximity_named(spark: SparkSession, folder: str) -> DataFrame:
     pairs = places.watched_pairs(spark, folder)
-    near = replay(
+    near = replayed(
         spark,
-        events_stream(spark, folder),
+        folder,
         lambda s: named_proximity(with_location(s), pairs, "1 day", "6 hours", 1.0),
         "proximity_named",
     )
@@ -133,9 +151,9 @@ def stream_proximity_named(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_proximity_box(spark: SparkSession, folder: str) -> DataFrame:
-    near = replay(
+    near = replayed(
         spark,
-        events_stream(spark, folder),
+        folder,
         lambda s: box_pairs(with_location(s), 0.16, 0.165, "30 minutes", "1 minute"),
         "proximity_box",
         close=False,
@@ -144,19 +162,19 @@ def stream_proximity_box(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    return replay(
-        spark,
-        events_stream(spark, folder),
-        lambda s: windowed.stream_distinct(s, ["user_id", "event_type", "ts"]).select("event_id", "ts"),
-        "distinct",
-        close=False,
-    )
+    """A feed that brings a fifth of its events twice, each kept once."""
+
+    def build(stream: DataFrame) -> DataFrame:
+        twice = stream.unionByName(stream.where(F.col("event_id") % 5 == 0))
+        return windowed.stream_distinct(twice, ["user_id", "event_type", "ts"]).select("user_id", "event_type", "ts")
+
+    return replayed(spark, folder, build, "distinct", close=False)
 
 
 def stream_latest_location(spark: SparkSession, folder: str) -> DataFrame:
     """Each device's position as a table that the stream keeps up to date."""
     run = work_dir(spark, "latest_location")
-    located = with_location(events_stream(spark, folder))
+    located = with_location(source(spark, folder))
     newest = F.max_by(F.struct("ts", "lat", "lon"), F.struct("ts", "event_id")).alias("newest")
     state = located.groupBy("user_id").agg(newest).select("user_id", "newest.*")
     run_to_end(sinks.updates(state, f"{run}/out", f"{run}/checkpoint"))
@@ -167,7 +185,7 @@ def stream_latest_location(spark: SparkSession, folder: str) -> DataFrame:
 def stream_event_table(spark: SparkSession, folder: str) -> DataFrame:
     """Events appended to a table by type and day, read back."""
     run = work_dir(spark, "event_table")
-    slim = events_stream(spark, folder).select("event_id", "ts", "user_id", "event_type", "value")
+    slim = source(spark, folder).select("event_id", "ts", "user_id", "event_type", "value")
     run_to_end(sinks.event_table(slim, f"{run}/out", f"{run}/checkpoint"))
     return spark.read.parquet(f"{run}/out").drop("event_date")
 
@@ -175,7 +193,7 @@ def stream_event_table(spark: SparkSession, folder: str) -> DataFrame:
 def stream_alert_topics(spark: SparkSession, folder: str) -> DataFrame:
     """Alerts of two stateless rules, written under their topics and read back."""
     run = work_dir(spark, "alert_topics")
-    stream = with_location(events_stream(spark, folder))
+    stream = with_location(source(spark, folder))
     high = above(stream, "value", 10)
     near = stream.withColumn("distance", fence_distance(places.FENCE)).where(F.col("distance") <= 20_000.0)
     alerts = all_alerts(
@@ -203,7 +221,7 @@ QUERIES = {
     "stream_seq_fsm_hop": Query(stream_seq_fsm_hop, patterns.QUERIES["seq_fsm_hop"].sql),
     "stream_proximity_named": Query(stream_proximity_named, places.QUERIES["proximity_named"].sql),
     "stream_proximity_box": Query(stream_proximity_box, places.QUERIES["proximity_box"].sql),
-    "stream_distinct": Query(stream_distinct, "SELECT event_id, ts FROM events"),
+    "stream_distinct": Query(stream_distinct, "SELECT DISTINCT user_id, event_type, ts FROM events"),
     "stream_latest_location": Query(stream_latest_location, places.QUERIES["latest_location"].sql),
     "stream_event_table": Query(
         stream_event_table, "SELECT event_id, ts, user_id, event_type, value FROM events"

@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from pulseline.schemas import CONFIG
 
-# Newest samples looked at by a ">" rule, whatever its count says (fixed value).
+# Newest samples that a ">" rule looks at if its count is -1 (fixed value).
 ABOVE_SAMPLES = 10
 
 
 @dataclass(frozen=True)
 class EvalRule:
-    """One line of the evaluation table; ``sign`` is ``">"`` or ``"avg<"``."""
+    """One line of the evaluation table; ``sign`` is ``">"`` or ``"avg<"``.
+
+    ``count`` is how many of the newest samples the rule looks at; -1 in a ``>`` rule stands for
+    ``ABOVE_SAMPLES``.
+    """
 
     event: str
     sign: str
@@ -24,7 +28,9 @@ class EvalRule:
 
     @property
     def samples(self) -> int:
-        return ABOVE_SAMPLES if self.sign == ">" else self.count
+        if self.count < 1 and not (self.sign == ">" and self.count == -1):
+            raise ValueError(f"a rule on {self.event} cannot look at {self.count} samples")
+        return ABOVE_SAMPLES if self.count == -1 else self.count
 
 
 @dataclass(frozen=True)

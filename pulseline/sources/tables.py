@@ -18,15 +18,25 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def events_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """The same table as an unbounded stream of files."""
-    schema = load(spark, folder, "events").schema
-    stream = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events*.parquet")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
+
+
+def events_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """The same table as an unbounded stream of files, whether it is one file or a folder of them.
+
+    ``files_per_batch`` bounds what one micro-batch takes; without it each takes all there is.
+    """
+    path = f"{folder.rstrip('/')}/events.parquet"
+    reader = spark.readStream.schema(load(spark, folder, "events").schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if _is_folder(spark, path):
+        stream = reader.parquet(path)
+    else:
+        # A file stream watches a folder, so the file is named by a pattern, with nothing left open.
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

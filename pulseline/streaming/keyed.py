@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 
 from pulseline.functions.geo import metres
 from pulseline.functions.temporal import duration
+from pulseline.operators.evaluation import whole_value
 from pulseline.operators.geo import fence_distance
 from pulseline.sources.rules import Fence
 from pulseline.streaming.processors import CarryNewest, CarryPrevious
 
 
-def _binned(df: DataFrame, device: str, width: str, value: Column) -> DataFrame:
+def _binned(df: DataFrame, device: str, width: str, value: Column, kind: str = "double") -> DataFrame:
     """One row per device and bin, with the bin's samples in time order."""
-    sample = F.struct("ts", "event_id", value.cast("double").alias("value"))
+    sample = F.struct("ts", "event_id", value.cast(kind).alias("value"))
     bins = F.window("ts", f"{duration(width)} microseconds")
     return df.groupBy(device, bins.alias("bin")).agg(F.sort_array(F.collect_list(sample)).alias("samples"))
 
@@ -69,10 +70,13 @@ def stream_previous(
 def stream_geofence_transitions(
     df: DataFrame, fence: Fence, device: str = "user_id", bin_width: str = "1 minute"
 ) -> DataFrame:
-    """Devices entering or leaving the fence; before its first fix a device is outside."""
+    """Devices entering or leaving the fence; before its first fix a device is outside.
+
+    A malformed fix (a NULL coordinate) says nothing.
+    """
     is_in = (fence_distance(fence) <= metres(fence.radius)).cast("double")
     moved = stream_previous(
-        df, is_in, lambda now, before: now != F.coalesce(before, F.lit(0.0)), device, bin_width
+        df.where(is_in.isNotNull()), is_in, lambda now, before: now != F.coalesce(before, F.lit(0.0)), device, bin_width
     )
     kind = F.when(F.col("value") == 1, F.lit("enter")).otherwise(F.lit("leave"))
     return moved.select(device, "ts", "event_id", kind.alias("transition"))
@@ -99,16 +103,17 @@ def stream_average_of_last(
 ) -> DataFrame:
     """Average of each device's newest ``n`` samples, one row per update.
 
-    The average is NULL until there are ``n`` samples. Values and average are cut toward zero.
+    The average is NULL until there are ``n`` samples. Values and average are cut toward zero;
+    a value that is NULL or beyond 64 bits is no sample.
     """
-    series = df.where(F.col("event_type") == event_type)
-    whole = F.col("value").cast("int")
-    bins = _binned(series, device, bin_width, whole).select(
+    whole = whole_value()
+    series = df.where((F.col("event_type") == event_type) & whole.isNotNull())
+    bins = _binned(series, device, bin_width, whole, "bigint").select(
         F.col(device).alias("device"),
         F.col("bin.end").alias("bin_end"),
         F.transform(
             F.slice("samples", F.greatest(F.size("samples") - n + 1, F.lit(1)), n),
-            lambda s: s["value"].cast("bigint"),
+            lambda s: s["value"],
         ).alias("newest"),
     )
     kind = df.schema[device].dataType.simpleString()

@@ -34,9 +34,21 @@ def _marker(spark: SparkSession, like: DataFrame, **values) -> DataFrame:
     )
 
 
-def run_to_end(writer: DataStreamWriter) -> None:
-    """Run a stream until its input is used up."""
-    writer.trigger(availableNow=True).start().awaitTermination()
+class LateRowsDropped(RuntimeError):
+    """A replay lost rows because the watermark had passed them."""
+
+
+def run_to_end(writer: DataStreamWriter) -> int:
+    """Run a stream until its input is used up; returns how many rows the watermark dropped."""
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+
+
+def disorder(stored: DataFrame) -> str:
+    """A watermark delay that covers any order in which the stored events may be read."""
+    span = stored.agg((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("span")).first()["span"]
+    return f"{-(-(span or 0) // 1000)} milliseconds"
 
 
 def _append(query: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
@@ -50,24 +62,32 @@ def replay(
     build: Callable[[DataFrame], DataFrame],
     name: str,
     watermark: str = "0 seconds",
-    close: bool = True,
+    close: bool | datetime = True,
+    lossless: bool = True,
     **marker,
 ) -> DataFrame:
     """Run ``build`` over a stream of stored events and return everything it emitted.
 
-    ``close`` sends the marker, so that open windows come out too; ``marker`` fills further
+    The stream runs while the query is being built; the result is a table of what it wrote.
+    ``watermark`` must cover the disorder in which the files may be read (see ``disorder``). If
+    rows are dropped all the same, a ``lossless`` replay fails. ``close`` sends the marker, so that
+    open windows come out too, or a marker of the time given; ``marker`` fills further
     columns of it where a filter would drop it.
     """
     configure(spark)
     folder = work_dir(spark, name)
     out, checkpoint, closing = (f"{folder}/{part}" for part in ("out", "checkpoint", "closing"))
     marker_row = _marker(spark, source, **marker)
+    if isinstance(close, datetime):
+        marker_row = marker_row.withColumn("ts", F.lit(close))
     marker_row.limit(0).write.parquet(closing)
     late = spark.readStream.schema(marker_row.schema).parquet(closing)
     stream = source.unionByName(late).withWatermark("ts", watermark)
     result = build(stream)
-    run_to_end(_append(result, out, checkpoint))
+    lost = run_to_end(_append(result, out, checkpoint))
     if close:
         marker_row.write.mode("append").parquet(closing)
-        run_to_end(_append(result, out, checkpoint))
+        lost += run_to_end(_append(result, out, checkpoint))
+    if lossless and lost:
+        raise LateRowsDropped(f"{name}: {lost} rows came after the watermark")
     return spark.read.schema(result.schema).parquet(out)
