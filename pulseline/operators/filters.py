@@ -84,3 +84,13 @@ def series_counts(df: DataFrame, event_types: list[str], device: str = "user_id"
     )
     entries = [F.struct(F.lit(t).alias("event_type"), F.col(t).alias("n")) for t in event_types]
     return counts.select(device, F.explode(F.array(*entries)).alias("s")).select(device, "s.*")
+
+
+def registered_series(
+    registry: DataFrame, df: DataFrame, event_types: list[str], device: str = "user_id"
+) -> DataFrame:
+    """Every registered device with every event type and its number of events, zeros included."""
+    counts = series_counts(df, event_types, device)
+    types = F.array(*[F.lit(t) for t in event_types])
+    series = registry.select(device).distinct().select(device, F.explode(types).alias("event_type"))
+    return series.join(counts, [device, "event_type"], "left").fillna(0, ["n"])

@@ -144,6 +144,13 @@ def last_seen_order(
     """
     types = sorted({t for p in patterns for t in p})
     newest = last_seen(df.where(F.col("event_type").isin(types)), types, device, ts)
+    return in_pattern_order(newest, patterns, device, max_gap)
+
+
+def in_pattern_order(
+    newest: DataFrame, patterns: list[list[str]], device: str = "user_id", max_gap: str | None = None
+) -> DataFrame:
+    """The same from a table of last times, as ``filters.last_seen`` gives it or a stream keeps it."""
 
     def verdict(pattern: list[str]) -> Column:
         seen = [F.col(f"last_{t}") for t in pattern]

@@ -1,8 +1,8 @@
 """Spreading hot keys.
 
 A key may hold a large share of all rows. ``Budget.rows`` is what one task should get; a key
-above it is hot. At most (row count / budget) keys can be hot, which bounds every table of hot
-keys, so those tables may be broadcast.
+above it is hot. At most (row count / budget) keys can be hot. Spark measures the tables of hot
+keys and broadcasts them if they are small; nothing forces it to.
 """
 
 from __future__ import annotations
@@ -46,15 +46,27 @@ def salted_join(
         .select(*on, F.ceil(F.col("_n") / F.lit(budget.rows)).cast("int").alias("_salts"))
     )
     salts = F.coalesce("_salts", F.lit(1))
-    spread = left.join(F.broadcast(hot), on, "left").withColumn(
+    spread = left.join(hot, on, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")
     )
-    copied = right.join(F.broadcast(hot), on, "left").withColumn(
+    copied = right.join(hot, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), salts - 1))
     )
     return spread.drop("_salts").join(copied.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
+def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``table``, which has a row per key at most; NULL keys match too.
+
+    Spark broadcasts the table if it measures it as small.
+    """
+    named = table.select([F.col(c).alias(f"_of_{c}") if c in keys else F.col(c) for c in table.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(named[f"_of_{k}"])
+    return rows.join(named, same, "left").drop(*[f"_of_{k}" for k in keys])
+
+
 def _sliced(df: DataFrame, keys: list[str], ts: str, budget: Budget) -> DataFrame:
     """Add ``_hot`` and ``_s0`` .. ``_s2``: the time slice of each row of a hot key.
 
@@ -72,7 +84,7 @@ def _sliced(df: DataFrame, keys: list[str], ts: str, budget: Budget) -> DataFram
 
     if keys:
         hot = over_budget(df, keys).select(*keys, F.lit(True).alias("_hot"))
-        rows = df.join(F.broadcast(hot), keys, "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        rows = _with(df, hot, keys).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     else:
         rows = df.withColumn("_hot", F.lit(True))
     rows = rows.withColumns(
@@ -89,7 +101,7 @@ def _sliced(df: DataFrame, keys: list[str], ts: str, budget: Budget) -> DataFram
         cut = over_budget(rows.where(crowded), path).select(*path, parts)
         scaled = F.col("_at") * F.col(f"_parts{level}")
         part = F.call_function("div", scaled, F.lit(width).cast("bigint"))
-        rows = rows.join(F.broadcast(cut), path, "left").withColumns(
+        rows = _with(rows, cut, path).withColumns(
             {f"_s{level}": part, "_at": F.pmod(scaled, F.lit(width))}
         )
         path, crowded = [*path, f"_s{level}"], F.col(f"_parts{level}").isNotNull()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from pulseline.functions import temporal, text
 from pulseline.functions.geo import metres_of
 from pulseline.operators import alerts, evaluation, filters
 from pulseline.plans.registry import LETTERS, A, B, C, D, E, Query
+from pulseline.session import work_dir
 from pulseline.sources import feeds, rules
 from pulseline.sources.tables import events, load, with_fix_text, with_location
 
@@ -214,6 +217,63 @@ def rule_table(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.evaluate_rules(events(spark, folder), EVAL_RULES)
 
 
+def filter_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Some types of one device: the one with the most events, the smallest id if several have."""
+    seen = events(spark, folder)
+    busiest = seen.groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first()
+    kept = filters.of_series(seen, [A, E], F.col("user_id"), busiest["user_id"] if busiest else None)
+    return kept.select("event_id", "user_id", "event_type")
+
+
+def registered_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Every registered device with every type, whether it has sent an event or not."""
+    return filters.registered_series(_registry(spark, folder), events(spark, folder), ALL_TYPES)
+
+
+# A configuration document as it would lie in the shared store.
+CONFIG_DOCUMENT = {
+    "device_ids": ["1", "2", "3"],
+    "event_types": ALL_TYPES,
+    "evaluation": [
+        {"event": E, "sign": ">", "count": -1, "threshold": 40},
+        {"event": E, "sign": ">", "count": 25, "threshold": 40},
+        {"event": C, "sign": "avg<", "count": 5, "threshold": 45},
+    ],
+}
+
+
+def configured_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules of a configuration document, which is written and read back."""
+    path = work_dir(spark, "configuration")
+    spark.createDataFrame([(json.dumps(CONFIG_DOCUMENT),)], "value string").write.text(path)
+    rule_list = rules.eval_rules(rules.read_config(spark, path))
+    return evaluation.evaluate_rules(events(spark, folder), rule_list)
+
+
+def messy(df: DataFrame, ties: bool = True) -> DataFrame:
+    """Events as feeds also bring them: no value, values beyond 32 and beyond 64 bits, times that tie."""
+    number = F.col("event_id")
+    value = (
+        F.when(number % 7 == 0, None)
+        .when(number % 11 == 0, F.lit(3e9))
+        .when(number % 13 == 0, F.lit(-1e30))
+        .otherwise(F.col("value"))
+    )
+    return df.withColumns({"value": value} | ({"ts": F.date_trunc("day", "ts")} if ties else {}))
+
+
+def messy_last_n_above(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.last_n_above(messy(events(spark, folder)), E, 10)
+
+
+def messy_avg_last_n(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.average_of_last(messy(events(spark, folder)), C, 10, 50)
+
+
+def messy_rule_table(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.evaluate_rules(messy(events(spark, folder)), EVAL_RULES)
+
+
 def threshold_cross_up(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.threshold_cross_up(events(spark, folder), 42, ["user_id"])
 
@@ -226,7 +286,60 @@ _POSITION = f"""39e0 + {_K} * 3e-2 AS lat, -107e0 + ((event_id * 37) % 170) * 1e
 _LAST_TEN = """SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r
   FROM events WHERE event_type = '{kind}'"""
 
+# The same on the SQL side; values that are no samples drop out.
+MESSY = """messy AS (
+  SELECT event_id, user_id, event_type, date_trunc('day', ts) AS ts,
+         CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 11 = 0 THEN 3e9
+              WHEN event_id % 13 = 0 THEN -1e30 ELSE value END AS value
+  FROM events)"""
+
+
+def _newest(source: str, kind: str, n: int) -> str:
+    """The newest ``n`` samples of a type per device, as whole numbers."""
+    return f"""(SELECT user_id, event_id, ts, trunc(value) AS whole FROM {source}
+        WHERE event_type = '{kind}' AND abs(value) < 9e18
+        QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= {n})"""
+
+
+def _above_sql(number: int, source: str, n: int, threshold: int) -> str:
+    return f"""SELECT {number} AS rule_id, 'error' AS event, '>' AS sign, user_id, event_id,
+        CAST(whole AS BIGINT) AS measure FROM {_newest(source, E, n)} WHERE whole > {threshold}"""
+
+
+def _average_sql(source: str, n: int, threshold: int) -> str:
+    return f"""SELECT user_id, CAST(trunc(sum(whole) / {n}) AS BIGINT) AS average FROM {_newest(source, C, n)}
+        GROUP BY user_id HAVING count(*) = {n} AND trunc(sum(whole) / {n}) < {threshold}"""
+
+
 QUERIES = {
+    "filter_series": Query(
+        filter_series,
+        """SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('view', 'error') AND user_id =
+           (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1)""",
+    ),
+    "registered_catalogue": Query(
+        registered_catalogue,
+        """SELECT c.c_custkey AS user_id, t.event_type, count(e.event_id) AS n
+           FROM customer c CROSS JOIN (SELECT DISTINCT event_type FROM events) t
+           LEFT JOIN events e ON e.user_id = c.c_custkey AND e.event_type = t.event_type
+           WHERE c.c_acctbal > 0 GROUP BY ALL""",
+    ),
+    "configured_rules": Query(
+        configured_rules,
+        f"""{_above_sql(0, "events", 10, 40)} UNION ALL {_above_sql(1, "events", 25, 40)} UNION ALL
+            SELECT 2, 'purchase', 'avg<', user_id, NULL, average FROM ({_average_sql("events", 5, 45)})""",
+    ),
+    "messy_last_n_above": Query(
+        messy_last_n_above,
+        f"""WITH {MESSY} SELECT user_id, event_id, ts, CAST(whole AS BIGINT) AS whole_value
+            FROM {_newest("messy", E, 10)} WHERE whole > 10""",
+    ),
+    "messy_avg_last_n": Query(messy_avg_last_n, f"WITH {MESSY} {_average_sql('messy', 10, 50)}"),
+    "messy_rule_table": Query(
+        messy_rule_table,
+        f"""WITH {MESSY} {_above_sql(0, "messy", 10, 10)} UNION ALL
+            SELECT 1, 'purchase', 'avg<', user_id, NULL, average FROM ({_average_sql("messy", 10, 50)})""",
+    ),
     "filter_event_type": Query(
         filter_event_type,
         "SELECT event_id, ts, user_id, event_type FROM events WHERE event_type ILIKE 'VIEW'",
@@ -340,7 +453,7 @@ QUERIES = {
     ),
     "last_n_above": Query(
         last_n_above,
-        f"""SELECT user_id, event_id, ts, CAST(trunc(value) AS INT) AS whole_value
+        f"""SELECT user_id, event_id, ts, CAST(trunc(value) AS BIGINT) AS whole_value
             FROM ({_LAST_TEN.format(kind=E)}) WHERE r <= 10 AND trunc(value) > 10""",
     ),
     "rule_table": Query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseline.functions.text import alert_line
 from pulseline.operators import geo, windows
+from pulseline.operators.skew import Budget
 from pulseline.plans.registry import LOCATIONS, NEWEST_LOCATION, Query, distance_sql, hops
 from pulseline.sources.rules import Fence
 from pulseline.sources.tables import events, with_location
@@ -36,6 +37,11 @@ def geofence_transitions(spark: SparkSession, folder: str) -> DataFrame:
     return geo.geofence_transitions(located(spark, folder), FENCE)
 
 
+def geofence_transitions_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a budget so small that every device counts as hot and is cut."""
+    return geo.geofence_transitions(located(spark, folder), FENCE, budget=Budget(rows=20, slice="6 hours"))
+
+
 def geofence_lines(spark: SparkSession, folder: str) -> DataFrame:
     moves = geo.geofence_transitions(located(spark, folder), FENCE)
     verb = F.when(F.col("transition") == "enter", "entering").otherwise("leaving")
@@ -53,14 +59,23 @@ def count_in_radius(spark: SparkSession, folder: str) -> DataFrame:
     return geo.count_within(geo.latest_location(located(spark, folder)), FENCE)
 
 
+def near_point(positions: DataFrame) -> DataFrame:
+    near = geo.within_radius(positions, FENCE)
+    return _rounded(near, 2, "distance_m").select("user_id", "distance_m")
+
+
+def near_pairs(positions: DataFrame) -> DataFrame:
+    return _rounded(geo.pairs_within(positions, "100000 ft"), 2, "distance_m")
+
+
 def list_in_radius(spark: SparkSession, folder: str) -> DataFrame:
-    near = geo.within_radius(geo.latest_location(located(spark, folder)), FENCE)
-    return _rounded(near, 2, "distance_m").select("user_id", "distance_m").orderBy("distance_m", "user_id")
+    near = near_point(geo.latest_location(located(spark, folder)))
+    return near.orderBy("distance_m", "user_id")
 
 
 def radius_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = geo.pairs_within(geo.latest_location(located(spark, folder)), "100000 ft")
-    return _rounded(pairs, 2, "distance_m").orderBy("left_id", "distance_m", "right_id")
+    pairs = near_pairs(geo.latest_location(located(spark, folder)))
+    return pairs.orderBy("left_id", "distance_m", "right_id")
 
 
 def proximity_box(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,6 +101,31 @@ def proximity_named(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(near, 6, "distance")
 
 
+def _with_bad_fixes(df: DataFrame) -> DataFrame:
+    """Some fixes without a latitude, some without any coordinate, some where the device has not been."""
+    bad = F.col("event_id") % 4 == 0
+    return df.withColumns(
+        {
+            "lat": F.when(~bad, F.col("lat")),
+            "lon": F.when(~bad | (F.col("event_id") % 8 == 0), F.col("lon")),
+        }
+    )
+
+
+def messy_geofence_transitions(spark: SparkSession, folder: str) -> DataFrame:
+    return geo.geofence_transitions(_with_bad_fixes(located(spark, folder)), FENCE)
+
+
+def messy_count_in_radius(spark: SparkSession, folder: str) -> DataFrame:
+    """Newest positions within half the circumference: all that are known."""
+    newest = geo.latest_location(_with_bad_fixes(located(spark, folder)))
+    return geo.count_within(newest, Fence(LATITUDE, LONGITUDE, "21000 km"))
+
+
+def messy_fence_membership(spark: SparkSession, folder: str) -> DataFrame:
+    return geo.inside(_with_bad_fixes(located(spark, folder)), FENCE).select("event_id", "user_id", "inside")
+
+
 TO_FENCE = distance_sql("lat", "lon", "40.00699e0", "-105.26284e0")
 
 _TRANSITIONS = f"""SELECT user_id, ts, event_id, CASE WHEN now_in THEN 'enter' ELSE 'leave' END AS transition
@@ -101,7 +141,26 @@ def _axis_sql(axis: str, limit: float) -> str:
     WHERE a.user_id <> b.user_id AND abs(a.{axis} - b.{axis}) <= {limit}"""
 
 
+_BAD = """fixes AS (
+  SELECT event_id, user_id, ts, CASE WHEN event_id % 4 <> 0 THEN lat END AS lat,
+         CASE WHEN event_id % 4 <> 0 OR event_id % 8 = 0 THEN lon END AS lon FROM loc)"""
+
 QUERIES = {
+    "messy_geofence_transitions": Query(
+        messy_geofence_transitions,
+        f"WITH {LOCATIONS}, {_BAD}, good AS (SELECT * FROM fixes WHERE lat IS NOT NULL AND lon IS NOT NULL) "
+        + _TRANSITIONS.replace("FROM loc", "FROM good"),
+    ),
+    "messy_count_in_radius": Query(
+        messy_count_in_radius,
+        f"""WITH {LOCATIONS}, {_BAD}
+            SELECT count(lat + lon) AS n FROM (SELECT * FROM fixes
+              QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)""",
+    ),
+    "messy_fence_membership": Query(
+        messy_fence_membership,
+        f"WITH {LOCATIONS}, {_BAD} SELECT event_id, user_id, {TO_FENCE} <= 100000 AS inside FROM fixes",
+    ),
     "latest_location": Query(
         latest_location,
         f"""WITH {LOCATIONS}, {NEWEST_LOCATION}
@@ -112,6 +171,7 @@ QUERIES = {
         f"WITH {LOCATIONS} SELECT event_id, user_id, {TO_FENCE} <= 100000 AS inside FROM loc",
     ),
     "geofence_transitions": Query(geofence_transitions, f"WITH {LOCATIONS} {_TRANSITIONS}"),
+    "geofence_transitions_hot": Query(geofence_transitions_hot, f"WITH {LOCATIONS} {_TRANSITIONS}"),
     "geofence_lines": Query(
         geofence_lines,
         f"""WITH {LOCATIONS} SELECT event_id, 'Device ' || user_id || ' is ' ||

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseline.operators.alerts import all_alerts, as_alert
 from pulseline.operators.filters import above
+from pulseline.operators.geo import latest_location
 from pulseline.plans import basics, patterns, places, timing
 from pulseline.plans.registry import A, B, Query
 from pulseline.sources.tables import events
@@ -59,8 +60,12 @@ def event_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def geo_report(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbours of every device, and the devices around the detection point."""
-    pairs = places.radius_pairs(spark, folder)
-    listed = places.list_in_radius(spark, folder)
+    return positions_report(latest_location(places.located(spark, folder)))
+
+
+def positions_report(positions: DataFrame) -> DataFrame:
+    """The same from a table of newest positions, which a stream may keep up to date; in no order."""
+    pairs, listed = places.near_pairs(positions), places.near_point(positions)
     return pairs.select(F.lit("pairs").alias("section"), "left_id", "right_id", "distance_m").unionByName(
         listed.select(
             F.lit("point").alias("section"),

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseline.operators import windows
-from pulseline.operators.filters import above
+from pulseline.operators.filters import above, last_seen
 from pulseline.operators.alerts import all_alerts, as_alert
 from pulseline.operators.geo import box_pairs, fence_distance, named_proximity
 from pulseline.operators.joins import overlap_join
-from pulseline.plans import basics, patterns, places, timing
+from pulseline.operators.sequences import in_pattern_order
+from pulseline.plans import basics, patterns, places, reports, timing
 from pulseline.plans.registry import A, B, C, D, Query
 from pulseline.session import work_dir
 from pulseline.sources.tables import events, events_stream, with_location
@@ -104,6 +105,20 @@ def stream_avg_last_n(spark: SparkSession, folder: str) -> DataFrame:
     return final.where(F.col("average") < 50)
 
 
+def stream_messy_avg_last_n(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with values that are no samples."""
+    updates = replayed(
+        spark,
+        folder,
+        lambda s: keyed.stream_average_of_last(basics.messy(s, ties=False), C, 10, bin_width="1 day"),
+        "messy_avg_last_n",
+        event_type=C,
+        value=0.0,
+    )
+    final = updates.groupBy("user_id").agg(F.max_by("average", "as_of").alias("average"))
+    return final.where(F.col("average") < 50)
+
+
 def stream_device_liveness(spark: SparkSession, folder: str) -> DataFrame:
     """Silences as of the newest event: the marker moves the watermark just there."""
     newest, oldest = events(spark, folder).agg(F.max("ts"), F.min("ts")).first()
@@ -171,17 +186,45 @@ def stream_distinct(spark: SparkSession, folder: str) -> DataFrame:
     return replayed(spark, folder, build, "distinct", close=False)
 
 
-def stream_latest_location(spark: SparkSession, folder: str) -> DataFrame:
+def kept_positions(spark: SparkSession, folder: str) -> DataFrame:
     """Each device's position as a table that the stream keeps up to date."""
     run = work_dir(spark, "latest_location")
     located = with_location(source(spark, folder))
     newest = F.max_by(F.struct("ts", "lat", "lon"), F.struct("ts", "event_id")).alias("newest")
     state = located.groupBy("user_id").agg(newest).select("user_id", "newest.*")
     run_to_end(sinks.updates(state, f"{run}/out", f"{run}/checkpoint"))
-    rows = sinks.newest_updates(spark, f"{run}/out", ["user_id"])
+    return sinks.newest_updates(spark, f"{run}/out", ["user_id"])
+
+
+def stream_latest_location(spark: SparkSession, folder: str) -> DataFrame:
+    rows = kept_positions(spark, folder)
     return rows.withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
 
 
+def stream_geo_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The position report from the kept positions alone, not from the history of events."""
+    return reports.positions_report(kept_positions(spark, folder))
+
+
+def stream_seq_last_seen(spark: SparkSession, folder: str) -> DataFrame:
+    """Devices whose types were last seen in pattern order, from a table of last times that a stream keeps."""
+    run = work_dir(spark, "last_seen")
+    state = last_seen(source(spark, folder), basics.ALL_TYPES)
+    run_to_end(sinks.updates(state, f"{run}/out", f"{run}/checkpoint"))
+    kept = sinks.newest_updates(spark, f"{run}/out", ["user_id"])
+    return in_pattern_order(kept, patterns.PATTERNS)
+
+
+def stream_snapshot_count(spark: SparkSession, folder: str) -> DataFrame:
+    return replayed(
+        spark,
+        folder,
+        lambda s: windows.snapshot_count(s, A, "80 minutes", "10 minutes"),
+        "snapshot_count",
+        event_type=A,
+    )
+
+
 def stream_event_table(spark: SparkSession, folder: str) -> DataFrame:
     """Events appended to a table by type and day, read back."""
     run = work_dir(spark, "event_table")
@@ -216,6 +259,10 @@ QUERIES = {
     ),
     "stream_threshold_cross_up": Query(stream_threshold_cross_up, basics.QUERIES["threshold_cross_up"].sql),
     "stream_avg_last_n": Query(stream_avg_last_n, basics.QUERIES["avg_last_n"].sql),
+    "stream_messy_avg_last_n": Query(
+        stream_messy_avg_last_n,
+        basics.QUERIES["messy_avg_last_n"].sql.replace("date_trunc('day', ts) AS ts", "ts"),
+    ),
     "stream_device_liveness": Query(stream_device_liveness, _LIVENESS),
     "stream_inside_fence_hop": Query(stream_inside_fence_hop, places.QUERIES["inside_fence_hop"].sql),
     "stream_seq_fsm_hop": Query(stream_seq_fsm_hop, patterns.QUERIES["seq_fsm_hop"].sql),
@@ -223,6 +270,9 @@ QUERIES = {
     "stream_proximity_box": Query(stream_proximity_box, places.QUERIES["proximity_box"].sql),
     "stream_distinct": Query(stream_distinct, "SELECT DISTINCT user_id, event_type, ts FROM events"),
     "stream_latest_location": Query(stream_latest_location, places.QUERIES["latest_location"].sql),
+    "stream_geo_report": Query(stream_geo_report, reports.QUERIES["geo_report"].sql),
+    "stream_seq_last_seen": Query(stream_seq_last_seen, patterns.QUERIES["seq_last_seen"].sql),
+    "stream_snapshot_count": Query(stream_snapshot_count, timing.QUERIES["snapshot_count"].sql),
     "stream_event_table": Query(
         stream_event_table, "SELECT event_id, ts, user_id, event_type, value FROM events"
     ),
