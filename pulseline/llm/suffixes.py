@@ -28,7 +28,7 @@ from pulseline.llm.rolling import Stretches, mixed
 # Bytes of a repeated string, and of the q-gram that anchors it.
 LENGTH, Q = 100, 20
 # Bytes of texts looked at together, and about the bytes of a shard.
-TOGETHER, SHARD = 200_000, 2_000_000
+TOGETHER, SHARD = 200_000, 1_000_000
 # Contexts of one anchor that a shard takes; runs of anchors with more are compared by hash.
 CROWD = 50_000
 MOST = np.iinfo(np.uint64).max
@@ -84,15 +84,18 @@ def anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
     return v[place], content.view(np.int64), own, place - starts[own], place - a, b - place
 
 
-def _batches(texts_: list[bytes], most: int = TOGETHER) -> Iterator[tuple[int, list[bytes]]]:
-    begin = 0
-    while begin < len(texts_):
-        end, size = begin, 0
-        while end < len(texts_) and (end == begin or size + len(texts_[end]) <= most):
-            size += len(texts_[end])
-            end += 1
-        yield begin, texts_[begin:end]
-        begin = end
+def _batches(found: pd.Series, most: int = TOGETHER) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts as bytes, a few at a time, with the place of the first."""
+    some, size, begin = [], 0, 0
+    for k, text in enumerate(found):
+        raw = text.encode("utf-8", "surrogatepass")
+        if some and size + len(raw) > most:
+            yield begin, some
+            some, size, begin = [], 0, k
+        some.append(raw)
+        size += len(raw)
+    if some:
+        yield begin, some
 
 
 def _classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +246,7 @@ def _anchor_rows(length: int, q: int):
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             uid = batch["uid"].to_numpy(dtype=np.int64)
-            raw_texts = [t.encode("utf-8", "surrogatepass") for t in batch["text"]]
-            for begin, some in _batches(raw_texts):
+            for begin, some in _batches(batch["text"]):
                 ends = np.cumsum([len(x) for x in some])
                 starts = np.r_[0, ends[:-1]]
                 raw = np.frombuffer(b"".join(some), dtype=np.uint8)
@@ -370,15 +372,21 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, q: int = Q, shard: int =
     by_text = spans.groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("found"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["uid", "n_bytes", "n_removed", "spans", "kept", "kept_text", "rest"]
         for batch in batches:
-            out = []
+            out, size = [], 0
             for uid, text, found, rest in zip(batch["uid"], batch["text"], batch["found"], batch["rest"]):
                 raw = text.encode("utf-8", "surrogatepass")
                 gone = merged([x["start"] for x in found], [x["end"] for x in found]) if found is not None else []
                 kept = _kept(raw, gone)
                 whole = _kept(raw, _whole_characters(raw, gone)).decode("utf-8", "surrogatepass")
                 out.append((uid, len(raw), len(raw) - len(kept), [{"start": a, "end": b} for a, b in gone], kept, whole, rest))
-            yield pd.DataFrame(out, columns=["uid", "n_bytes", "n_removed", "spans", "kept", "kept_text", "rest"])
+                size += len(raw)
+                if size > SHARD:
+                    yield pd.DataFrame(out, columns=names)
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     shape = "uid bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,end:bigint>>"
     rest = rows.schema["rest"].dataType.simpleString()
