@@ -67,7 +67,7 @@ def stream_seq_abc_immediate(spark: SparkSession, folder: str) -> DataFrame:
     return replayed(
         spark,
         folder,
-        lambda s: windowed.stream_match_sequence(s, [A, B, C], "10 minutes", bin_width="1 minute"),
+        lambda s: windowed.stream_match_sequence(s, [A, B, C], "10 minutes", bin_width="10 seconds"),
         "seq_abc_immediate",
     )
 
@@ -76,7 +76,7 @@ def stream_geofence_transitions(spark: SparkSession, folder: str) -> DataFrame:
     return replayed(
         spark,
         folder,
-        lambda s: keyed.stream_geofence_transitions(with_location(s), places.FENCE, bin_width="1 day"),
+        lambda s: keyed.stream_geofence_transitions(with_location(s), places.FENCE, bin_width="1 hour"),
         "geofence_transitions",
         props='{"k": 1}',
     )
@@ -86,7 +86,7 @@ def stream_threshold_cross_up(spark: SparkSession, folder: str) -> DataFrame:
     return replayed(
         spark,
         folder,
-        lambda s: keyed.stream_threshold_cross_up(s, 42, bin_width="1 day"),
+        lambda s: keyed.stream_threshold_cross_up(s, 42, bin_width="1 hour"),
         "threshold_cross_up",
     )
 
@@ -96,7 +96,7 @@ def stream_avg_last_n(spark: SparkSession, folder: str) -> DataFrame:
     updates = replayed(
         spark,
         folder,
-        lambda s: keyed.stream_average_of_last(s, C, 10, bin_width="1 day"),
+        lambda s: keyed.stream_average_of_last(s, C, 10, bin_width="1 hour"),
         "avg_last_n",
         event_type=C,
         value=0.0,
@@ -110,7 +110,7 @@ def stream_messy_avg_last_n(spark: SparkSession, folder: str) -> DataFrame:
     updates = replayed(
         spark,
         folder,
-        lambda s: keyed.stream_average_of_last(basics.messy(s, ties=False), C, 10, bin_width="1 day"),
+        lambda s: keyed.stream_average_of_last(basics.messy(s, ties=False), C, 10, bin_width="1 hour"),
         "messy_avg_last_n",
         event_type=C,
         value=0.0,
