@@ -1,10 +1,12 @@
 """Finding passages of benchmark items in documents, up to a budget of edits.
 
-Items are cut into overlapping windows. If a text holds a window of m characters with at most k
+Items are cut into short windows that start every few characters, so that any passage a little longer
+than a window holds a whole one, wherever it is cut. If a text holds a window of m characters with at most k
 edits, the two share at least m - q + 1 - kq of the window's q-grams (the q-gram lemma), and all of
 them lie on k + 1 neighbouring diagonals (place in the text minus place in the item). So shared
 q-grams are counted per window and diagonal band; bands overlap by half, and one of them holds all
-k + 1 diagonals. Only where a count reaches the bound, a banded alignment counts the edits.
+k + 1 diagonals. Places of items are indexed once, whatever the number of windows over them; only
+the places that lie dense enough in a band are dealt to their windows. Only where a count reaches the bound, a banded alignment counts the edits.
 
 Texts are compared by letters and digits in lower case, with single spaces between.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,19 +27,24 @@ from pulseline.llm.common import shipped, texts
 SPACE = 32
 # Bits of the table that says quickly whether a q-gram is in any item.
 SIEVE_BITS = 22
-# Characters of text looked through together.
-TOGETHER = 1 << 20
+# Characters of text looked through together, and windows aligned together.
+TOGETHER, ALIGNED = 1 << 20, 1 << 14
 MATCHES = "doc_id bigint, item_id bigint, edits int, n_windows int, matched_chars int, spans array<struct<start:int,end:int>>"
 
 
 @dataclass(frozen=True)
 class Rules:
-    """What counts as a match: characters per window and between windows, and edits per character."""
+    """What counts as a match: characters per window and between windows, and edits per character.
 
-    window: int = 110
-    step: int = 50
-    q: int = 10
-    budget: float = 0.08
+    A passage of ``window + step - 1`` characters holds a whole window, so it is found with as many
+    edits as a window may have. The step is below that number: a verbatim passage may even be
+    shorter than a window by ``edits``, as the rest of the window counts as edits.
+    """
+
+    window: int = 64
+    step: int = 5
+    q: int = 8
+    budget: float = 0.1
     # Items with fewer characters say too little to be looked for.
     least: int = 30
 
@@ -112,6 +120,8 @@ class Index:
 
     def build(self, rows: list[tuple[int, str]]) -> Index:
         rules, texts_, starts, ends, owner = self.rules, [], [], [], []
+        # Of each q-gram: itself, its place, and the windows that hold it (from, up to).
+        keys, places, low, high = [], [], [], []
         at = 0
         for item_id, text in rows:
             points, _ = normal(text or "")
@@ -120,6 +130,12 @@ class Index:
                 continue
             first = range(0, max(m - rules.window, 0) + 1, rules.step)
             own = sorted({*first, max(m - rules.window, 0)})
+            g = grams(points, rules.q)
+            place = np.arange(len(g))
+            keys.append(g)
+            places.append(at + place)
+            low.append(len(owner) + np.searchsorted(own, place + rules.q - rules.window))
+            high.append(len(owner) + np.searchsorted(own, place, side="right"))
             starts += [at + s for s in own]
             ends += [at + min(s + rules.window, m) for s in own]
             owner += [len(self.items)] * len(own)
@@ -134,17 +150,10 @@ class Index:
         self.budget = np.array([rules.edits(m) for m in length], dtype=np.int64)
         self.bound = np.array([rules.shared(m) for m in length], dtype=np.int64)
         self.band = int(self.budget.max(initial=0)) + 1
-        # (q-gram, its place, its window), in the order of q-grams.
-        keys, places, windows = [], [], []
-        for w, (a, b) in enumerate(zip(starts, ends)):
-            g = grams(self.text[a:b], rules.q)
-            keys.append(g)
-            places.append(np.arange(a, a + len(g)))
-            windows.append(np.full(len(g), w))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
-        keys, places, windows = join(keys, np.uint64), join(places, np.int64), join(windows, np.int64)
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, dtype=kind)
+        keys, places, low, high = join(keys, np.uint64), join(places, np.int64), join(low, np.int32), join(high, np.int32)
         order = np.argsort(keys, kind="stable")
-        self.places, self.windows = places[order], windows[order]
+        self.places, self.low, self.high = places[order], low[order], high[order]
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
         self.sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
         self.sieve[self.keys >> np.uint64(64 - SIEVE_BITS)] = True
@@ -172,16 +181,24 @@ class Index:
         times = self.count[found]
         begin = np.repeat(self.first[found] - np.r_[0, np.cumsum(times)[:-1]], times)
         entry = begin + np.arange(times.sum())
-        window = self.windows[entry]
-        diagonal = np.repeat(at, times) - self.places[entry]
+        place, diagonal = self.places[entry], np.repeat(at, times) - self.places[entry]
         bands = -(-(len(points) + len(self.text)) // self.band) + 4
         low = (diagonal + len(self.text)) // self.band + 1
-        key = np.concatenate([window * bands + low, window * bands + low - 1])
-        # Distinct places of the item count, not how often the text repeats one.
-        width = np.int64(self.rules.window + 1)
-        offset = self.places[entry] - self.start[window]
-        distinct = np.unique(key * width + np.concatenate([offset, offset])) // width
-        key, shared = np.unique(distinct, return_counts=True)
+        # Distinct places of the item in each band count, not how often the text repeats one.
+        size = np.int64(len(self.text) + self.rules.window)
+        key = np.concatenate([low, low - 1]) * size + np.concatenate([place, place])
+        order = np.argsort(key)
+        order = order[np.r_[True, np.diff(key[order]) > 0]]
+        key, entry = key[order], entry[order % len(entry)]
+        # Only where so many of them lie within a window's length can a window reach its bound.
+        reach = self.rules.window - self.rules.q
+        near = np.searchsorted(key, key + reach, side="right") - np.arange(len(key))
+        last = np.maximum.accumulate(np.where(near >= self.bound[self.low[entry]], key + reach, -1))
+        key, entry = key[key <= last], entry[key <= last]
+        times = (self.high[entry] - self.low[entry]).astype(np.int64)
+        begin = np.repeat(self.low[entry] - np.r_[0, np.cumsum(times)[:-1]][: len(times)], times)
+        window = begin + np.arange(times.sum())
+        key, shared = np.unique(window * bands + np.repeat(key // size, times), return_counts=True)
         key = key[shared >= self.bound[key // bands]]
         return key // bands, (key % bands - 1) * self.band - len(self.text)
 
@@ -241,7 +258,9 @@ class Index:
                 end += 1
             found: dict[tuple[int, int], list[tuple]] = {}
             points = np.concatenate(parts)
-            for w, edits, first, after in self.aligned(points, *self.candidates(points)):
+            window, low = self.candidates(points)
+            some = [slice(a, a + ALIGNED) for a in range(0, len(window), ALIGNED)]
+            for w, edits, first, after in chain.from_iterable(self.aligned(points, window[x], low[x]) for x in some):
                 k = int(np.searchsorted(starts, (first + after) // 2, side="right")) - 1
                 first, after = max(first - starts[k], 0), min(after - starts[k], len(maps[k]))
                 if after > first:

@@ -211,6 +211,42 @@ def test_edited_passages_against_full_alignment():
         assert got == want
 
 
+def test_excerpts_cut_anywhere():
+    """Every passage of a window and a step is found with all edits a window may have; 13 words are one."""
+    r = random.Random(16)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randrange(3, 8)))
+    say = lambda n: [word() for _ in range(n)]
+    rules = decontaminate.Rules()
+    items = [(i, " ".join(say(r.randrange(14, 60)))) for i in range(40)]
+    index = decontaminate.Index(rules).build(items)
+    k = rules.edits(rules.window)
+    docs, want = [], []
+    around = lambda passage: docs.append(" ".join([*say(r.randrange(9)), passage, *say(r.randrange(9))]))
+    for trial in range(400):
+        i, text = items[trial % len(items)]
+        length = min(rules.window + rules.step - 1, len(text))
+        cut = r.randrange(len(text) - length + 1)
+        # A cut in a word leaves no space beside it, as edits leave none.
+        around(edit(r, text[cut : cut + length], trial % (k + 1)).strip())
+        want.append(i)
+    for i, text in items:
+        words = text.split()
+        cut = r.randrange(len(words) - 12)
+        around(" ".join(words[cut : cut + 13]))
+        around(" ".join(word()[:6] if j % 10 == 9 else w for j, w in enumerate(words)))
+        want += [i, i]
+    whole = [distance(decontaminate.normal(items[i][1])[0].tolist(), decontaminate.normal(d)[0].tolist()) for d, i in zip(docs[:20], want)]
+    assert max(whole) > k
+    got = {(m[0], m[1]): m[2] for m in index.matches(docs)}
+    assert [x for x in enumerate(want) if x not in got] == []
+    for d in range(0, len(docs), 16):
+        for i in (want[d], want[d - 1]):
+            own = [w for w, o in enumerate(index.owner) if index.items[o] == i]
+            text = decontaminate.normal(docs[d])[0].tolist()
+            near = [distance(index.text[index.start[w] : index.end[w]].tolist(), text) for w in own]
+            assert got.get((d, i), k + 1) == min(*near, k + 1, k + 1)
+
+
 def test_benchmark_with_odd_rows(spark):
     item = "A question that is long enough to be looked for in many a document of the corpus"
     items = spark.createDataFrame([(1, item), (1, item.upper()), (2, None), (3, "short"), (None, "z " * 60)], "item_id long, text string")
