@@ -255,7 +255,7 @@ def _anchor_rows(length: int, q: int):
                     yield pd.DataFrame(
                         {
                             "h": h.view(np.int64),
-                            "c": (content >> 32).astype(np.int32),
+                            "c": content,
                             "uid": uid[begin + own],
                             "at": _packed(place, left, right),
                         }
@@ -268,7 +268,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q, shard: int
     """``uid``, ``start``, ``end``: stretches of bytes of ``rows`` (``uid``, ``text``) that repeat earlier ones."""
     for name in ("rolling", "suffixes"):
         shipped(f"pulseline.llm.{name}")
-    found = rows.mapInPandas(_anchor_rows(length, q), "h bigint, c int, uid bigint, at bigint")
+    # Contexts of an anchor have its hash in common, so the content alone, in full, tells them apart.
+    found = rows.mapInPandas(_anchor_rows(length, q), "h bigint, c bigint, uid bigint, at bigint")
     several = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found = saved(found.join(several, "h"), "anchors")
     firsts = found.groupBy("h", "c").agg(F.min(F.struct("uid", "at")).alias("first"), F.count("*").alias("n"))

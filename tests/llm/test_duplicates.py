@@ -130,6 +130,24 @@ def test_repeats_of_crowded_groups(spark, options):
     check_removed(spark, rows, **options)
 
 
+def test_contexts_of_one_anchor_alike_in_half_their_hash(spark):
+    letters = b"abcdefghijklmnopqrstuvwxyz"
+    # The phrase's hash is so small that it is the anchor of nearly every run that holds it.
+    phrase = b"crdisiitnpyxjttearxu"
+
+    def text(seed):
+        r = random.Random(seed)
+        return bytes(r.choices(letters, k=40)) + phrase + bytes(r.choices(letters, k=40))
+
+    pairs = [(129156, 229368), (239841, 244145), (6249, 230378), (24804, 85583)]
+    rows = [(seed, text(seed).decode(), "s") for pair in pairs for seed in pair]
+    for a, b in pairs:
+        raw = np.frombuffer(text(a) + text(b), dtype=np.uint8)
+        h, content, *_ = suffixes.anchors(raw, np.array([0, 100]), np.array([100, 200]))
+        assert h[0] == h[1] and content[0] != content[1] and content[0] >> 32 == content[1] >> 32
+    check_removed(spark, rows)
+
+
 def test_repeats_of_odd_rows(spark):
     got = suffixes.deduplicated(table_of(spark, ODD), carry=["source"]).collect()
     assert len(got) == len(ODD)
