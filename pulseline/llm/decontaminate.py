@@ -8,6 +8,8 @@ q-grams are counted per window and diagonal band; bands overlap by half, and one
 k + 1 diagonals. Places of items are indexed once, whatever the number of windows over them; only
 the places that lie dense enough in a band are dealt to their windows. Only where a count reaches the bound, a banded alignment counts the edits.
 
+Items too short for edits are looked for as they are, between word borders, by a hash of their length.
+
 Texts are compared by letters and digits in lower case, with single spaces between.
 """
 
@@ -45,7 +47,7 @@ class Rules:
     step: int = 5
     q: int = 8
     budget: float = 0.1
-    # Items with fewer characters say too little to be looked for.
+    # Items with fewer characters are looked for without edits, between word borders.
     least: int = 30
 
     def edits(self, m: int) -> int:
@@ -86,6 +88,20 @@ def normal(text: str) -> tuple[np.ndarray, np.ndarray]:
     return folded[at], at
 
 
+# Letters written without spaces between words (Thai to Myanmar, Khmer, kana, Han), from and to; each is a word.
+UNSPACED = np.array(
+    [(0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF),
+     (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+)
+
+
+def borders(points: np.ndarray) -> np.ndarray:
+    """For each place from 0 to the length whether a word may begin or end there."""
+    apart = (points == SPACE) | (points == 0)
+    apart |= np.searchsorted(UNSPACED[:, 0], points, side="right") > np.searchsorted(UNSPACED[:, 1], points)
+    return np.r_[True, apart[1:] | apart[:-1], True] if len(points) else np.ones(1, dtype=bool)
+
+
 def grams(points: np.ndarray, q: int) -> np.ndarray:
     """A mixed 64-bit number for each run of q code points."""
     n = len(points) - q + 1
@@ -123,10 +139,15 @@ class Index:
         # Of each q-gram: itself, its place, and the windows that hold it (from, up to).
         keys, places, low, high = [], [], [], []
         at = 0
+        # Of short items, by length: the hash, and the places in ``items`` with their characters.
+        short: dict[int, dict[int, list]] = {}
         for item_id, text in rows:
             points, _ = normal(text or "")
             m = len(points)
             if m < max(rules.least, rules.q):
+                if m:
+                    short.setdefault(m, {}).setdefault(int(grams(points, m)[0]), []).append((len(self.items), points))
+                    self.items.append(item_id)
                 continue
             first = range(0, max(m - rules.window, 0) + 1, rules.step)
             own = sorted({*first, max(m - rules.window, 0)})
@@ -155,15 +176,30 @@ class Index:
         order = np.argsort(keys, kind="stable")
         self.places, self.low, self.high = places[order], low[order], high[order]
         self.keys, self.first, self.count = np.unique(keys[order], return_index=True, return_counts=True)
+        self.short = {m: (np.array(sorted(own), dtype=np.uint64), own) for m, own in short.items()}
         self.sieve = np.zeros(1 << SIEVE_BITS, dtype=bool)
         self.sieve[self.keys >> np.uint64(64 - SIEVE_BITS)] = True
         return self
 
+    def verbatim(self, points: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place in ``items``, first, after last place in the text) of the short items."""
+        if not self.short:
+            return
+        border = borders(points)
+        for m, (hashes, own) in self.short.items():
+            g = grams(points, m)
+            at = np.flatnonzero(border[: len(g)] & border[m : m + len(g)])
+            found = np.minimum(np.searchsorted(hashes, g[at]), len(hashes) - 1)
+            for a in at[hashes[found] == g[at]].tolist():
+                for k, item in own[int(g[a])]:
+                    if np.array_equal(points[a : a + m], item):
+                        yield k, a, a + m
+
     def candidates(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Windows, and the lowest diagonal of the band in which they share enough q-grams."""
         none = np.zeros(0, dtype=np.int64)
         g = grams(points, self.rules.q)
-        at = np.flatnonzero(self.sieve[g >> np.uint64(64 - SIEVE_BITS)]) if len(g) else none
+        at = np.flatnonzero(self.sieve[g >> np.uint64(64 - SIEVE_BITS)]) if len(g) and len(self.keys) else none
         if not len(at):
             return none, none
         found = np.minimum(np.searchsorted(self.keys, g[at]), len(self.keys) - 1)
@@ -242,7 +278,7 @@ class Index:
 
     def matches(self, batch: list[str]) -> Iterator[tuple]:
         """(place in the batch, item, edits, windows, characters, spans) for each item found in a text."""
-        if not len(self.keys):
+        if not self.items:
             return
         # Texts lie one after the other, a window's width apart, so that a few calls serve many.
         gap = np.zeros(self.rules.window, dtype=np.uint32)
@@ -260,12 +296,14 @@ class Index:
             points = np.concatenate(parts)
             window, low = self.candidates(points)
             some = [slice(a, a + ALIGNED) for a in range(0, len(window), ALIGNED)]
-            for w, edits, first, after in chain.from_iterable(self.aligned(points, window[x], low[x]) for x in some):
+            near = chain.from_iterable(self.aligned(points, window[x], low[x]) for x in some)
+            whole = ((owner, 0, first, after, -1) for owner, first, after in self.verbatim(points))
+            for owner, edits, first, after, w in chain(((int(self.owner[x[0]]), *x[1:], x[0]) for x in near), whole):
                 k = int(np.searchsorted(starts, (first + after) // 2, side="right")) - 1
                 first, after = max(first - starts[k], 0), min(after - starts[k], len(maps[k]))
                 if after > first:
                     own = (int(maps[k][first]), int(maps[k][after - 1]) + 1, edits, w)
-                    found.setdefault((k, int(self.owner[w])), []).append(own)
+                    found.setdefault((k, owner), []).append(own)
             for (k, owner), own in found.items():
                 spans: list[list[int]] = []
                 for first, after, _, _ in sorted(own):
@@ -303,8 +341,9 @@ def benchmark_matches(
 
     One row per document and item: ``doc_id``, ``item_id``, the fewest ``edits`` of a matched window,
     ``n_windows`` matched, ``matched_chars`` and the merged ``spans`` of the text, in characters.
-    A text without a match has no row. NULL and empty texts match nothing; items that are NULL or
-    shorter than ``rules.least`` compared characters are not looked for; of items with the same
+    A text without a match has no row. NULL and empty texts match nothing, nor do items that are NULL or
+    without a letter or digit. Items shorter than ``rules.least`` compared characters match as they
+    are, between word borders (any letter of a script without spaces is a word). Of items with the same
     id each is looked for, and a document may have a row for each. Repeated documents each get rows.
 
     Items go to the tasks in blocks of about ``block_chars`` characters, so a large benchmark takes

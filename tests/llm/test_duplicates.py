@@ -278,6 +278,24 @@ def test_benchmark_with_odd_rows(spark):
     assert decontaminate.benchmark_matches(table_of(spark, []), items).count() == 0
 
 
+def test_short_items_as_they_are(spark):
+    rows = [(1, "Who wrote it?"), (2, "7"), (3, "ab"), (4, "\u4f60\u597d\u5417\uff1f"), (5, "?!"), (6, "Who wrote it"), (7, "x " * 14)]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = [
+        (1, "So: who  WROTE it, then?", "s"), (2, "Who wrote item 77 of abc?", "s"), (3, "in 7 ab", "s"), (4, "\u8bf7\u95ee\u4f60\u597d\u5417\u6211", "s"),
+        (5, "who wrote", "s"), (6, "it", "s"), (7, "who wrote it. Who wrote it", "s"), (8, "7", "s"),
+    ]
+    got = decontaminate.benchmark_matches(table_of(spark, docs), items).collect()
+    want = [(1, 1), (1, 6), (3, 2), (3, 3), (4, 4), (7, 1), (7, 6), (8, 2)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == want
+    assert all(r["edits"] == 0 for r in got)
+    spans = {(r["doc_id"], r["item_id"]): [tuple(x) for x in r["spans"]] for r in got}
+    assert spans[1, 1] == [(4, 17)] and spans[7, 1] == [(0, 12), (14, 26)] and spans[4, 4] == [(2, 5)]
+    clean = decontaminate.clean_documents(table_of(spark, docs), items).select("doc_id").collect()
+    assert sorted(r[0] for r in clean) == [2, 5, 6]
+    assert decontaminate.benchmark_matches(table_of(spark, docs), items.where("item_id = 5")).count() == 0
+
+
 # ---- packing
 
 
