@@ -231,7 +231,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
 
     Learned from at most ``sample`` labelled rows outside the held-out fold (those of the smallest
     hashes of their ids): half for the lexicon, half for trees and calibration. A NULL text is
-    empty. Repeated rows are scored alike. Without labels of both classes the score is the share of
+    empty. Repeated rows are scored alike; of rows with one id, the smallest is learned from. Without labels of both classes the score is the share of
     toxic training labels, or 0 if there are none.
     """
     shipped(__name__)
@@ -244,7 +244,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
         # The sample's size is bounded by the parameter, so its texts are found without a shuffle.
         labelled = rows.join(F.broadcast(known), "doc_id")
         half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2))
-        lexicon = learn_lexicon(saved(labelled.where(half == 0).select("text", "label"), "lexicon-texts"))
+        # However often an id is repeated, it is learned from once.
+        once = labelled.where(half == 0).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+        lexicon = learn_lexicon(saved(once.select("text", "label"), "lexicon-texts"))
 
         @F.pandas_udf("array<float>")
         def described(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -253,7 +255,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, th
                 yield pd.Series([describer.describe(t) for t in batch])
 
         table = saved(rows.select("doc_id", described("text").alias("form")), "toxic-form")
-        training = table.join(F.broadcast(known.where(half == 1)), "doc_id").orderBy("doc_id").toPandas()
+        training = table.join(F.broadcast(known.where(half == 1)), "doc_id")
+        training = training.groupBy("doc_id", "label").agg(F.min("form").alias("form")).orderBy("doc_id").toPandas()
         if 0 < training["label"].sum() < len(training):
             model = fit(matrix(training["form"]), training["label"].to_numpy(dtype=float))
 

@@ -54,6 +54,19 @@ def test_scores_of_odd_rows(spark):
     assert toxicity.toxicity_scores(table_of(spark, []), some).count() == 0
 
 
+def test_repeated_ids_are_learned_from_once(spark, monkeypatch):
+    docs = table(spark, FOLDER, "documents").limit(400).select("doc_id", "text").localCheckpoint()
+    labels = table(spark, FOLDER, "labels")
+    seen, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda x, y: seen.append(len(y)) or fit(x, y))
+    plain = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    hot = docs.join(labels.where("toxic = 1").select("doc_id"), "doc_id").orderBy("doc_id").limit(4)
+    copies = hot.crossJoin(spark.range(100)).drop("id")
+    got = toxicity.toxicity_scores(docs.unionByName(copies), labels).collect()
+    assert len(got) == 800 and seen[0] == seen[1]
+    assert {(r["doc_id"], r["score"]) for r in got} == set(plain.items())
+
+
 def test_held_out_labels_are_not_learned_from(spark):
     from pulseline.llm.labelled import held_out, training_labels
 
