@@ -332,6 +332,24 @@ def similar_classes(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return rows.select("doc_id", "cls").join(by_class, "cls").select("doc_id", "class_id", "n_links")
 
 
+def with_classes(docs: DataFrame, name: str, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` with the number of their class of near duplicates as a column ``name``."""
+    rows, order = distinct(docs)
+    found = similar_classes(rows.select(F.col("uid").alias("doc_id"), "text"), rules)
+    found = found.select(F.col("doc_id").alias("_uid"), F.col("class_id").alias(name))
+    if order is None:
+        own = docs.drop(name).withColumn("_uid", F.col("doc_id").cast("bigint"))
+    else:
+        key = {
+            "_has_id": F.col("doc_id").isNotNull(),
+            "_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)),
+            "_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))),
+        }
+        uids = order.select(*[F.col(k[1:]).alias(k) for k in key], F.col("uid").alias("_uid"))
+        own = docs.drop(name).withColumns(key).join(uids, [*key]).drop(*key)
+    return own.join(found, "_uid").drop("_uid")
+
+
 def one_of_each(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the one with the smallest id stays.
 

@@ -1,6 +1,6 @@
 """Best-fit packing of documents into sequences of bounded length, under conflicts.
 
-No two documents of a bin may share a source or be copies of each other. Bins are kept in the order
+No two documents of a bin may share a source, be copies of each other or share a given cluster. Bins are kept in the order
 of the room they have left, each with a bitmap of the sources and of the duplicate clusters in it.
 A piece looks for the first bin with room enough, and from there along the successors for the first
 that has none of its bits: the tightest bin that it is compatible with. If there is none, it opens one.
@@ -45,22 +45,19 @@ def best_fit(sizes: list[int], bits: list[int], capacity: int) -> tuple[list[int
     return chosen, room
 
 
-def bitmaps(sources: list, clusters: list) -> list[int]:
+def bitmaps(sources: list, *clusterings: list) -> list[int]:
     """A bit for each source of the group, and one for each cluster with several pieces there."""
     numbers: dict = {}
-    out = []
-    several = pd.Series(clusters).duplicated(keep=False).tolist()
-    for source, cluster, repeated in zip(sources, clusters, several):
-        bit = 0
-        if source is not None:
-            bit |= 1 << numbers.setdefault(("source", source), len(numbers))
-        if repeated:
-            bit |= 1 << numbers.setdefault(("cluster", cluster), len(numbers))
-        out.append(bit)
+    out = [0 if s is None else 1 << numbers.setdefault(("source", s), len(numbers)) for s in sources]
+    for k, clusters in enumerate(clusterings):
+        several = pd.Series(clusters).duplicated(keep=False).tolist()
+        for i, (cluster, repeated) in enumerate(zip(clusters, several)):
+            if repeated and cluster is not None:
+                out[i] |= 1 << numbers.setdefault((k, cluster), len(numbers))
     return out
 
 
-def pieces(docs: DataFrame, capacity: int) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, cluster: str | None = None) -> DataFrame:
     """What is packed: whole texts, and texts longer than a bin in pieces that fill one each, and a rest.
 
     Repeated rows are counted first and then numbered, so that copies of one row spread like others.
@@ -69,10 +66,11 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         F.col("source").cast("string").alias("source"),
+        (F.col(cluster) if cluster else F.lit(None)).cast("string").alias("cluster"),
     )
     most = capacity - 1  # one character stays for the separator
     counted = rows.groupBy("doc_id", "source", F.xxhash64("text").alias("hash"), F.length("text").cast("bigint").alias("n")).agg(
-        F.count("*").alias("copies")
+        F.count("*").alias("copies"), F.min("cluster").alias("cluster")
     )
     last = F.greatest(F.ceil(F.col("n") / most) - 1, F.lit(0)).cast("bigint")
     return (
@@ -84,7 +82,9 @@ def pieces(docs: DataFrame, capacity: int) -> DataFrame:
     )
 
 
-def assigned(docs: DataFrame, capacity: int = 16_384, group: int = 4_096, seed: int = 23) -> DataFrame:
+def assigned(
+    docs: DataFrame, capacity: int = 16_384, group: int = 4_096, seed: int = 23, cluster: str | None = None
+) -> DataFrame:
     """The bin and place of each piece of each document; the columns are those of ``PLACED``.
 
     Pieces are dealt by hash into groups of about ``group``, each packed on its own, longest first;
@@ -94,7 +94,7 @@ def assigned(docs: DataFrame, capacity: int = 16_384, group: int = 4_096, seed:
     if capacity < 2 or group < 1:
         raise ValueError("a bin needs room for a character and a separator, a group for a piece")
     shipped(__name__)
-    all_pieces = pieces(docs, capacity)
+    all_pieces = pieces(docs, capacity, cluster)
     full = F.col("length") > 0
     n = all_pieces.where(full).count()
     groups = max(1, -(-n // group))
@@ -107,7 +107,8 @@ def assigned(docs: DataFrame, capacity: int = 16_384, group: int = 4_096, seed:
             ["length", "doc_id", "hash", "copy", "piece"], ascending=[False, True, True, True, True], kind="stable"
         )
         sizes = (frame["length"] + 1).to_numpy()
-        bits = bitmaps([s if isinstance(s, str) else None for s in frame["source"]], frame["hash"].tolist())
+        source, own = ([s if isinstance(s, str) else None for s in frame[c]] for c in ("source", "cluster"))
+        bits = bitmaps(source, frame["hash"].tolist(), own)
         chosen, room = best_fit(sizes.tolist(), bits, capacity)
         bins = np.array(chosen, dtype=np.int64)
         by_bin = pd.Series(bins, index=frame.index)
@@ -126,14 +127,16 @@ def assigned(docs: DataFrame, capacity: int = 16_384, group: int = 4_096, seed:
     return placed.unionByName(empty.select(*[c.split()[0] for c in PLACED.split(", ")[:7]], *nothing))
 
 
-def packed(docs: DataFrame, capacity: int = 16_384, group: int = 4_096) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = 16_384, group: int = 4_096, cluster: str | None = None) -> DataFrame:
     """Where each piece of each text goes, without the texts.
 
     Rows: ``doc_id``, ``copy`` (of repeated rows, from 1), ``source``, ``piece``, ``start`` and ``length`` in
     characters, ``bin_id``, ``position`` and ``offset`` in the bin, ``room_left`` in the bin. A NULL text
     is empty. A NULL source conflicts with nothing. Texts are copies if they are equal (by hash).
+    ``cluster`` may name a column with the cluster of each text, such as its group of near copies: pieces of
+    one cluster share no bin (NULL is none; repeated rows are of the first of theirs).
     """
-    return assigned(docs, capacity, group).drop("hash")
+    return assigned(docs, capacity, group, cluster=cluster).drop("hash")
 
 
 def packed_texts(docs: DataFrame, capacity: int = 16_384, group: int = 4_096) -> DataFrame:

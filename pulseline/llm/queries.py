@@ -16,7 +16,8 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.packed(table(spark, folder, "documents"))
+    docs = jaccard.with_classes(table(spark, folder, "documents"), "cluster")
+    return packing.packed(docs, cluster="cluster")
 
 
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:

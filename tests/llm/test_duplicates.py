@@ -339,6 +339,22 @@ def test_packing_query(spark, folder):
     check_packed(got, [d["text"] for d in docs], 16_384)
 
 
+def test_near_copies_share_no_bin(spark, tmp_path):
+    rows = [(i, t, f"s{i}") for i, t, _ in varied(5, 12, 4)]
+    rows += [(None, rows[0][1], "n"), (3, rows[7][1], "m"), (3, rows[7][1], "m"), *[(i, t, None) for i, t, _ in ODD if i not in (3, 4, 5)]]
+    table_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.asDict() for r in QUERIES["op1_packing"](spark, str(tmp_path)).where("bin_id is not null").collect()]
+    assert len(got) == sum(bool(t) for _, t, _ in rows)
+    alike = near_copies([(k, t) for k, (_, t, _) in enumerate(rows)])
+    root = {}
+    for k, (i, t, s) in enumerate(rows):
+        root.setdefault((i, s, len(t or "")), alike[k][0])
+    by_bin = {}
+    for r in got:
+        by_bin.setdefault(r["bin_id"], []).append(root[r["doc_id"], r["source"], r["length"]])
+    assert all(len(set(own)) == len(own) for own in by_bin.values()) and max(map(len, by_bin.values())) > 5
+
+
 @pytest.mark.parametrize("group", [4_096, 7])
 def test_packing_of_odd_rows(spark, group):
     docs = table_of(spark, ODD)
