@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseline.llm import decontaminate, jaccard, order_minhash, packing, quality, shards, suffixes, tokens, toxicity, warc
+from pulseline.llm import (
+    decontaminate,
+    jaccard,
+    order_minhash,
+    packing,
+    quality,
+    quality_rules,
+    shards,
+    suffixes,
+    tokens,
+    toxicity,
+    warc,
+)
 from pulseline.llm.common import table
 from pulseline.plans.registry import Query
 
@@ -56,6 +68,10 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, folder, "documents")).drop("broken")
+
+
 # Five bits at a time of the SHA-1, as letters.
 OP6_SQL = """
 WITH p AS (
@@ -84,4 +100,5 @@ QUERIES = {
     "op8_jaccard": Query(op8_jaccard),
     "op9_toxicity": Query(op9_toxicity),
     "op10_decontamination": Query(op10_decontamination),
+    "op13_quality_rules": Query(op13_quality_rules, quality_rules.sql()),
 }
