@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pulseline.llm import (
+    collocations,
     decontaminate,
+    importance,
     jaccard,
     order_minhash,
     packing,
@@ -68,6 +70,14 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents")).drop("broken")
 
@@ -100,5 +110,7 @@ QUERIES = {
     "op8_jaccard": Query(op8_jaccard),
     "op9_toxicity": Query(op9_toxicity),
     "op10_decontamination": Query(op10_decontamination),
+    "op11_importance": Query(op11_importance, importance.SQL),
+    "op12_collocations": Query(op12_collocations, collocations.SQL),
     "op13_quality_rules": Query(op13_quality_rules, quality_rules.sql()),
 }
