@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,13 @@ from pulseline.operators.joins import overlap_join
 from pulseline.operators.sequences import in_pattern_order
 from pulseline.plans import basics, patterns, places, reports, timing
 from pulseline.plans.registry import A, B, C, D, Query
-from pulseline.session import work_dir
-from pulseline.sources.tables import events, events_stream, with_location
+from pulseline.session import shared_root, work_dir
+from pulseline.sources import slices
+from pulseline.sources.tables import events, events_stream, load, with_location
 from pulseline.streaming import keyed, sinks, windowed
 from pulseline.streaming.replay import disorder, replay, run_to_end
 
-# Files per micro-batch of all replays here; None takes all at once. The rows do not depend on it.
+# Files per micro-batch of the streams of files; None takes all at once. The rows do not depend on it.
 FILES_PER_BATCH: int | None = None
 
 
@@ -26,8 +29,26 @@ def source(spark: SparkSession, folder: str) -> DataFrame:
     return events_stream(spark, folder, FILES_PER_BATCH)
 
 
+def sliced(spark: SparkSession, folder: str, rows: int | None = None) -> DataFrame:
+    """The events as a stream of time slices."""
+    stored = load(spark, folder, "events")
+    stream = slices.slice_stream(spark, stored, work_dir(spark, "slices"), slice_rows=rows or slices.SLICE_ROWS)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def in_slices(spark: SparkSession, folder: str) -> bool:
+    """Whether the event files and the work folder open outside Spark, as the slices need it."""
+    return slices.readable(f"{folder.rstrip('/')}/events.parquet") and slices.readable(shared_root(spark))
+
+
 def replayed(spark: SparkSession, folder: str, build, name: str, **options) -> DataFrame:
-    """All that ``build`` emits over the stored events, in whatever order their files are read."""
+    """All that ``build`` emits over the stored events.
+
+    They come in slices of time, so the watermark needs no delay and state stays small. In a store that only
+    Spark opens, files come in whatever order they are read, and the watermark waits for all of them.
+    """
+    if in_slices(spark, folder):
+        return replay(spark, sliced(spark, folder), build, name, in_slices=True, **options)
     delay = disorder(events(spark, folder))
     return replay(spark, source(spark, folder), build, name, watermark=delay, **options)
 
@@ -122,7 +143,8 @@ def stream_messy_avg_last_n(spark: SparkSession, folder: str) -> DataFrame:
 def stream_device_liveness(spark: SparkSession, folder: str) -> DataFrame:
     """Silences as of the newest event: the marker moves the watermark just there."""
     newest, oldest = events(spark, folder).agg(F.max("ts"), F.min("ts")).first()
-    close = newest + (newest - oldest) if newest else False
+    delay = timedelta(0) if in_slices(spark, folder) else newest - oldest
+    close = newest + delay if newest else False
     return replayed(
         spark,
         folder,

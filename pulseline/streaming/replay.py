@@ -8,12 +8,13 @@ checkpoint: the watermark passes every window, and no later event can be lost to
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
 
 from pulseline.session import configure, work_dir
 
@@ -38,11 +39,50 @@ class LateRowsDropped(RuntimeError):
     """A replay lost rows because the watermark had passed them."""
 
 
-def run_to_end(writer: DataStreamWriter) -> int:
-    """Run a stream until its input is used up; returns how many rows the watermark dropped."""
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+class Losses(StreamingQueryListener):
+    """Rows that the watermark dropped, of one query, however many batches it runs."""
+
+    def __init__(self) -> None:
+        self.lost: dict[str, int] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        run = str(event.progress.runId)
+        dropped = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.lost[run] = self.lost.get(run, 0) + dropped
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+
+def run_to_end(writer: DataStreamWriter, in_slices: bool = False) -> int:
+    """Run a stream until its input is used up; returns how many rows the watermark dropped.
+
+    A stream ``in_slices`` goes on from slice to slice until there are no more. Every batch counts: a query itself
+    remembers the progress of its last batches only.
+    """
+    spark = SparkSession.active()
+    losses = Losses()
+    spark.streams.addListener(losses)
+    try:
+        query = (writer if in_slices else writer.trigger(availableNow=True)).start()
+        run = str(query.runId)
+        if in_slices:
+            query.processAllAvailable()
+            query.stop()
+        query.awaitTermination()
+        # Progress comes in order, before the end; the end itself a moment after the query's.
+        if not losses.ended.setdefault(run, threading.Event()).wait(60):
+            raise TimeoutError("no notice that the stream has ended")
+        return losses.lost.get(run, 0)
+    finally:
+        spark.streams.removeListener(losses)
 
 
 def disorder(stored: DataFrame) -> str:
@@ -64,13 +104,14 @@ def replay(
     watermark: str = "0 seconds",
     close: bool | datetime = True,
     lossless: bool = True,
+    in_slices: bool = False,
     **marker,
 ) -> DataFrame:
     """Run ``build`` over a stream of stored events and return everything it emitted.
 
     The stream runs while the query is being built; the result is a table of what it wrote.
-    ``watermark`` must cover the disorder in which the files may be read (see ``disorder``). If
-    rows are dropped all the same, a ``lossless`` replay fails. ``close`` sends the marker, so that
+    ``watermark`` must cover the disorder in which the files may be read (see ``disorder``); a source
+    ``in_slices`` of time has none. If rows are dropped all the same, a ``lossless`` replay fails. ``close`` sends the marker, so that
     open windows come out too, or a marker of the time given; ``marker`` fills further
     columns of it where a filter would drop it.
     """
@@ -84,10 +125,10 @@ def replay(
     late = spark.readStream.schema(marker_row.schema).parquet(closing)
     stream = source.unionByName(late).withWatermark("ts", watermark)
     result = build(stream)
-    lost = run_to_end(_append(result, out, checkpoint))
+    lost = run_to_end(_append(result, out, checkpoint), in_slices)
     if close:
         marker_row.write.mode("append").parquet(closing)
-        lost += run_to_end(_append(result, out, checkpoint))
+        lost += run_to_end(_append(result, out, checkpoint), in_slices)
     if lossless and lost:
         raise LateRowsDropped(f"{name}: {lost} rows came after the watermark")
     return spark.read.schema(result.schema).parquet(out)

@@ -2,13 +2,16 @@
 
 import subprocess
 import sys
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
 from checks import database, rows_of
+from pyspark.sql import functions as F
 
 from pulseline.plans import streams
 from pulseline.plans.catalogue import QUERIES
+from pulseline.sources import slices
 from pulseline.sources.tables import events
 from pulseline.streaming.replay import LateRowsDropped, replay
 
@@ -32,10 +35,38 @@ def parts(spark, folder, tmp_path_factory):
 @pytest.mark.parametrize("name", STREAMS)
 def test_any_layout_gives_the_same_rows(spark, folder, parts, name, monkeypatch):
     monkeypatch.setattr(streams, "FILES_PER_BATCH", 1)
+    monkeypatch.setattr(slices, "SLICE_ROWS", 300)
     got = QUERIES[name](spark, parts).toPandas()
     assert rows_of(got) == rows_of(database(folder).execute(QUERIES[name].sql).df())
 
 
+@pytest.mark.parametrize("name", ["stream_freq_in_hop", "stream_overlap_join_ab", "stream_device_liveness"])
+def test_files_in_any_order_without_slices(spark, folder, parts, name, monkeypatch):
+    monkeypatch.setattr(streams, "FILES_PER_BATCH", 1)
+    monkeypatch.setattr(slices, "readable", lambda uri: False)
+    got = QUERIES[name](spark, parts).toPandas()
+    assert rows_of(got) == rows_of(database(folder).execute(QUERIES[name].sql).df())
+
+
+def test_losses_of_all_batches_count(spark, tmp_path):
+    """Also those that a query has forgotten by its end."""
+    t0 = datetime(2024, 1, 1)
+    for number, second in enumerate([60, 62, 64, 0, *range(70, 80)]):
+        row = [(number, t0 + timedelta(seconds=second), 1)]
+        spark.createDataFrame(row, "event_id long, ts timestamp, user_id long").coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "late")
+        )
+    stored = spark.read.parquet(str(tmp_path / "late"))
+    stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
+    remembered = "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(remembered, "2")
+    try:
+        with pytest.raises(LateRowsDropped, match="1 rows"):
+            replay(spark, stream, lambda s: s.groupBy(F.window("ts", "10 seconds")).count(), "late")
+    finally:
+        spark.conf.unset(remembered)
+
+
 def test_lost_rows_are_an_error(spark, parts, monkeypatch):
     monkeypatch.setattr(streams, "FILES_PER_BATCH", 1)
     stream = streams.source(spark, parts)
