@@ -39,7 +39,8 @@ def distinct(docs: DataFrame, carry: list[str] | None = None) -> tuple[DataFrame
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.struct(F.lit(0).alias("_"), *(carry or [])).alias("rest"),
+        # A row must have a field; the columns carried bring their own names.
+        (F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))).alias("rest"),
     )
     ids = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     if not ids.where((F.col("n") > 1) | F.col("doc_id").isNull()).limit(1).count():

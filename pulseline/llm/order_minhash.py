@@ -1,6 +1,6 @@
 """Order MinHash fingerprints: like MinHash, but sensitive to where things stand.
 
-A text is a sequence of units (words; characters where there are hardly any words). Its k-mers of
+A text is a sequence of units: its words, and the characters of runs too long for a word. Its k-mers of
 units get occurrence numbers, so that a repeated k-mer is several elements, and each element a
 place on a ring of hash values. Each of ``SLOTS`` evenly spread marks on the ring stands for one
 permutation (the ring turned to begin there): its minimal elements are the next two on the ring.
@@ -18,15 +18,16 @@ from pulseline.llm.order import following
 
 # Entries of a fingerprint (a power of two), and units in a k-mer.
 SLOTS, K = 64, 2
-# A longer mean than this, in characters per word, is taken for writing without spaces.
-LONGEST_MEAN_WORD = 24
-# An element is one whole number: 40 bits of hash, then 24 bits of place in the text (from 1 on).
+# A longer run of characters, in a script without spaces say, is taken character by character.
+LONGEST_WORD = 24
+# An element is one whole number: 40 bits of hash, then 24 bits of place in the text (from 1 on). Of elements
+# beyond the last place the order is not told; no text gets other elements for it.
 PLACE_BITS = 24
 PLACE = (1 << PLACE_BITS) - 1
 
 
 def _packed(hashed: Column, place: Column) -> Column:
-    return F.shiftleft(hashed, PLACE_BITS).bitwiseOR((place + F.lit(1)).cast("bigint").bitwiseAND(F.lit(PLACE)))
+    return F.shiftleft(hashed, PLACE_BITS).bitwiseOR(F.least((place + F.lit(1)).cast("bigint"), F.lit(PLACE)))
 
 
 def _hash_of(element: Column) -> Column:
@@ -53,11 +54,11 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     col = {k: F.col(v) for k, v in c.items()}
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
     df = df.withColumn(c["units"], words)
-    characters = F.split(F.col(text), "")
-    df = df.withColumn(
-        c["units"],
-        F.when(F.length(text) > LONGEST_MEAN_WORD * F.size(col["units"]), characters).otherwise(col["units"]),
+    cut = F.flatten(
+        F.transform(col["units"], lambda w: F.when(F.length(w) > LONGEST_WORD, F.split(w, "")).otherwise(F.array(w)))
     )
+    long_ones = F.exists(col["units"], lambda w: F.length(w) > LONGEST_WORD)
+    df = df.withColumn(c["units"], F.when(long_ones, cut).otherwise(col["units"]))
     n = F.size(col["units"])
     kmer = lambda u, i: _packed(F.xxhash64(u, col["units"][i + 1]), i)
     df = df.withColumn(

@@ -238,11 +238,17 @@ def repeated_runs(contexts: list[bytes], owner: np.ndarray, start: np.ndarray, l
     return ids[first // span], first % span, last % span + length
 
 
-def _packed(place, left, right):
-    return place << 16 | left << 8 | right
+def _bits(length: int) -> int:
+    """Bits for each end of a context, which is at most ``length`` bytes from its anchor; a place takes 31."""
+    bits = max(8, length.bit_length())
+    if bits > 16:
+        raise ValueError("length must be below 65,536")
+    return bits
 
 
 def _anchor_rows(length: int, q: int):
+    bits = _bits(length)
+
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             uid = batch["uid"].to_numpy(dtype=np.int64)
@@ -257,7 +263,7 @@ def _anchor_rows(length: int, q: int):
                             "h": h.view(np.int64),
                             "c": content,
                             "uid": uid[begin + own],
-                            "at": _packed(place, left, right),
+                            "at": place << 2 * bits | left << bits | right,
                         }
                     )
 
@@ -273,7 +279,8 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q, shard: int
     several = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found = saved(found.join(several, "h"), "anchors")
     firsts = found.groupBy("h", "c").agg(F.min(F.struct("uid", "at")).alias("first"), F.count("*").alias("n"))
-    place, left, right = F.expr("at >> 16"), F.expr("at >> 8 & 255"), F.expr("at & 255")
+    bits, end = _bits(length), (1 << _bits(length)) - 1
+    place, left, right = F.expr(f"at >> {2 * bits}"), F.expr(f"at >> {bits} & {end}"), F.expr(f"at & {end}")
     span = [(place - left).alias("start"), (place + right).alias("end")]
     again = found.join(firsts.where("n > 1").select("h", "c", "first"), ["h", "c"])
     again = again.where(F.struct("uid", "at") != F.col("first")).select("uid", *span)
@@ -294,7 +301,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q, shard: int
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in some:
                     at = x["at"]
-                    a, b = (at >> 16) - (at >> 8 & 255), (at >> 16) + (at & 255)
+                    a, b = (at >> 2 * bits) - (at >> bits & end), (at >> 2 * bits) + (at & end)
                     out.append((x["h"], x["k"], uid, a, raw[a:b]))
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=["h", "k", "uid", "start", "context"])

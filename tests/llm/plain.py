@@ -7,13 +7,16 @@ from collections import defaultdict
 
 import xxhash
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, hash string, uid string, score string, bucket bigint, record string"
+SCHEMA = (
+    "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, hash string, uid string, "
+    "score string, bucket bigint, record string, _ string"
+)
 
 
 def table_of(spark, rows):
     """Documents (id, text, source) with columns whose names operators use inside."""
     return spark.createDataFrame(
-        [(i, t, "en", s, None if t is None else len(t), 1, "h", "u", None, 3, "r") for i, t, s in rows], SCHEMA
+        [(i, t, "en", s, None if t is None else len(t), 1, "h", "u", None, 3, "r", "_") for i, t, s in rows], SCHEMA
     )
 
 
@@ -46,9 +49,7 @@ def spark_hash(*values) -> int:
 
 
 def order_minhash(text: str, slots: int, k: int) -> list[int]:
-    units = text.split()
-    if len(text) > 24 * len(units):
-        units = list(text)
+    units = [u for w in text.split() for u in (w if len(w) > 24 else [w])]
     n = len(units)
     grams = [spark_hash(*units[i : i + k]) for i in range(n - k + 1)] if n >= k else [spark_hash(u) for u in units]
     cut = lambda h: (h & ((1 << 40) - 1)) - (1 << 40 if h >> 39 & 1 else 0)

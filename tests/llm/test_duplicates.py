@@ -161,6 +161,26 @@ def test_repeats_of_odd_rows(spark):
     assert suffixes.deduplicated(table_of(spark, [])).count() == 0
 
 
+def test_carried_columns_have_any_names(spark):
+    rows = table_of(spark, ODD)
+    got = suffixes.deduplicated(rows, carry=rows.columns).collect()
+    assert len(got) == len(ODD) and all(r["rest"]["_"] == "_" for r in got)
+
+
+@pytest.mark.parametrize("length", [100, 200, 300, 400])
+def test_strings_longer_than_a_byte_counts(spark, length):
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    more = ["".join(rng.choice("abcdefgh ") for _ in range(500)) for _ in range(3)]
+    rows = [(1, more[0] + shared, "a"), (2, shared + more[1], "a"), (3, shared[100:650] + more[2] + shared[:350], "a")]
+    got = {r["doc_id"]: r for r in suffixes.digests(suffixes.deduplicated(table_of(spark, rows), length)).collect()}
+    for doc_id, want in deduplicated([r[:2] for r in rows], length).items():
+        r = got[doc_id]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want
+    with pytest.raises(ValueError):
+        suffixes.deduplicated(table_of(spark, rows), 1 << 16)
+
+
 def test_whole_characters_stay():
     raw = "aéé😀b".encode()
     assert suffixes._whole_characters(raw, [(2, 4)]) == []

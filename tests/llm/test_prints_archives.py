@@ -33,6 +33,23 @@ def test_order_matters(spark):
     assert same(a, c) < same(a, b) < 0.75
 
 
+def test_units_do_not_hang_on_the_rest_of_a_text(spark):
+    """A run without spaces has the same units whether spaced prose follows or not."""
+    run = "".join(chr(0x4E00 + i * 7 % 3000) for i in range(600))
+    prose = " ".join(f"w{i}" for i in range(300))
+    a, b = prints(spark, [run, run[:300] + " " + prose])
+    same = sum(i == j for i, j in zip(a, b)) / omh.SLOTS
+    assert 0.05 < same < 0.6
+
+
+def test_places_beyond_the_last_one(spark, monkeypatch):
+    """The order there is not told, but every entry comes from elements of the text."""
+    monkeypatch.setattr(omh, "PLACE", (1 << 5) - 1)
+    text = " ".join(f"w{i}" for i in range(200))
+    (a, b) = prints(spark, [text, text])
+    assert len(a) == omh.SLOTS and a == b and -1 not in a
+
+
 def edited(texts):
     out = []
     for i, t in enumerate(texts):
