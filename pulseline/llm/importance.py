@@ -73,7 +73,11 @@ def features(words: list[list[bytes]], head: Head, buckets: int, longest: int) -
 
 
 def _counted(docs: DataFrame, keys_of, name: str, most: int) -> list:
-    """The most frequent keys of all texts, at most ``most``; ties by the key."""
+    """The keys of all texts that come up most often, at most ``most``.
+
+    Keys are taken class by class of their counts, so far as whole classes fit: the driver sees one number per class
+    and no more than ``most`` keys.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
@@ -89,19 +93,28 @@ def _counted(docs: DataFrame, keys_of, name: str, most: int) -> list:
         yield passed()
 
     partial = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInPandas(count, "key binary, n bigint")
-    total = partial.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most)
-    return [bytes(r["key"]) for r in total.collect()]
+    total = partial.groupBy("key").agg(F.sum("n").alias("n"))
+    total = saved(total.withColumn("class", F.floor(8 * F.log2("n")).cast("int")), name)
+    least, held = None, 0
+    for row in total.groupBy("class").count().orderBy(F.desc("class")).collect():
+        held += row["count"]
+        if held > most:
+            break
+        least = row["class"]
+    if least is None:
+        return []
+    return [bytes(r["key"]) for r in total.where(F.col("class") >= least).select("key").collect()]
 
 
 def head_of(docs: DataFrame, longest: int, words: int = HEAD_WORDS, pairs: int = HEAD_PAIRS, buckets: int = 10_000) -> Head:
-    """The head of the vocabulary, of bounded size: counted over whole texts of all rows."""
+    """The head of the vocabulary, of at most so many words and pairs: counted over whole texts of all rows."""
     shipped(__name__)
     spark = docs.sparkSession
 
     def short_words(own: pd.Series) -> Iterator[bytes]:
         return (w for t in own for w in words_of(t) if len(w) <= HEAD_WORD_BYTES)
 
-    states = {w: zlib.crc32(w) for w in _counted(docs, short_words, "word", words)} if words else {}
+    states = {w: zlib.crc32(w) for w in _counted(docs, short_words, "words", words)} if words else {}
     if longest < 2 or not pairs:
         return Head(states)
     # Both words of a frequent pair are frequent.
@@ -112,7 +125,7 @@ def head_of(docs: DataFrame, longest: int, words: int = HEAD_WORDS, pairs: int =
             w = words_of(t)
             yield from (a + b" " + b for a, b in zip(w, w[1:]) if a in given.value and b in given.value)
 
-    found = [k.split(b" ") for k in _counted(docs, known_pairs, "pair", pairs)]
+    found = [k.split(b" ") for k in _counted(docs, known_pairs, "pairs", pairs)]
     return Head(states, {(a, b): zlib.crc32(b" " + b, states[a]) % buckets for a, b in found})
 
 
