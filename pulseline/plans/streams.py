@@ -18,7 +18,7 @@ from pulseline.plans.registry import A, B, C, D, Query
 from pulseline.session import shared_root, work_dir
 from pulseline.sources import slices
 from pulseline.sources.tables import events, events_stream, load, with_location
-from pulseline.streaming import keyed, sinks, windowed
+from pulseline.streaming import automata, keyed, sinks, stepwise, windowed
 from pulseline.streaming.replay import disorder, replay, run_to_end
 
 # Files per micro-batch of the streams of files; None takes all at once. The rows do not depend on it.
@@ -84,7 +84,16 @@ def stream_overlap_join_ab(spark: SparkSession, folder: str) -> DataFrame:
     return replayed(spark, folder, build, "overlap_join_ab", close=False)
 
 
+def stepped(spark: SparkSession, folder: str, step: stepwise.Step, carry: str, name: str) -> DataFrame:
+    """All rows of a step over the stored events, slice by slice."""
+    run = work_dir(spark, name)
+    run_to_end(stepwise.stepwise(sliced(spark, folder), step, carry, run, f"{run}/checkpoint"), in_slices=True)
+    return stepwise.rows_of(spark, run)
+
+
 def stream_seq_abc_immediate(spark: SparkSession, folder: str) -> DataFrame:
+    if in_slices(spark, folder):
+        return stepped(spark, folder, *automata.match_step([A, B, C], "10 minutes"), "seq_abc_immediate")
     return replayed(
         spark,
         folder,
@@ -167,6 +176,9 @@ def stream_inside_fence_hop(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_seq_fsm_hop(spark: SparkSession, folder: str) -> DataFrame:
+    if in_slices(spark, folder):
+        step = automata.fsm_step((A, B, C, D), "1 hour", "10 minutes")
+        return stepped(spark, folder, step, automata.FSM_CARRY, "seq_fsm_hop")
     return replayed(
         spark,
         folder,

@@ -14,7 +14,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from pulseline.session import configure, work_dir
 
@@ -39,50 +39,49 @@ class LateRowsDropped(RuntimeError):
     """A replay lost rows because the watermark had passed them."""
 
 
-class Losses(StreamingQueryListener):
-    """Rows that the watermark dropped, of one query, however many batches it runs."""
+class Losses(threading.Thread):
+    """Rows that the watermark dropped, of one query, however many batches it runs.
 
-    def __init__(self) -> None:
-        self.lost: dict[str, int] = {}
-        self.ended: dict[str, threading.Event] = {}
+    A query remembers the progress of its last batches only (100, if not set otherwise), so it is asked
+    again and again while it runs.
+    """
 
-    def onQueryStarted(self, event) -> None:
-        pass
+    def __init__(self, query: StreamingQuery, every: float = 0.2):
+        super().__init__(daemon=True)
+        self.query, self.every, self.over = query, every, threading.Event()
+        self.dropped: dict[tuple, int] = {}
 
-    def onQueryIdle(self, event) -> None:
-        pass
+    def look(self) -> None:
+        for p in self.query.recentProgress:
+            self.dropped[p.batchId, p.timestamp] = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
 
-    def onQueryProgress(self, event) -> None:
-        run = str(event.progress.runId)
-        dropped = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
-        self.lost[run] = self.lost.get(run, 0) + dropped
+    def run(self) -> None:
+        while not self.over.wait(self.every):
+            self.look()
 
-    def onQueryTerminated(self, event) -> None:
-        self.ended.setdefault(str(event.runId), threading.Event()).set()
+    def total(self) -> int:
+        self.over.set()
+        self.join()
+        self.look()
+        return sum(self.dropped.values())
 
 
 def run_to_end(writer: DataStreamWriter, in_slices: bool = False) -> int:
     """Run a stream until its input is used up; returns how many rows the watermark dropped.
 
-    A stream ``in_slices`` goes on from slice to slice until there are no more. Every batch counts: a query itself
-    remembers the progress of its last batches only.
+    A stream ``in_slices`` goes on from slice to slice until there are no more.
     """
-    spark = SparkSession.active()
-    losses = Losses()
-    spark.streams.addListener(losses)
+    query = (writer if in_slices else writer.trigger(availableNow=True)).start()
+    losses = Losses(query)
+    losses.start()
     try:
-        query = (writer if in_slices else writer.trigger(availableNow=True)).start()
-        run = str(query.runId)
         if in_slices:
             query.processAllAvailable()
             query.stop()
         query.awaitTermination()
-        # Progress comes in order, before the end; the end itself a moment after the query's.
-        if not losses.ended.setdefault(run, threading.Event()).wait(60):
-            raise TimeoutError("no notice that the stream has ended")
-        return losses.lost.get(run, 0)
     finally:
-        spark.streams.removeListener(losses)
+        lost = losses.total()
+    return lost
 
 
 def disorder(stored: DataFrame) -> str:

@@ -59,7 +59,7 @@ def test_losses_of_all_batches_count(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "late"))
     stream = spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
     remembered = "spark.sql.streaming.numRecentProgressUpdates"
-    spark.conf.set(remembered, "2")
+    spark.conf.set(remembered, "5")
     try:
         with pytest.raises(LateRowsDropped, match="1 rows"):
             replay(spark, stream, lambda s: s.groupBy(F.window("ts", "10 seconds")).count(), "late")
