@@ -35,7 +35,10 @@ PLAIN = bytes(
     c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256)
 )
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-STRIPES = "lang string, prefix string, part int, words array<string>, counts array<bigint>"
+# Ends a piece: a capital letter, which no word has any more.
+END = b"A"
+# A row holds the stripes of one stretch of text that go to the same bucket of the shuffle.
+STRIPES = "lang string, bucket int, stripes array<struct<prefix:string,part:int,words:array<string>,counts:array<bigint>>>"
 
 
 def hash_of(word: bytes) -> int:
@@ -72,57 +75,65 @@ def pieces(texts: list[bytes]) -> Iterator[bytes]:
     yield data[at:]
 
 
-def stripes_of(lang: str, data: bytes, length: int, bits: np.ndarray | None, wide: np.ndarray) -> pa.RecordBatch | None:
+def stripes_of(
+    lang: str, data: bytes, length: int, bits: np.ndarray | None, wide: np.ndarray, buckets: int
+) -> pa.RecordBatch | None:
     """The stripes of the prefixes of ``length - 1`` words in a stretch of text, as rows of ``STRIPES``."""
-    words = [w for w in data.replace(b"\n", b" \n ").split(b" ") if w]
-    vocab = sorted(set(words) - {b"\n"})
+    words = data.replace(b"\n", b" " + END + b" ").split()
+    vocab = list(set(words) - {END})
     if not vocab:
         return None
-    number = {w: i for i, w in enumerate(vocab)} | {b"\n": -1}
-    code = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
+    number = {w: i for i, w in enumerate(vocab)} | {END: -1}
     # A piece ends where the text does, so a phrase never runs over the end.
-    code = np.r_[code, np.full(length, -1)]
+    code = np.full(len(words) + length, -1, dtype=np.int64)
+    code[: len(words)] = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
     n, size = len(words), len(vocab)
     own = np.array([hash_of(w) for w in vocab], dtype=np.uint64)
-    hashes = own[np.maximum(code, 0)]
-    run, whole = np.full(n + 1, hash_of(lang.encode()), dtype=np.uint64), np.ones(n + 1, dtype=bool)
-    for k in range(length - 1):
-        run = run_hash(run, hashes[k : n + 1 + k])
-        whole &= code[k : n + 1 + k] >= 0
     follows = code[length - 1 : n + length - 1]
     if bits is None:
         starts = np.flatnonzero(follows >= 0)  # the empty prefix stands before every word
         after = follows[starts]
     else:
+        hashes, run, whole = own[code], np.full(n + 1, hash_of(lang.encode()), dtype=np.uint64), np.ones(n + 1, dtype=bool)
+        for k in range(length - 1):
+            run = run_hash(run, hashes[k : n + 1 + k])
+            whole &= code[k : n + 1 + k] >= 0
         frequent = whole & passes(bits, run)
         starts = np.flatnonzero(frequent[:n])
         after = np.where(frequent[starts + 1], follows[starts], -1)
     if not len(starts):
         return None
-    prefix = np.zeros(len(starts), dtype=np.int64)
+    # Prefixes are numbered; ``first`` is where each stands for the first time.
+    prefix, first = np.zeros(len(starts), dtype=np.int64), np.zeros(1, dtype=np.int64)
     for k in range(length - 1):
         _, first, prefix = np.unique(prefix * size + code[starts + k], return_index=True, return_inverse=True)
-    if length == 1:
-        first = np.zeros(1, dtype=np.int64)
-    cut = np.isin(run[starts[first]], wide) | (length == 1)
+    named = run[starts[first]] if length > 1 else np.zeros(1, dtype=np.uint64)
+    cut = np.isin(named, wide) | (length == 1)
     part = np.r_[own % np.uint64(PARTS), np.uint64(0)].astype(np.int64)[after] * cut[prefix]
     keys, counts = np.unique((prefix * PARTS + part) * (size + 1) + after + 1, return_counts=True)
     rows, next_ = keys // (size + 1), keys % (size + 1)
     begins = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    offsets = pa.array(np.r_[begins, len(rows)].astype(np.int32))
+    which, parts = rows[begins] // PARTS, rows[begins] % PARTS
     spelled = pa.array([b"", *vocab]).cast(pa.string())
-    at = starts[first][rows[begins] // PARTS]
+    at = starts[first][which]
     names = [spelled.take(pa.array(code[at + k] + 1)) for k in range(length - 1)]
-    name = pc.binary_join_element_wise(*names, " ") if names else pa.array([""] * len(begins))
-    return pa.RecordBatch.from_arrays(
+    offsets = pa.array(np.r_[begins, len(rows)].astype(np.int32))
+    stripes = pa.StructArray.from_arrays(
         [
-            pa.array([lang] * len(begins)),
-            name,
-            pa.array((rows[begins] % PARTS).astype(np.int32)),
+            pc.binary_join_element_wise(*names, " ") if names else pa.array([""] * len(begins)),
+            pa.array(parts.astype(np.int32)),
             pa.ListArray.from_arrays(offsets, spelled.take(pa.array(next_))),
             pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
         ],
-        ["lang", "prefix", "part", "words", "counts"],
+        ["prefix", "part", "words", "counts"],
+    )
+    bucket = (run_hash(named[which], parts.astype(np.uint64)) >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    dealt = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(order)].astype(np.int32)), stripes.take(pa.array(order)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(cuts)), pa.array(bucket[cuts].astype(np.int32)), dealt], ["lang", "bucket", "stripes"]
     )
 
 
@@ -165,6 +176,7 @@ def stripes(docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarra
     in stretches; a task's stripes are merged by Spark's aggregation, which spills.
     """
     wide = np.zeros(0, dtype=np.uint64) if wide is None else wide
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -173,7 +185,7 @@ def stripes(docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarra
         def passed(lang: str) -> Iterator[pa.RecordBatch]:
             sizes.pop(lang)
             for data in pieces(held.pop(lang)):
-                out = stripes_of(lang, data, length, bits.value if bits else None, wide)
+                out = stripes_of(lang, data, length, bits.value if bits else None, wide, buckets)
                 if out is not None:
                     yield out
 
@@ -189,13 +201,14 @@ def stripes(docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarra
         for lang in list(held):
             yield from passed(lang)
 
-    key = ["lang", "prefix", "part"]
-    counted = docs.mapInArrow(count, STRIPES).repartition(*key)
-    # Dealt by the key of a stripe, entries are merged where they are.
-    entries = counted.select(*key, F.explode(F.arrays_zip("words", "counts")).alias("e"))
+    # Dealt by bucket, stripes are merged where they are: a stripe, or a part of a wide one, has one bucket.
+    dealt = docs.mapInArrow(count, STRIPES).repartition("bucket")
+    stripe = dealt.select("lang", "bucket", F.inline("stripes"))
+    key = ["lang", "bucket", "prefix", "part"]
+    entries = stripe.select(*key, F.explode(F.arrays_zip("words", "counts")).alias("e"))
     entries = entries.groupBy(*key, F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("n"))
     kept = F.when((F.col("n") >= least) & (F.col("word") != ""), F.struct("word", "n"))
-    return entries.groupBy(*key).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("next"))
+    return entries.groupBy(*key).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("next")).drop("bucket")
 
 
 def extensions(merged: DataFrame) -> DataFrame:
@@ -258,8 +271,12 @@ def _ranked(levels: list[DataFrame], words: DataFrame, longest: int, covered: in
     inside = F.coalesce(F.expr(COVERED.format(longer="longer", a="a", covered=covered)), F.lit(False))
     free = known.where(F.col("a").isNotNull() & ~inside)
     free = free.select("lang", "phrase", "a", F.array_min(F.array(*cuts)).alias("cut")).select("lang", "phrase", "a", "cut.*")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = free.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    by = [F.desc("score"), F.desc("a"), "phrase"]
+    # First the best of each of a few shares of a language, so that no task sees more than those.
+    share = F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).alias("share")
+    some = free.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*by)))
+    some = some.where(F.col("rank") <= top).drop("rank", "share")
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= top)
     return best.join(words, "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
