@@ -67,13 +67,21 @@ def evaluate_rules(df: DataFrame, rules: list[EvalRule], device: str = "user_id"
     """
     if not rules:
         raise ValueError("no rules")
-    deepest = max(r.samples for r in rules)
     series = df.where(F.col("event_type").isin(sorted({r.event for r in rules})) & whole_value().isNotNull())
+    ranked = newest(series, deepest(rules), [device, "event_type"])
+    return judged(ranked.withColumn("whole", whole_value()), rules, device)
+
+
+def deepest(rules: list[EvalRule]) -> int:
+    """How many of the newest samples of a series the rules look at."""
+    return max(r.samples for r in rules)
+
+
+def judged(ranked: DataFrame, rules: list[EvalRule], device: str = "user_id") -> DataFrame:
+    """What the rules say of the newest samples of each series: ``whole`` values with their ``rank``, 1 the newest."""
     ruled = (
-        newest(series, deepest, [device, "event_type"])
-        .select(device, "event_id", "ts", "value", "rank", F.inline(rule_column(rules, F.col("event_type"))))
+        ranked.select(device, "event_id", "rank", F.col("whole").alias("_whole"), F.inline(rule_column(rules, F.col("event_type"))))
         .where(F.col("rank") <= F.col("samples"))
-        .withColumn("_whole", whole_value())
     )
     # Both kinds become one aggregate: ">" keeps each passing sample, "avg<" needs the sum.
     per_rule = ruled.groupBy("rule_id", "event", "sign", "samples", "threshold", device).agg(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseline.functions.temporal import duration, interval, micros
-from pulseline.operators.skew import DEFAULT, Budget, with_previous
+from pulseline.functions.temporal import at, duration, interval, micros
+from pulseline.operators.skew import DEFAULT, RANGE, Budget, in_ranges, with_previous
 
 
 def status_rows(last_seen: Column, until: Column, over: str, fail: str) -> Column:
@@ -36,6 +36,17 @@ def device_liveness(
     The silence after a device's last event counts up to ``as_of``, by default the newest event
     of any device; its rows have no ``next_seen``.
     """
+    silences = _silences(df, as_of, device, ts, tie, budget)
+    return silences.select(
+        device,
+        "last_seen",
+        "next_seen",
+        F.inline(status_rows(F.col("last_seen"), F.col("_until"), over, fail)),
+    )
+
+
+def _silences(df: DataFrame, as_of: Column | None, device: str, ts: str, tie: str, budget: Budget) -> DataFrame:
+    """Every device's ``last_seen``, ``next_seen`` (NULL after its last event) and ``_until``, the silence's end so far."""
     if as_of is None:
         as_of = df.select(F.max(ts)).scalar()
     beats = with_previous(df.select(device, ts, tie), [ts], [device], 1, ts, tie, budget)
@@ -45,43 +56,74 @@ def device_liveness(
     trailing = df.groupBy(device).agg(F.max(ts).alias("last_seen")).withColumn(
         "next_seen", F.lit(None).cast("timestamp")
     )
-    until = F.coalesce(F.col("next_seen"), as_of)
-    silences = between.unionByName(trailing)
-    return silences.select(
-        device,
-        "last_seen",
-        "next_seen",
-        F.inline(status_rows(F.col("last_seen"), until, over, fail)),
-    )
+    return between.unionByName(trailing).withColumn("_until", F.coalesce(F.col("next_seen"), as_of))
+
+
+# Ticks of silence, the state they lead to, and how many ticks count as lost by then.
+SILENCE_STEPS = [(60, "FULL", 1), (120, "FULL", 2), (180, "FULL", 3), (181, "OVER", 4), (242, "FAIL", 4), (243, "DISCONNECT", 0)]
+
+
+def silence_steps(tick: str) -> list[tuple[int, str, int]]:
+    """The stages of a silence as (microseconds, status, lost time)."""
+    return [(n * duration(tick), status, lost) for n, status, lost in SILENCE_STEPS]
+
+
+def liveness_steps(
+    df: DataFrame,
+    tick: str = "1 second",
+    as_of: Column | None = None,
+    device: str = "user_id",
+    ts: str = "ts",
+    tie: str = "event_id",
+    budget: Budget = DEFAULT,
+) -> DataFrame:
+    """All stages of all silences: ``last_seen``, ``since``, ``status`` and ``lost_time``.
+
+    A silent device loses time at 60, 120, 180 and 181 ticks, is ``OVER`` at 181, ``FAIL`` at 242 and is disconnected,
+    with nothing lost any more, at 243. Any event ends a silence. An event without a time is none.
+    """
+    silences = _silences(df.where(F.col(ts).isNotNull()), as_of, device, ts, tie, budget)
+    length = micros(F.col("_until")) - micros(F.col("last_seen"))
+    stages = [
+        F.when(
+            length >= after,
+            F.struct(
+                at(micros(F.col("last_seen")) + after).alias("since"),
+                F.lit(status).alias("status"),
+                F.lit(lost).alias("lost_time"),
+            ),
+        )
+        for after, status, lost in silence_steps(tick)
+    ]
+    return silences.select(device, "last_seen", F.inline(F.array_compact(F.array(*stages))))
 
 
 def flag_late(
-    df: DataFrame, arrival: str, width: int = 1_000_000, ts: str = "ts", tie: str = "event_id"
+    df: DataFrame, arrival: str, ts: str = "ts", tie: str = "event_id", budget: Budget = DEFAULT
 ) -> DataFrame:
     """Add ``late``: an event is late when an earlier arrival has a later event time.
 
-    The running maximum over the arrival order is taken in two steps: inside ranges of ``width``
-    arrival numbers, and over the maxima of the ranges before. Only those maxima, one row per
-    range, pass through one task.
+    Arrivals are numbers in any range, with gaps and repeats; equal ones follow each other by ``tie``. An
+    event without an arrival is never late and makes no other one late; nor does one without a time.
+
+    The running maximum is taken in two steps: inside ranges of arrivals, which hold about as many rows as
+    the budget says (see ``skew.in_ranges``), and over the maxima of the ranges before. Only those
+    maxima, one row per range, pass through one task.
     """
-    ranged = df.withColumn(
-        "_range", F.call_function("div", F.col(arrival) - F.pmod(F.col(arrival), F.lit(width)), F.lit(width))
-    )
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col(arrival).isNotNull()
+    ranged = in_ranges(df.where(known), arrival, tie, budget)
+    before = Window.orderBy(*RANGE).rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
-        ranged.groupBy("_range")
-        .agg(F.max(ts).alias("_top"))
-        .select("_range", F.max("_top").over(before).alias("_earlier"))
-    )
-    inside = (
-        Window.partitionBy("_range").orderBy(arrival, tie).rowsBetween(Window.unboundedPreceding, -1)
+        ranged.groupBy(*RANGE).agg(F.max(ts).alias("_top")).select(*RANGE, F.max("_top").over(before).alias("_earlier"))
     )
+    inside = Window.partitionBy(*RANGE).orderBy(arrival, tie).rowsBetween(Window.unboundedPreceding, -1)
     high = F.greatest("_earlier", F.max(ts).over(inside))
-    return (
-        ranged.join(earlier, "_range")
+    flagged = (
+        ranged.join(earlier, RANGE)
         .withColumn("late", F.coalesce(F.col(ts) < high, F.lit(False)))
-        .drop("_range", "_earlier")
+        .drop(*RANGE, "_earlier")
     )
+    return flagged.unionByName(df.where(~known).withColumn("late", F.lit(False)))
 
 
 def drop_late(df: DataFrame, arrival: str, **options) -> DataFrame:

@@ -67,6 +67,44 @@ def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(named, same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
+# Columns that number the ranges of ``in_ranges``, in their order; and the bins that ranges are first made of.
+RANGE, BINS = ["_r0", "_r1", "_r2"], 1 << 16
+
+
+def in_ranges(df: DataFrame, by: str, tie: str, budget: Budget = DEFAULT) -> DataFrame:
+    """Add ``RANGE``: numbers of ranges that follow each other in the order of ``by`` and ``tie`` (numbers).
+
+    Ranges come from the measured distribution. Bins of equal width are counted; neighbours with few rows share a range, and a
+    bin over the budget is cut into as many parts as it has budgets of rows. What is over the budget even then is cut once
+    more, by ``tie`` if it is a single value. Places are floating point, which keeps the order.
+    """
+    low, high = df.agg(F.min(by).cast("double"), F.max(by).cast("double")).first()
+    low, width = low or 0.0, max(((high or 0.0) - (low or 0.0)) / BINS, 1.0)
+    rows = df.withColumn("_at", (F.col(by).cast("double") - F.lit(low)) / F.lit(width)).withColumn("_bin", F.floor("_at"))
+    parts = F.when(F.col("_n") > budget.rows, F.ceil(F.col("_n") / F.lit(budget.rows)))
+    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    # At most BINS rows.
+    bins = rows.groupBy("_bin").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_bin",
+        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(budget.rows)).alias("_r0"),
+        parts.alias("_parts"),
+    )
+    inside = (F.col("_at") - F.col("_bin")) * F.col("_parts")
+    # Bins of a range that are not cut come before the one that is.
+    rows = rows.join(bins, "_bin").withColumns({"_r1": F.coalesce(F.floor(inside) + 1, F.lit(0)), "_at": inside - F.floor(inside)})
+    crowded = rows.where(F.col("_r1") > 0).groupBy("_r0", "_r1").agg(
+        F.count(F.lit(1)).alias("_n"),
+        (F.min(by) == F.max(by)).alias("_single"),
+        F.min(tie).cast("double").alias("_low"),
+        (F.max(tie).cast("double") - F.min(tie).cast("double") + 1).alias("_span"),
+    )
+    crowded = crowded.where(F.col("_n") > budget.rows).withColumn("_parts2", F.ceil(F.col("_n") / F.lit(budget.rows)))
+    share = F.when(F.col("_single"), (F.col(tie).cast("double") - F.col("_low")) / F.col("_span")).otherwise(F.col("_at"))
+    cut = F.coalesce(F.floor(share * F.col("_parts2")) + 1, F.lit(0))
+    out = rows.join(crowded.drop("_n"), ["_r0", "_r1"], "left").withColumn("_r2", cut)
+    return out.select(*df.columns, *RANGE)
+
+
 def _sliced(df: DataFrame, keys: list[str], ts: str, budget: Budget) -> DataFrame:
     """Add ``_hot`` and ``_s0`` .. ``_s2``: the time slice of each row of a hot key.
 

@@ -45,11 +45,17 @@ def _line(df: DataFrame, section: str, rule, at, measure) -> DataFrame:
 
 def event_report(spark: SparkSession, folder: str) -> DataFrame:
     """Temporal, sequence and evaluation findings per device."""
+    return report_lines(
+        timing.lookback_b_before_a(spark, folder),
+        timing.freq_lookback(spark, folder),
+        patterns.seq_last_seen(spark, folder),
+        basics.rule_table(spark, folder),
+    )
+
+
+def report_lines(hits: DataFrame, frequent: DataFrame, ordered: DataFrame, valued: DataFrame) -> DataFrame:
+    """The lines of the event report, from the findings of its four rules."""
     none = F.lit(None)
-    hits = timing.lookback_b_before_a(spark, folder)
-    frequent = timing.freq_lookback(spark, folder)
-    ordered = patterns.seq_last_seen(spark, folder)
-    valued = basics.rule_table(spark, folder)
     return all_alerts(
         _line(hits, "temporal", F.lit("b near a"), F.col("ts"), none),
         _line(frequent, "temporal", F.lit("a frequent"), F.col("anchor_ts"), F.col("n")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ from pulseline.plans.registry import A, B, C, D, Query
 from pulseline.session import shared_root, work_dir
 from pulseline.sources import slices
 from pulseline.sources.tables import events, events_stream, load, with_location
-from pulseline.streaming import automata, keyed, sinks, stepwise, windowed
+from pulseline.streaming import automata, facts, keyed, sinks, stepwise, windowed
 from pulseline.streaming.replay import disorder, replay, run_to_end
 
 # Files per micro-batch of the streams of files; None takes all at once. The rows do not depend on it.
@@ -53,6 +53,17 @@ def replayed(spark: SparkSession, folder: str, build, name: str, **options) -> D
     return replay(spark, source(spark, folder), build, name, watermark=delay, **options)
 
 
+def newest_watermark(spark: SparkSession, folder: str) -> datetime | bool:
+    """The time of a marker that moves a replay's watermark to the newest event.
+
+    False if there is no event, and for slices, after which it is there.
+    """
+    newest, oldest = events(spark, folder).agg(F.max("ts"), F.min("ts")).first()
+    if newest is None or in_slices(spark, folder):
+        return False
+    return newest + (newest - oldest)
+
+
 def stream_freq_in_hop(spark: SparkSession, folder: str) -> DataFrame:
     return replayed(
         spark,
@@ -151,15 +162,12 @@ def stream_messy_avg_last_n(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_device_liveness(spark: SparkSession, folder: str) -> DataFrame:
     """Silences as of the newest event: the marker moves the watermark just there."""
-    newest, oldest = events(spark, folder).agg(F.max("ts"), F.min("ts")).first()
-    delay = timedelta(0) if in_slices(spark, folder) else newest - oldest
-    close = newest + delay if newest else False
     return replayed(
         spark,
         folder,
         lambda s: windowed.stream_liveness(s, "18 hours", "24 hours"),
         "device_liveness",
-        close=close,
+        close=newest_watermark(spark, folder),
     )
 
 
@@ -281,6 +289,50 @@ def stream_alert_topics(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{run}/out")
 
 
+def kept_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What a stream keeps of each device for the event report's questions."""
+    run = work_dir(spark, "facts")
+    ordered = in_slices(spark, folder)
+    stream = sliced(spark, folder) if ordered else source(spark, folder)
+    stream = stream.withWatermark("ts", "0 seconds" if ordered else disorder(events(spark, folder)))
+    types = sorted({t for p in patterns.PATTERNS for t in p})
+    updates = facts.device_facts(stream, basics.EVAL_RULES, [(A, B, "24 hours"), (A, A, "7 days")], types)
+    writer = updates.writeStream.format("parquet").option("path", f"{run}/out")
+    run_to_end(writer.option("checkpointLocation", f"{run}/checkpoint"), ordered)
+    return facts.kept(spark, f"{run}/checkpoint")
+
+
+def stream_rule_table(spark: SparkSession, folder: str) -> DataFrame:
+    return facts.rules_now(kept_facts(spark, folder), basics.EVAL_RULES)
+
+
+def stream_lookback_b_before_a(spark: SparkSession, folder: str) -> DataFrame:
+    return facts.lookback_now(kept_facts(spark, folder), A, B, "24 hours")
+
+
+def stream_freq_lookback(spark: SparkSession, folder: str) -> DataFrame:
+    return facts.frequency_now(kept_facts(spark, folder), A, 3, "7 days")
+
+
+def stream_event_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The event report from the stream's state, not from the history of events."""
+    known = kept_facts(spark, folder)
+    last = facts.last_seen_now(known, sorted({t for p in patterns.PATTERNS for t in p}))
+    return reports.report_lines(
+        facts.lookback_now(known, A, B, "24 hours"),
+        facts.frequency_now(known, A, 3, "7 days"),
+        in_pattern_order(last, patterns.PATTERNS),
+        facts.rules_now(known, basics.EVAL_RULES),
+    )
+
+
+def stream_liveness_steps(spark: SparkSession, folder: str) -> DataFrame:
+    """The stages of silences as of the newest event: the marker moves the watermark just there."""
+    return replayed(
+        spark, folder, lambda s: keyed.stream_liveness_steps(s, timing.TICK), "liveness_steps", close=newest_watermark(spark, folder)
+    )
+
+
 _LIVENESS = f"SELECT user_id, last_seen, status, since FROM ({timing.QUERIES['device_liveness'].sql})"
 
 QUERIES = {
@@ -307,6 +359,11 @@ QUERIES = {
     "stream_geo_report": Query(stream_geo_report, reports.QUERIES["geo_report"].sql),
     "stream_seq_last_seen": Query(stream_seq_last_seen, patterns.QUERIES["seq_last_seen"].sql),
     "stream_snapshot_count": Query(stream_snapshot_count, timing.QUERIES["snapshot_count"].sql),
+    "stream_rule_table": Query(stream_rule_table, basics.QUERIES["rule_table"].sql),
+    "stream_lookback_b_before_a": Query(stream_lookback_b_before_a, timing.QUERIES["lookback_b_before_a"].sql),
+    "stream_freq_lookback": Query(stream_freq_lookback, timing.QUERIES["freq_lookback"].sql),
+    "stream_event_report": Query(stream_event_report, reports.QUERIES["event_report"].sql),
+    "stream_liveness_steps": Query(stream_liveness_steps, timing.QUERIES["liveness_steps"].sql),
     "stream_event_table": Query(
         stream_event_table, "SELECT event_id, ts, user_id, event_type, value FROM events"
     ),

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from pulseline.functions import temporal
 from pulseline.operators import joins, liveness, windows
 from pulseline.operators.evaluation import newest
+from pulseline.operators.skew import Budget
 from pulseline.plans.registry import A, B, Query, hops
 from pulseline.sources.tables import events
 
+# The test events are minutes apart, so a tick of silence is longer than a second.
+TICK = "6 minutes"
+
 
 def freq_in_hop(spark: SparkSession, folder: str) -> DataFrame:
     return windows.event_frequency(events(spark, folder), "VIEW", 3, "1 hour", "10 minutes")
@@ -100,6 +104,10 @@ def device_liveness(spark: SparkSession, folder: str) -> DataFrame:
     return liveness.device_liveness(events(spark, folder), "18 hours", "24 hours")
 
 
+def liveness_steps(spark: SparkSession, folder: str) -> DataFrame:
+    return liveness.liveness_steps(events(spark, folder), TICK)
+
+
 def _arrivals(spark: SparkSession, folder: str) -> DataFrame:
     """Every fifth event arrives three places late."""
     late = F.when(F.col("event_id") % 5 == 0, 3).otherwise(0)
@@ -114,6 +122,18 @@ def late_flags(spark: SparkSession, folder: str) -> DataFrame:
     return liveness.flag_late(_arrivals(spark, folder), "arrival").select("event_id", "late")
 
 
+def messy_late_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Arrival numbers with wide gaps, some missing, and a tenth of all the same; ranges of few rows."""
+    number = F.col("event_id")
+    arrival = (
+        F.when(number % 7 == 0, None)
+        .when(number % 10 == 0, F.lit(5_000_000_000))
+        .otherwise((number + F.when(number % 5 == 0, 3).otherwise(0)) * 1_000_003)
+    )
+    rows = events(spark, folder).withColumn("arrival", arrival)
+    return liveness.flag_late(rows, "arrival", budget=Budget(rows=500)).select("event_id", "late")
+
+
 def order_check(spark: SparkSession, folder: str) -> DataFrame:
     """Events in the order of their ids; the job fails if one is out of order in time."""
     return liveness.require_order(events(spark, folder), "event_id").select("event_id", "ts")
@@ -133,6 +153,11 @@ _LATE = """SELECT e.event_id, arrival, ts, coalesce(ts < max(ts) OVER (
     ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS late
   FROM (SELECT *, event_id + CASE WHEN event_id % 5 = 0 THEN 3 ELSE 0 END AS arrival FROM events) e"""
 
+_MESSY_LATE = """SELECT event_id, arrival IS NOT NULL AND coalesce(ts < max(ts) OVER (
+    PARTITION BY arrival IS NULL ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS late
+  FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 10 = 0 THEN 5000000000
+          ELSE (event_id + CASE WHEN event_id % 5 = 0 THEN 3 ELSE 0 END) * 1000003 END AS arrival FROM events)"""
+
 QUERIES = {
     "freq_in_hop": Query(
         freq_in_hop,
@@ -220,6 +245,17 @@ QUERIES = {
            FROM s, (VALUES ('OVER', 18), ('FAIL', 24)) AS v(status, h)
            WHERE coalesce(next_seen, top) - last_seen >= h * INTERVAL 1 HOUR""",
     ),
+    "liveness_steps": Query(
+        liveness_steps,
+        """WITH s AS (
+             SELECT user_id, ts AS last_seen, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_seen,
+                    max(ts) OVER () AS top FROM events)
+           SELECT user_id, last_seen, last_seen + n * INTERVAL 6 MINUTE AS since, status, CAST(lost AS INT) AS lost_time
+           FROM s, (VALUES (60, 'FULL', 1), (120, 'FULL', 2), (180, 'FULL', 3), (181, 'OVER', 4), (242, 'FAIL', 4),
+                           (243, 'DISCONNECT', 0)) AS v(n, status, lost)
+           WHERE coalesce(next_seen, top) - last_seen >= n * INTERVAL 6 MINUTE""",
+    ),
+    "messy_late_flags": Query(messy_late_flags, _MESSY_LATE),
     "late_drop": Query(late_drop, f"SELECT event_id, arrival, ts FROM ({_LATE}) WHERE NOT late"),
     "order_check": Query(order_check, "SELECT event_id, ts FROM events"),
     "late_flags": Query(late_flags, f"SELECT event_id, late FROM ({_LATE})"),

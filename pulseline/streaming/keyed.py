@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseline.functions.geo import metres
-from pulseline.functions.temporal import duration
+from pulseline.functions.temporal import at, duration, micros
 from pulseline.operators.evaluation import whole_value
 from pulseline.operators.geo import fence_distance
 from pulseline.sources.rules import Fence
-from pulseline.streaming.processors import CarryNewest, CarryPrevious
+from pulseline.operators.liveness import silence_steps
+from pulseline.streaming.processors import CarryNewest, CarryPrevious, CountSilence
 
 
 def _binned(df: DataFrame, device: str, width: str, value: Column, kind: str = "double") -> DataFrame:
@@ -127,3 +128,26 @@ def stream_average_of_last(
         )
         .withColumnRenamed("device", device)
     )
+
+
+def stream_liveness_steps(df: DataFrame, tick: str = "1 second", device: str = "user_id") -> DataFrame:
+    """The stages of each device's silences, as ``liveness.liveness_steps`` has them, as soon as they are due.
+
+    A device's state is the time of its last event and the stage given last; a timer on event time waits for the
+    next one, and any event sets it back. Only times are gathered in a micro-batch, no events.
+    """
+    kind = df.schema[device].dataType.simpleString()
+    found = (
+        df.where(F.col("ts").isNotNull())
+        .select(F.col(device).alias("device"), "ts", micros(F.col("ts")).alias("at"))
+        .groupBy("device")
+        .transformWithStateInPandas(
+            CountSilence(silence_steps(tick)),
+            f"device {kind}, last_at BIGINT, since_at BIGINT, status STRING, lost_time INT",
+            "append",
+            "EventTime",
+        )
+    )
+    return found.select(
+        F.col("device").alias(device), at(F.col("last_at")).alias("last_seen"), at(F.col("since_at")).alias("since"), "status", "lost_time"
+    )

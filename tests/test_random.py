@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseline.functions.geo import EARTH_RADIUS_M
-from pulseline.operators import geo, joins, liveness, sequences, windows
+from pulseline.operators import geo, joins, liveness, sequences, skew, windows
 from pulseline.operators.skew import Budget, salted_join, with_previous
 
 T0 = datetime(2024, 1, 1)
@@ -204,18 +204,51 @@ def test_box_and_axis_pairs(spark, budget):
     assert sorted(got) == sorted(joined)
 
 
-@pytest.mark.parametrize("width", [1, 7, 1_000_000])
-def test_late(spark, width):
+ARRIVALS = {
+    "repeated": lambda rng, i: rng.randrange(100),
+    "sparse": lambda rng, i: rng.randrange(-(1 << 62), 1 << 62),
+    "one value": lambda rng, i: 7 if rng.random() < 0.7 else rng.randrange(20),
+    "missing": lambda rng, i: None if rng.random() < 0.3 else i,
+    "all missing": lambda rng, i: None,
+}
+
+
+@pytest.mark.parametrize("rows_per_range", [1, 7, 1_000_000])
+@pytest.mark.parametrize("arrivals", ARRIVALS)
+def test_late(spark, rows_per_range, arrivals):
     rng = random.Random(9)
-    rows = [(i, rng.randrange(100), T0 + timedelta(seconds=i + rng.randrange(6))) for i in range(200)]
+    rows = [(i, ARRIVALS[arrivals](rng, i), T0 + timedelta(seconds=i + rng.randrange(6))) for i in range(200)]
+    rows[5] = (5, rows[5][1], None)
     df = spark.createDataFrame(rows, "event_id long, arrival long, ts timestamp")
-    got = {r["event_id"] for r in liveness.flag_late(df, "arrival", width=width).where("late").collect()}
+    flagged = liveness.flag_late(df, "arrival", budget=skew.Budget(rows=rows_per_range)).collect()
     want, top = set(), datetime.min
-    for event_id, _, ts in sorted(rows, key=lambda r: (r[1], r[0])):
-        if ts < top:
+    for event_id, _, ts in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[0])):
+        if ts is not None and ts < top:
             want.add(event_id)
-        top = max(top, ts)
-    assert got == want
+        top = max(top, ts or top)
+    assert len(flagged) == len(rows) and {r["event_id"] for r in flagged if r["late"]} == want
+
+
+@pytest.mark.parametrize("arrivals", ["repeated", "sparse", "one value"])
+def test_ranges_follow_each_other_within_the_budget(spark, arrivals):
+    rng = random.Random(12)
+    rows = [(i, ARRIVALS[arrivals](rng, i)) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "event_id long, arrival long")
+    ranged = skew.in_ranges(df, "arrival", "event_id", skew.Budget(rows=50)).collect()
+    by_range = {}
+    for r in ranged:
+        by_range.setdefault(tuple(r[c] for c in skew.RANGE), []).append((r["arrival"], r["event_id"]))
+    in_order = [sorted(by_range[k]) for k in sorted(by_range)]
+    assert [x for own in in_order for x in own] == sorted((a, i) for i, a in rows)
+    assert max(map(len, in_order)) <= 150
+    assert len(in_order) <= 4 * 2_000 / 50
+
+
+def test_a_missing_arrival_makes_nothing_late(spark):
+    rows = [(0, 1, 1), (1, 2, 2), (2, None, 9), (3, 4, 4)]
+    df = spark.createDataFrame([(i, a, T0 + timedelta(seconds=t)) for i, a, t in rows], "event_id long, arrival long, ts timestamp")
+    assert not any(r["late"] for r in liveness.flag_late(df, "arrival").collect())
+    assert liveness.require_order(df, "arrival").count() == 4 and liveness.drop_late(df, "arrival").count() == 4
 
 
 @pytest.mark.parametrize("budget", BUDGETS)
