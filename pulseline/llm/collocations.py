@@ -37,8 +37,9 @@ PLAIN = bytes(
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 # Ends a piece: a capital letter, which no word has any more.
 END = b"A"
-# A row holds the stripes of one stretch of text that go to the same bucket of the shuffle.
-STRIPES = "lang string, bucket int, stripes array<struct<prefix:string,part:int,words:array<string>,counts:array<bigint>>>"
+# A row holds the stripes of one stretch of text that go to the same bucket of the shuffle; the words of a
+# stripe are one string, in which spaces part them.
+STRIPES = "lang string, bucket int, stripes array<struct<prefix:string,part:int,words:string,counts:array<int>>>"
 
 
 def hash_of(word: bytes) -> int:
@@ -88,6 +89,7 @@ def stripes_of(
     code = np.full(len(words) + length, -1, dtype=np.int64)
     code[: len(words)] = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
     n, size = len(words), len(vocab)
+    del words, number  # the largest objects here
     own = np.array([hash_of(w) for w in vocab], dtype=np.uint64)
     follows = code[length - 1 : n + length - 1]
     if bits is None:
@@ -122,8 +124,8 @@ def stripes_of(
         [
             pc.binary_join_element_wise(*names, " ") if names else pa.array([""] * len(begins)),
             pa.array(parts.astype(np.int32)),
-            pa.ListArray.from_arrays(offsets, spelled.take(pa.array(next_))),
-            pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+            pc.binary_join(pa.ListArray.from_arrays(offsets, spelled.take(pa.array(next_))), " "),
+            pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))),
         ],
         ["prefix", "part", "words", "counts"],
     )
@@ -176,7 +178,7 @@ def stripes(docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarra
     in stretches; a task's stripes are merged by Spark's aggregation, which spills.
     """
     wide = np.zeros(0, dtype=np.uint64) if wide is None else wide
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -203,10 +205,14 @@ def stripes(docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarra
 
     # Dealt by bucket, stripes are merged where they are: a stripe, or a part of a wide one, has one bucket.
     dealt = docs.mapInArrow(count, STRIPES).repartition("bucket")
-    stripe = dealt.select("lang", "bucket", F.inline("stripes"))
     key = ["lang", "bucket", "prefix", "part"]
-    entries = stripe.select(*key, F.explode(F.arrays_zip("words", "counts")).alias("e"))
-    entries = entries.groupBy(*key, F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("n"))
+
+    def listed(s: Column) -> Column:
+        entry = lambda w, n: F.struct(s["prefix"].alias("prefix"), s["part"].alias("part"), w.alias("word"), n.alias("n"))
+        return F.zip_with(F.split(s["words"], " "), s["counts"], entry)
+
+    entries = dealt.select("lang", "bucket", F.inline(F.flatten(F.transform("stripes", listed))))
+    entries = entries.groupBy(*key, "word").agg(F.sum("n").alias("n"))
     kept = F.when((F.col("n") >= least) & (F.col("word") != ""), F.struct("word", "n"))
     return entries.groupBy(*key).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("next")).drop("bucket")
 
