@@ -11,7 +11,7 @@ from pulseline.functions.geo import EARTH_RADIUS_M, euclid, haversine_m, metres
 from pulseline.functions.temporal import at, bin_of, duration
 from pulseline.operators.filters import latest
 from pulseline.operators.joins import meet
-from pulseline.operators.skew import DEFAULT, Budget, salted_join, with_previous
+from pulseline.operators.skew import DEFAULT, Budget, tiled_join, with_previous
 from pulseline.operators.windows import hop_aggregate, largest
 from pulseline.sources.rules import Fence
 
@@ -120,7 +120,7 @@ def pairs_within(
     touched = F.array_distinct(F.transform(F.sequence(low, high), lambda c: F.pmod(c, count)))
     looking = looking.withColumn("_cell", F.explode(touched)).drop("_turn", "_reach")
 
-    near = salted_join(resting, looking, ["_band", "_cell"], ["right_id"], budget=budget)
+    near = tiled_join(looking, resting, ["_band", "_cell"], ["left_id"], ["right_id"], budget)
     if not include_self:
         near = near.where(F.col("left_id") != F.col("right_id"))
     distance = haversine_m(F.col("_llat"), F.col("_llon"), F.col("_rlat"), F.col("_rlon"))
@@ -188,7 +188,7 @@ def _close_pairs(
     if df.isStreaming:
         pairs = meet(looking, resting, grid, "l_ts", "r_ts", size_us + hop_us)
     else:
-        pairs = salted_join(resting, looking, grid, ["r_tie"], budget=budget)
+        pairs = tiled_join(looking, resting, grid, ["l_tie"], ["r_tie"], budget)
     pairs = pairs.where(close)
 
     start = F.greatest("l_hop", "r_hop") * hop_us
@@ -255,7 +255,8 @@ def axis_pair_join(
     lats = lats.withColumn("_bucket", F.explode(F.sequence(F.col("_bucket") - 1, F.col("_bucket") + 1)))
     lons = axis("lon", lon_limit).withColumnsRenamed({"valid_from": "_f2", "valid_to": "_t2"})
     lons = lons.withColumn("_bucket", bin_of(F.col("_f2"), size_us))
-    joined = lats.join(lons, ["left_id", "right_id", "_bucket"]).where(
+    key = ["left_id", "right_id", "_bucket"]
+    joined = tiled_join(lats, lons, key, ["_f1", "lat_diff"], ["_f2", "lon_diff"], budget).where(
         (F.col("_f1") < F.col("_t2")) & (F.col("_f2") < F.col("_t1"))
     )
     return joined.select(
@@ -277,6 +278,7 @@ def named_proximity(
     device: str = "user_id",
     ts: str = "ts",
     tie: str = "event_id",
+    budget: Budget = DEFAULT,
 ) -> DataFrame:
     """Watched pairs whose latest positions in a hopping window are close.
 
@@ -291,13 +293,12 @@ def named_proximity(
     # of both sides: a maximum per side, which merges before the shuffle.
     fix = F.struct(ts, tie, "lat", "lon")
     both = hop_aggregate(
-        df.join(ends, device),
+        df.join(ends, device) if df.isStreaming else tiled_join(df, ends, [device], [tie], ["left_id", "right_id"], budget),
         ["left_id", "right_id"],
         size,
         slide,
         {side: largest(F.when(F.col("_side") == i, fix)) for i, side in enumerate("ab")},
         ts=ts,
-        dense=False,
     ).where(F.col("a").isNotNull() & F.col("b").isNotNull())
     distance = euclid(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     return (

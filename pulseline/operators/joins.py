@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseline.functions.temporal import at, bin_of, duration, interval
-from pulseline.operators.skew import DEFAULT, Budget, salted_join
+from pulseline.operators.skew import DEFAULT, Budget, salted_join, tiled_join
 
 
 def _prefixed(df: DataFrame, prefix: str, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -70,7 +70,7 @@ def overlap_join(
     if left.isStreaming or right.isStreaming:
         pairs = meet(looking, resting, key, f"left_{ts}", f"right_{ts}", size_us + hop_us)
     else:
-        pairs = salted_join(resting, looking, key, [f"right_{tie}"], budget=budget)
+        pairs = tiled_join(looking, resting, key, [f"left_{tie}"], [f"right_{tie}"], budget)
 
     pairs = pairs.where(F.abs(F.col("left_hop") - F.col("right_hop")) < hops)
     if ordered:

@@ -17,10 +17,11 @@ from pulseline.functions.temporal import bin_of, duration, micros
 
 @dataclass(frozen=True)
 class Budget:
-    """Rows one task should handle, and the time slices a hot key is first cut into."""
+    """Rows and pairs of rows one task should handle, and the time slices a hot key is first cut into."""
 
     rows: int = 2_000_000
     slice: str = "1 hour"
+    pairs: int = 50_000_000
 
 
 DEFAULT = Budget()
@@ -55,6 +56,42 @@ def salted_join(
     return spread.drop("_salts").join(copied.drop("_salts"), [*on, "_salt"], how).drop("_salt")
 
 
+def tiles(
+    left: DataFrame, right: DataFrame, on: list[str], left_by: list[str], right_by: list[str], budget: Budget = DEFAULT
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi join with the tile of each row, ``_row`` and ``_col``, as further keys.
+
+    What a key costs is the product of its rows on either side. A key with more pairs than the budget becomes a
+    table of tiles of at most about so many: left rows are dealt to its rows by a hash of ``left_by`` and copied
+    along the columns, right rows are dealt to its columns by ``right_by`` and copied along the rows. Its
+    shape follows the two counts, so that the longer side is copied less. Other keys are one tile, and nothing is copied.
+    """
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(*on).agg(F.count(F.lit(1)).alias(name))
+
+    wanted = F.col("_l").cast("double") * F.col("_r") / F.lit(budget.pairs)
+    hot = counted(left, "_l").join(counted(right, "_r"), on).withColumn("_n", wanted).where(F.col("_n") > 1)
+    rows = F.least(F.greatest(F.ceil(F.sqrt(F.col("_n") * F.col("_l") / F.col("_r"))), F.lit(1)), F.ceil("_n"), F.col("_l"))
+    hot = hot.withColumn("_rows", rows.cast("int")).withColumn("_cols", F.ceil(F.col("_n") / F.col("_rows")).cast("int"))
+    hot = hot.select(*on, "_rows", "_cols")
+
+    def dealt(side: DataFrame, by: list[str], own: str, other: str, place: str, copies: str) -> DataFrame:
+        known = side.join(hot, on, "left").withColumns({own: F.coalesce(own, F.lit(1)), other: F.coalesce(other, F.lit(1))})
+        placed = known.withColumn(place, F.pmod(F.xxhash64(*by), F.col(own)).cast("int"))
+        return placed.withColumn(copies, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_rows", "_cols")
+
+    return dealt(left, left_by, "_rows", "_cols", "_row", "_col"), dealt(right, right_by, "_cols", "_rows", "_col", "_row")
+
+
+def tiled_join(
+    left: DataFrame, right: DataFrame, on: list[str], left_by: list[str], right_by: list[str], budget: Budget = DEFAULT
+) -> DataFrame:
+    """Inner equi join whose hot keys, on either side or both, are cut into tiles of a bounded number of pairs."""
+    a, b = tiles(left, right, on, left_by, right_by, budget)
+    return a.join(b, [*on, "_row", "_col"]).drop("_row", "_col")
+
+
 def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with the other columns of ``table``, which has a row per key at most; NULL keys match too.
 

@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseline.functions.temporal import at, bin_of, duration, micros
 
-# name -> (aggregate over rows, how to merge two partial results)
-Aggregates = dict[str, tuple[Column, Callable[[str], Column]]]
+# name -> (aggregate over rows, how to merge partial results of a column, how to merge two of them)
+Aggregate = tuple[Column, Callable[[str], Column], Callable[[Column, Column], Column]]
+Aggregates = dict[str, Aggregate]
 
 
-def count_rows() -> tuple[Column, Callable[[str], Column]]:
-    return F.count(F.lit(1)), F.sum
+def count_rows() -> Aggregate:
+    return F.count(F.lit(1)), F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
 
 
-def smallest(value: Column) -> tuple[Column, Callable[[str], Column]]:
-    return F.min(value), F.min
+def smallest(value: Column) -> Aggregate:
+    return F.min(value), F.min, F.least
 
 
-def largest(value: Column) -> tuple[Column, Callable[[str], Column]]:
-    return F.max(value), F.max
+def largest(value: Column) -> Aggregate:
+    return F.max(value), F.max, F.greatest
 
 
 def hop_aggregate(
@@ -32,43 +36,78 @@ def hop_aggregate(
     slide: str,
     aggregates: Aggregates,
     ts: str = "ts",
-    dense: bool = True,
 ) -> DataFrame:
-    """Group by keys and epoch-aligned windows [start, start + size), one every ``slide``.
+    """Group by keys and epoch-aligned windows [start, start + size), one every ``slide``; empty ones do not come up.
 
-    A batch of dense keys is first reduced to one row per key and slide-wide pane, and only the
-    panes are copied into their windows; rows are never copied. Keys with few rows per pane have
-    nothing to reduce and skip that step. Streams, and sizes that are no multiple of the slide,
-    use Spark's window function, which gives the same windows.
+    A batch is reduced to one row per key and pane, as wide as the greatest common divisor of size and slide. Panes are
+    never copied into the windows over them. They are put into blocks as long as a window. A window
+    then is the last panes of one block and the first ones of the next, so running aggregates from either end of
+    a block answer all windows; between two panes that come or go they do not change, and windows are
+    listed only from such stretches. A condition on the aggregates is tested before that.
+
+    Streams use Spark's window function, which gives the same windows.
     """
     size_us, slide_us = duration(size), duration(slide)
-    if df.isStreaming or size_us % slide_us:
+    if df.isStreaming:
         window = F.window(ts, f"{size_us} microseconds", f"{slide_us} microseconds")
-        grouped = df.groupBy(window, *keys).agg(
-            *[rows.alias(name) for name, (rows, _) in aggregates.items()]
-        )
+        grouped = df.groupBy(window, *keys).agg(*[rows.alias(name) for name, (rows, _, _) in aggregates.items()])
         return grouped.select(
             *keys,
             F.col("window.start").alias("window_start"),
             F.col("window.end").alias("window_end"),
             *aggregates,
         )
-    panes = df.withColumn("_pane", bin_of(F.col(ts), slide_us))
-    results = [rows.alias(name) for name, (rows, _) in aggregates.items()]
-    if dense:
-        panes = panes.groupBy(*keys, "_pane").agg(*results)
-        results = [merge(name).alias(name) for name, (_, merge) in aggregates.items()]
-    first = F.col("_pane") - (size_us // slide_us - 1)
-    merged = (
-        panes.withColumn("_w", F.explode(F.sequence(first, F.col("_pane"))))
-        .groupBy(*keys, "_w")
-        .agg(*results)
+    unit = math.gcd(size_us, slide_us)
+    length, step = size_us // unit, slide_us // unit
+    panes = df.withColumn("_pane", bin_of(F.col(ts), unit)).groupBy(*keys, "_pane")
+    panes = panes.agg(*[rows.alias(name) for name, (rows, _, _) in aggregates.items()])
+
+    # For the windows that begin in a block, its own panes go one after the other, and those of the next block come.
+    pane = F.col("_pane")
+    block = F.call_function("div", pane - F.pmod(pane, F.lit(length)), F.lit(length).cast("bigint"))
+
+    def change(of: Column, at_window: Column, goes: Column | None) -> Column:
+        return F.struct(of.alias("_block"), at_window.alias("_from"), (F.lit(None) if goes is None else goes).cast("boolean").alias("_goes"))
+
+    changes = F.array(
+        change(block, pane + 1, F.lit(True)),
+        change(block - 1, pane - length + 1, F.lit(False)),
+        # The first stretch of each block.
+        change(block, block * length, None),
+        change(block - 1, (block - 1) * length, None),
     )
-    return merged.select(
+    moved = panes.withColumn("_c", F.explode(changes)).select(*keys, "_c.*", *aggregates).repartition(*keys, "_block")
+    grouped = moved.groupBy(*keys, "_block", "_from").agg(
+        *[
+            merge(F.when(F.col("_goes") == goes, F.col(name))).alias(f"_{goes}_{name}")
+            for name, (_, merge, _) in aggregates.items()
+            for goes in (True, False)
+        ]
+    )
+    along = Window.partitionBy(*keys, "_block")
+    until_now = along.orderBy("_from").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    still_there = along.orderBy(F.desc("_from")).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = grouped.select(
         *keys,
-        at(F.col("_w") * slide_us).alias("window_start"),
-        at(F.col("_w") * slide_us + size_us).alias("window_end"),
-        *aggregates,
+        "_from",
+        F.lead("_from", 1).over(along.orderBy("_from")).alias("_next"),
+        ((F.col("_block") + 1) * length).alias("_end"),
+        *[merge(f"_True_{name}").over(still_there).alias(f"_own_{name}") for name, (_, merge, _) in aggregates.items()],
+        *[merge(f"_False_{name}").over(until_now).alias(f"_new_{name}") for name, (_, merge, _) in aggregates.items()],
+    )
+    # A stretch without panes has no partial result at all; a pane may well have none of one aggregate.
+    live = stretches.select(
+        *keys,
+        # Windows begin at multiples of the step.
+        (F.col("_from") + F.pmod(-F.col("_from"), F.lit(step))).alias("_from"),
+        (F.coalesce("_next", "_end") - 1).alias("_to"),
+        *[both(F.col(f"_own_{name}"), F.col(f"_new_{name}")).alias(name) for name, (_, _, both) in aggregates.items()],
+    )
+    some = reduce(or_, [F.col(name).isNotNull() if merge is not F.sum else F.col(name) > 0 for name, (_, merge, _) in aggregates.items()])
+    windows = live.where(some & (F.col("_from") <= F.col("_to")))
+    windows = windows.withColumn("_w", F.explode(F.sequence(F.col("_from"), F.col("_to"), F.lit(step).cast("bigint"))))
+    return windows.select(
+        *keys, at(F.col("_w") * unit).alias("window_start"), at(F.col("_w") * unit + size_us).alias("window_end"), *aggregates
     )
 
 
@@ -84,9 +123,7 @@ def event_frequency(
     hits = df.withColumn("event_type", F.lower("event_type")).where(
         F.col("event_type") == event_type.lower()
     )
-    counted = hop_aggregate(
-        hits, ["event_type", *partition_by], size, slide, {"n": count_rows()}, dense=not partition_by
-    )
+    counted = hop_aggregate(hits, ["event_type", *partition_by], size, slide, {"n": count_rows()})
     return counted.where(F.col("n") >= n)
 
 
@@ -132,7 +169,6 @@ def followed_within(
             "then": largest(F.when(kind == then.lower(), place)),
         },
         ts=ts,
-        dense=not partition_by,
     )
     return found.where(F.col("first") < F.col("then")).select(
         *partition_by,

@@ -65,6 +65,18 @@ def overlap_join_ab(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def overlap_join_tiled(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with buckets cut into tiles of few pairs."""
+    return joins.overlap_join(*_sides(spark, folder), "1 hour", "10 minutes", budget=Budget(pairs=20)).select(
+        "left_event_id", "right_event_id", "left_ts", "right_ts", "valid_from", "valid_to"
+    )
+
+
+def freq_in_hop_uneven(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 100 minutes every 45 minutes, per user: the size is no multiple of the slide."""
+    return windows.event_frequency(events(spark, folder), A, 2, "100 minutes", "45 minutes", partition_by=("user_id",))
+
+
 def overlap_join_ordered(spark: SparkSession, folder: str) -> DataFrame:
     pairs = joins.overlap_join(
         *_sides(spark, folder), "1 day", "1 hour", on=("user_id",), ordered=True
@@ -203,6 +215,13 @@ QUERIES = {
            FROM h a JOIN h b ON a.s < b.s + INTERVAL 1 HOUR AND b.s < a.s + INTERVAL 1 HOUR
            WHERE a.event_type = 'view' AND b.event_type = 'click'""",
     ),
+    "freq_in_hop_uneven": Query(
+        freq_in_hop_uneven,
+        """SELECT event_type, user_id, ws AS window_start, ws + INTERVAL 100 MINUTE AS window_end, count(*) AS n
+           FROM (SELECT e.*, time_bucket(INTERVAL '45 minutes', ts, TIMESTAMP '1970-01-01') - i * INTERVAL 45 MINUTE AS ws
+                 FROM events e, (SELECT unnest([0, 1, 2]) AS i))
+           WHERE event_type = 'view' AND ts < ws + INTERVAL 100 MINUTE GROUP BY ALL HAVING count(*) >= 2""",
+    ),
     "overlap_join_ordered": Query(
         overlap_join_ordered,
         """WITH h AS (SELECT *, date_trunc('hour', ts) AS s FROM events)
@@ -260,3 +279,4 @@ QUERIES = {
     "order_check": Query(order_check, "SELECT event_id, ts FROM events"),
     "late_flags": Query(late_flags, f"SELECT event_id, late FROM ({_LATE})"),
 }
+QUERIES["overlap_join_tiled"] = Query(overlap_join_tiled, QUERIES["overlap_join_ab"].sql)

@@ -297,3 +297,68 @@ def test_hop_aggregate_of_any_size(spark):
             if w * 5_000_000 <= us < w * 5_000_000 + 7_000_000:
                 want[w] = want.get(w, 0) + 1
     assert {micros(r["window_start"]) // 5_000_000: r["n"] for r in got} == want
+
+
+@pytest.mark.parametrize(("size", "slide"), [(10, 2), (7, 3), (2, 5), (6, 6), (9, 4)])
+@pytest.mark.parametrize("by_user", [False, True])
+def test_windows_of_any_size(spark, size, slide, by_user):
+    """Counts, smallest and largest over windows, also where the size is no multiple of the slide."""
+    rows = [(*r[:3], r[3]) for r in random_events(31, n=120, span=300)]
+    keys = ["user_id"] if by_user else []
+    wanted = {
+        "n": windows.count_rows(),
+        "low": windows.smallest(F.when(F.col("event_type") == "a", F.col("event_id"))),
+        "high": windows.largest(F.struct("event_type", "event_id")),
+    }
+    got = windows.hop_aggregate(frame(spark, rows), keys, f"{size} seconds", f"{slide} seconds", wanted).collect()
+    want = {}
+    for event_id, ts, user, kind in rows:
+        second = micros(ts) // 1_000_000
+        first = (second - size) // slide * slide
+        for w in range(first, second + 1, slide):
+            if w <= second and micros(ts) < (w + size) * 1_000_000 and w * 1_000_000 <= micros(ts):
+                want.setdefault((user if by_user else None, w), []).append((event_id, kind))
+    assert len(got) == len(want)
+    for r in got:
+        own = want[r["user_id"] if by_user else None, micros(r["window_start"]) // 1_000_000]
+        assert micros(r["window_end"]) - micros(r["window_start"]) == size * 1_000_000
+        assert r["n"] == len(own) and tuple(r["high"]) == max((k, i) for i, k in own)
+        assert r["low"] == min((i for i, k in own if k == "a"), default=None)
+
+
+def test_long_windows_with_a_short_slide_copy_nothing(spark):
+    """A day by a second: what is moved follows the events, not the 86,400 windows over each."""
+    rows = random_events(32, n=60, span=400)
+    busy = windows.event_frequency(frame(spark, rows), "a", 12, "1 day", "1 second")
+    made = busy.where("n >= 1000000")  # no window is listed
+    assert made.count() == 0
+    explained = busy._jdf.queryExecution().optimizedPlan().toString()
+    above = explained.index("explode") if "explode" in explained else explained.index("Generate")
+    assert "Filter" in explained[above:]  # the count is tested below the list of windows
+    assert sum(r[3] == "a" for r in rows) >= 12 and busy.count() > 80_000
+
+
+def near_product(rng, left, right, hot_left, hot_right):
+    a = [(i, 0 if rng.random() < hot_left else rng.randrange(1, 40)) for i in range(left)]
+    b = [(i, 0 if rng.random() < hot_right else rng.randrange(1, 40)) for i in range(right)]
+    return a, b
+
+
+@pytest.mark.parametrize(("hot_left", "hot_right"), [(0.6, 0.02), (0.02, 0.6), (0.5, 0.5), (0.0, 0.0)])
+def test_tiles(spark, hot_left, hot_right):
+    """A key hot on the looking side only, on the resting side only, or on both."""
+    a, b = near_product(random.Random(7), 900, 700, hot_left, hot_right)
+    left = spark.createDataFrame([*a, (-1, None)], "id long, k long")
+    right = spark.createDataFrame([*b, (-1, None)], "other long, k long")
+    budget = Budget(pairs=600)
+    got = skew.tiled_join(left, right, ["k"], ["id"], ["other"], budget)
+    assert got.columns == ["k", "id", "other"]
+    want = sorted((k, i, j) for i, k in a for j, q in b if q == k)
+    assert sorted(map(tuple, got.collect())) == want
+    cut, across = skew.tiles(left, right, ["k"], ["id"], ["other"], budget)
+    on = ["k", "_row", "_col"]
+    sizes = cut.groupBy(on).agg(F.count("*").alias("l")).join(across.groupBy(on).agg(F.count("*").alias("r")), on)
+    pairs = sorted(r["l"] * r["r"] for r in sizes.collect())
+    assert pairs[-1] <= 4 * max(pairs[len(pairs) // 2], 600)
+    # Each side is copied along its own axis only: far fewer rows than pairs.
+    assert cut.count() + across.count() < len(want) / 4 + len(a) + len(b) + 2
