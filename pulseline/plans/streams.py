@@ -18,7 +18,7 @@ from pulseline.plans.registry import A, B, C, D, Query
 from pulseline.session import shared_root, work_dir
 from pulseline.sources import slices
 from pulseline.sources.tables import events, events_stream, load, with_location
-from pulseline.streaming import automata, facts, keyed, sinks, stepwise, windowed
+from pulseline.streaming import automata, changelog, facts, keyed, sinks, stepwise, windowed
 from pulseline.streaming.replay import disorder, replay, run_to_end
 
 # Files per micro-batch of the streams of files; None takes all at once. The rows do not depend on it.
@@ -234,8 +234,8 @@ def kept_positions(spark: SparkSession, folder: str) -> DataFrame:
     located = with_location(source(spark, folder))
     newest = F.max_by(F.struct("ts", "lat", "lon"), F.struct("ts", "event_id")).alias("newest")
     state = located.groupBy("user_id").agg(newest).select("user_id", "newest.*")
-    run_to_end(sinks.updates(state, f"{run}/out", f"{run}/checkpoint"))
-    return sinks.newest_updates(spark, f"{run}/out", ["user_id"])
+    run_to_end(sinks.kept_table(state, f"{run}/out", f"{run}/checkpoint", ["user_id"]))
+    return changelog.current(spark, f"{run}/out", ["user_id"])
 
 
 def stream_latest_location(spark: SparkSession, folder: str) -> DataFrame:
@@ -252,8 +252,8 @@ def stream_seq_last_seen(spark: SparkSession, folder: str) -> DataFrame:
     """Devices whose types were last seen in pattern order, from a table of last times that a stream keeps."""
     run = work_dir(spark, "last_seen")
     state = last_seen(source(spark, folder), basics.ALL_TYPES)
-    run_to_end(sinks.updates(state, f"{run}/out", f"{run}/checkpoint"))
-    kept = sinks.newest_updates(spark, f"{run}/out", ["user_id"])
+    run_to_end(sinks.kept_table(state, f"{run}/out", f"{run}/checkpoint", ["user_id"]))
+    kept = changelog.current(spark, f"{run}/out", ["user_id"])
     return in_pattern_order(kept, patterns.PATTERNS)
 
 

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from pulseline.streaming import changelog
+from pulseline.streaming.stepwise import remove
+
 
 def event_table(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Append events to one table, laid out by type and day so that rules read only their series."""
@@ -70,7 +73,7 @@ def fan_out(
 
 
 def updates(state: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Write every change of an aggregate's rows, in update mode."""
+    """Write every change of an aggregate's rows, in update mode: a history. ``kept_table`` keeps the newest only."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -86,6 +89,15 @@ def newest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     return changes.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
 
+def kept_table(state: DataFrame, path: str, checkpoint: str, keys: list[str], fanout: int = 8) -> DataStreamWriter:
+    """Keep a table of an aggregate's current rows, in update mode: changes go to a log that is merged while it grows."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        changelog.add(batch, path, number, keys, fanout)
+
+    return callback(state, write, checkpoint, mode="update")
+
+
 def report(
     stream: DataFrame,
     table: str,
@@ -93,13 +105,20 @@ def report(
     make: Callable[[DataFrame], DataFrame],
     checkpoint: str,
     every: str = "1 second",
+    keep: int | None = None,
 ) -> DataStreamWriter:
-    """Store events and renew a report over the whole event table after each trigger."""
+    """Store events and renew a report over the whole event table after each trigger.
+
+    Of the reports the last ``keep`` stay, or all. For questions about devices, ``streaming.facts`` answers from
+    state, without reading the table again.
+    """
 
     def renew(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
         spark = batch.sparkSession
         make(spark.read.parquet(table).drop("batch")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if keep and number >= keep:
+            remove(spark, f"{path}/batch={number - keep}")
 
     return callback(stream, renew, checkpoint).trigger(processingTime=every)
 

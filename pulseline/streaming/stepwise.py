@@ -17,7 +17,8 @@ from pyspark.sql.streaming import DataStreamWriter
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, ...]]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -43,7 +44,7 @@ def stepwise(stream: DataFrame, step: Step, carry: str, path: str, checkpoint: s
             for table in held:
                 table.unpersist()
         if number > 1:
-            _remove(spark, f"{path}/carry/{number - 2}")
+            remove(spark, f"{path}/carry/{number - 2}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
