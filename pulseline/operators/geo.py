@@ -255,8 +255,8 @@ def axis_pair_join(
     lats = lats.withColumn("_bucket", F.explode(F.sequence(F.col("_bucket") - 1, F.col("_bucket") + 1)))
     lons = axis("lon", lon_limit).withColumnsRenamed({"valid_from": "_f2", "valid_to": "_t2"})
     lons = lons.withColumn("_bucket", bin_of(F.col("_f2"), size_us))
-    key = ["left_id", "right_id", "_bucket"]
-    joined = tiled_join(lats, lons, key, ["_f1", "lat_diff"], ["_f2", "lon_diff"], budget).where(
+    # Both sides are pairs already; counting them first would find them twice.
+    joined = lats.join(lons, ["left_id", "right_id", "_bucket"]).where(
         (F.col("_f1") < F.col("_t2")) & (F.col("_f2") < F.col("_t1"))
     )
     return joined.select(

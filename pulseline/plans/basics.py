@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseline.functions import temporal, text
+from pulseline.functions import avro, temporal, text
 from pulseline.functions.geo import metres_of
 from pulseline.operators import alerts, evaluation, filters
 from pulseline.plans.registry import LETTERS, A, B, C, D, E, Query
@@ -137,7 +137,7 @@ def json_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def avro_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events in the nested layout an Avro feed decodes to, flattened to typed columns."""
+    """Events written as an Avro feed brings them, byte by byte, and read back as typed columns."""
     df = with_location(events(spark, folder))
     k = F.get_json_object("props", "$.k").cast("int")
     nested = df.select(
@@ -150,7 +150,8 @@ def avro_events(spark: SparkSession, folder: str) -> DataFrame:
             k.alias("Accuracy"),
         ).alias("EventData"),
     )
-    return feeds.typed_avro(nested).select(
+    records = nested.select(avro.encoded(F.struct("*"), feeds.AVRO_EVENT_SCHEMA).alias("value"))
+    return feeds.decode_avro(records).select(
         "device_id",
         "ts",
         "event_type",

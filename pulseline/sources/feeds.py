@@ -1,6 +1,6 @@
 """Message feeds: text and Avro topics, and JSON lines.
 
-The topic readers need Spark's Kafka and Avro modules on the class path. Each decoder is a
+The topic readers need Spark's Kafka module on the class path. Each decoder is a
 separate function over a DataFrame, so it can be used on any source.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseline.functions import avro
 from pulseline.functions.text import parse_location
 from pulseline.schemas import JSON_EVENT
 
@@ -23,9 +24,6 @@ AVRO_EVENT_SCHEMA = """
     {"name": "Accuracy", "type": "int"}]}}]}
 """
 
-# Schema-registry framing: one magic byte and a four-byte schema id precede the record.
-REGISTRY_HEADER_BYTES = 5
-
 
 def topic_stream(
     spark: SparkSession, servers: str, topic: str = "all-event-data", start: str = "earliest"
@@ -50,11 +48,12 @@ def decode_text(records: DataFrame) -> DataFrame:
 
 
 def decode_avro(records: DataFrame, schema: str = AVRO_EVENT_SCHEMA) -> DataFrame:
-    """Registry-framed Avro values to typed events."""
-    from pyspark.sql.avro.functions import from_avro
+    """Registry-framed Avro values to typed events; a malformed value becomes an event of NULLs.
 
-    body = F.expr(f"substring(value, {REGISTRY_HEADER_BYTES + 1})")
-    return typed_avro(records.select(from_avro(body, schema).alias("e")).select("e.*"))
+    The bytes are read in column expressions (``functions.avro``), so Spark's Avro module is not needed.
+    """
+    parts = records.select(avro.cut(F.col("value"), schema).alias("parts"))
+    return typed_avro(parts.select(avro.record(F.col("parts"), schema).alias("e")).select("e.*"))
 
 
 def typed_avro(decoded: DataFrame) -> DataFrame:
