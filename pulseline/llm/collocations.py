@@ -35,8 +35,6 @@ PLAIN = bytes(
     c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256)
 )
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-# Ends a piece: a capital letter, which no word has any more.
-END = b"A"
 # A row holds the stripes of one stretch of text that go to the same bucket of the shuffle; the words of a
 # stripe are one string, in which spaces part them.
 STRIPES = "lang string, bucket int, stripes array<struct<prefix:string,part:int,words:string,counts:array<int>>>"
@@ -76,20 +74,58 @@ def pieces(texts: list[bytes]) -> Iterator[bytes]:
     yield data[at:]
 
 
+def _eight(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place on, as one number; what is beyond ``size`` bytes is zero."""
+    every = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    held = np.clip(size, 0, 8)
+    mask = np.where(held == 8, np.uint64(0), np.uint64(1) << (8 * np.minimum(held, 7)).astype(np.uint64)) - np.uint64(1)
+    return every[np.minimum(at, len(every) - 1)] & mask
+
+
+def coded(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    """The words of pieces between newlines as numbers, with -1 between pieces, and what each number stands for.
+
+    Words of up to 16 bytes are told apart as two numbers of eight bytes, longer ones by a dictionary.
+    """
+    raw = np.frombuffer(data + b" " * 16, dtype=np.uint8)
+    gap = (raw == 32) | (raw == 10)
+    turns = np.diff(np.r_[True, gap].astype(np.int8))
+    starts, ends = np.flatnonzero(turns == -1), np.flatnonzero(turns == 1)
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64), []
+    lines = np.flatnonzero(raw == 10)
+    breaks = np.searchsorted(lines, starts[1:]) > np.searchsorted(lines, ends[:-1])
+    size = ends - starts
+    low, high = _eight(raw, starts, size), _eight(raw, starts + 8, size - 8)
+    # A word has no zero padding that is its own: its length is part of what tells it.
+    name = run_hash(run_hash(run_hash(np.zeros_like(low), low), high), size.astype(np.uint64))
+    number = np.zeros(len(starts), dtype=np.int64)
+    short = np.flatnonzero(size <= 16)
+    _, first, number[short] = np.unique(name[short], return_index=True, return_inverse=True)
+    pick = short[first]
+    if any((x[pick][number[short]] != x[short]).any() for x in (low, high, size)):
+        short, pick = short[:0], pick[:0]  # two words have one hash: the dictionary tells all of them apart
+    vocab = [data[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist())]
+    known: dict[bytes, int] = {}
+    rest = np.ones(len(starts), dtype=bool)
+    rest[short] = False
+    for i in np.flatnonzero(rest).tolist():
+        number[i] = known.setdefault(data[starts[i] : ends[i]], len(vocab) + len(known))
+    code = np.full(len(number) + int(breaks.sum()), -1, dtype=np.int64)
+    code[np.arange(len(number)) + np.r_[0, np.cumsum(breaks)]] = number
+    return code, [*vocab, *known]
+
+
 def stripes_of(
     lang: str, data: bytes, length: int, bits: np.ndarray | None, wide: np.ndarray, buckets: int
 ) -> pa.RecordBatch | None:
     """The stripes of the prefixes of ``length - 1`` words in a stretch of text, as rows of ``STRIPES``."""
-    words = data.replace(b"\n", b" " + END + b" ").split()
-    vocab = list(set(words) - {END})
+    code, vocab = coded(data)
     if not vocab:
         return None
-    number = {w: i for i, w in enumerate(vocab)} | {END: -1}
+    n, size = len(code), len(vocab)
     # A piece ends where the text does, so a phrase never runs over the end.
-    code = np.full(len(words) + length, -1, dtype=np.int64)
-    code[: len(words)] = np.fromiter(map(number.__getitem__, words), dtype=np.int64, count=len(words))
-    n, size = len(words), len(vocab)
-    del words, number  # the largest objects here
+    code = np.r_[code, np.full(length, -1)]
     own = np.array([hash_of(w) for w in vocab], dtype=np.uint64)
     follows = code[length - 1 : n + length - 1]
     if bits is None:

@@ -197,6 +197,26 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
     assert b"\n".join(cut) == text.replace(b".", b"\n").replace(b",", b"\n") and len(cut) > 1
 
 
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_words_of_a_stretch(monkeypatch, one_hash):
+    """Numbers stand for the words in order, breaks for pieces; also where all words have one hash."""
+    if one_hash:
+        monkeypatch.setattr(collocations, "run_hash", lambda before, word: before * 0)
+    rng = random.Random(8)
+    words = ["a", "b", "ab", "ba", "a\0", "\0a", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "y" * 40, "é", "x" * 15 + "y"]
+    for trial in range(30):
+        pieces = [[rng.choice(words).encode() for _ in range(rng.randrange(5))] for _ in range(rng.randrange(6))]
+        data = b"\n".join(b" ".join(p) + b" " * rng.randrange(3) for p in pieces)
+        code, vocab = collocations.coded(data)
+        back = [[]]
+        for k in code.tolist():
+            if k < 0:
+                back.append([])
+            else:
+                back[-1].append(vocab[k])
+        assert [p for p in back if p] == [p for p in pieces if p] and len(set(vocab)) == len(vocab)
+
+
 def test_score_beyond_64_bits(spark):
     big = 1 << 62
     row = spark.createDataFrame([(big, big, big + 1)], "a long, l long, r long")
