@@ -320,7 +320,7 @@ class Reader(DataSourceReader):
         self.allowed: dict[str, set | None] = {}
 
     def pushFilters(self, filters: list[Filter]):
-        """Equality, IN and IS NOT NULL on the columns that are headers, and on ``headers.<name>``."""
+        """Equality, IN and IS NOT NULL on the columns that are headers, but for the digest, whose header has a prefix."""
         for f in filters:
             path = getattr(f, "attribute", ())
             header = HEADER_OF.get(path[0]) if len(path) == 1 else None
