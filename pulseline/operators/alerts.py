@@ -7,9 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The output topics of the use cases.
-TOPICS = ("temporal-events", "evaluation-events", "sequence-events", "geo-events")
-
 
 def as_alert(
     df: DataFrame,

@@ -200,10 +200,13 @@ def with_previous(
     The same as ``lag`` over (partition by keys order by ts, tie), but no task ever sorts a hot
     key as a whole. Inside a time slice an ordinary ``lag`` is right for all but the first k
     rows. Those are resolved over the seams: the first and last k rows of every slice, in which
-    each first row finds its true predecessors.
+    each first row finds its true predecessors. Keys are counted first; without a hot one, slices
+    would cut nothing, and the plan is the ``lag`` alone.
     """
     keys = list(keys or [])
     slices = ["_s0", "_s1", "_s2"]
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
+    any_hot = counted.where(F.col("_n") > budget.rows).limit(1).count() > 0
 
     def lags(window) -> dict[str, Column]:
         # Field by field, not as one struct: nothing is copied into the shuffle, and both branches
@@ -226,6 +229,8 @@ def with_previous(
         )
 
     helpers = {"_hot", "_rank", "_slice_rank", "_last", *slices}
+    if not any_hot:
+        return previous(df.withColumns(lags(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(ts, tie))))
     # _hot is part of the key only so that the seam branch can filter on it before its shuffle:
     # without hot keys that branch reads and moves nothing.
     in_slice = Window.partitionBy(*keys, "_hot", *slices).orderBy(ts, tie)

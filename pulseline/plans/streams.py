@@ -38,7 +38,7 @@ def sliced(spark: SparkSession, folder: str, rows: int | None = None) -> DataFra
 
 def in_slices(spark: SparkSession, folder: str) -> bool:
     """Whether the event files and the work folder open outside Spark, as the slices need it."""
-    return slices.readable(f"{folder.rstrip('/')}/events.parquet") and slices.readable(shared_root(spark))
+    return slices.readable(f"{folder.rstrip('/')}/events.parquet") and slices.readable(shared_root(spark), there=False)
 
 
 def replayed(spark: SparkSession, folder: str, build, name: str, **options) -> DataFrame:

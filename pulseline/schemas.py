@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-PLAIN_EVENT = "key STRING, value STRING, ts TIMESTAMP"
-DEVICE_EVENT = "device_id STRING, event_type STRING, value INT, ts TIMESTAMP"
-DEVICE_LOCATION = "device_id STRING, lat DOUBLE, lon DOUBLE, ts TIMESTAMP"
-SENSOR = "time INT, value INT"
-
 # One JSON object per event; the location is text, "<lat> <lon> <accuracy>".
 JSON_EVENT = (
     "DeviceID INT, Timestamp TIMESTAMP, EventID SMALLINT, EventData STRING, IsTemporal BOOLEAN"
 )
 
-# Avro event as it looks once decoded: nested location, time in epoch seconds.
-AVRO_EVENT = (
-    "DeviceID INT, Timestamp BIGINT, EventID INT, "
-    "EventData STRUCT<Latitude: FLOAT, Longitude: FLOAT, Accuracy: INT>"
-)
-
 CONFIG = (
     "device_ids ARRAY<STRING>, event_types ARRAY<STRING>, "
     "geofence STRUCT<latitude: STRING, longitude: STRING, radius: STRING>, "
@@ -26,9 +15,3 @@ CONFIG = (
     "sequence ARRAY<STRING>, "
     "evaluation ARRAY<STRUCT<event: STRING, sign: STRING, count: INT, threshold: INT>>"
 )
-
-# Every alert, whichever rule raised it.
-ALERT = (
-    "topic STRING, rule STRING, subject STRING, valid_from TIMESTAMP, valid_to TIMESTAMP, "
-    "measure DOUBLE"
-)

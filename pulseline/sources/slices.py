@@ -46,11 +46,11 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or ":/" in uri else f"file://{uri}")
 
 
-def readable(uri: str) -> bool:
-    """Whether the store of a path opens without Spark, as a Python data source needs it."""
+def readable(uri: str, there: bool = True) -> bool:
+    """Whether the store of a path opens without Spark, as a Python data source needs it, and (if asked) has the path."""
     try:
         store, path = opened(uri)
-        return store.get_file_info(path).type != pafs.FileType.NotFound
+        return not there or store.get_file_info(path).type != pafs.FileType.NotFound
     except (pa.ArrowException, OSError, ValueError):
         return False
 
