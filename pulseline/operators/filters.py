@@ -64,9 +64,12 @@ def latest(df: DataFrame, keys: list[str], fields: list[str], ts: str = "ts", ti
 
 
 def retained(df: DataFrame, keep: str, as_of: Column | None = None, ts: str = "ts") -> DataFrame:
-    """Events not older than ``keep``, counted back from ``as_of`` (by default the newest event)."""
+    """Events not older than ``keep``, counted back from ``as_of`` (by default the newest event, which is looked up first).
+
+    The bound is a constant then, so row groups of older events are not read.
+    """
     if as_of is None:
-        as_of = df.select(F.max(ts)).scalar()
+        as_of = F.timestamp_micros(F.lit(df.agg(F.unix_micros(F.max(ts))).first()[0]).cast("bigint"))
     return df.where(F.col(ts) >= as_of - interval(keep))
 
 

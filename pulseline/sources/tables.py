@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulseline.session import configure
 
@@ -13,8 +14,16 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    """The event table with ``ts`` as a point in time (UTC)."""
-    df = load(spark, folder, "events")
+    """The event table with ``ts`` as a point in time (UTC).
+
+    Stored times without a zone are read as points in time, not cast, so that conditions on them reach the files.
+    """
+    stored = load(spark, folder, "events").schema
+    timed = [
+        T.StructField(f.name, T.TimestampType(), f.nullable) if f.name == "ts" and isinstance(f.dataType, T.TimestampNTZType) else f
+        for f in stored.fields
+    ]
+    df = spark.read.schema(T.StructType(timed)).parquet(f"{folder}/events.parquet")
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -67,3 +67,8 @@ def test_rows_are_not_copied_into_windows(spark, folder, name):
     first_exchange = next(i for i, line in enumerate(bottom_up) if "Exchange" in line)
     below = "\n".join(bottom_up[:first_exchange])
     assert "Aggregate" in below and "Generate" not in below and "Expand" not in below
+
+
+def test_retention_reaches_the_scan(spark, folder):
+    """Row groups before the bound are not read."""
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,2024", plan(spark, folder, "retained_events"))
