@@ -27,7 +27,7 @@ from pulseline.llm.common import saved, shipped
 from pulseline.operators.skew import Budget, salted_join
 
 # Bytes of text counted at once; bits of the filter (a power of two), 4 MB whatever the input.
-CHUNK, FILTER_BITS = 12 << 20, 1 << 25
+CHUNK, FILTER_BITS = 8 << 20, 1 << 25
 # A prefix with one in WIDE of all words (so at most WIDE prefixes of a length) has its stripe cut into PARTS.
 WIDE, PARTS = 1_000, 64
 # A-Z to a-z; the marks that end a piece to a newline, a tab to a space.
@@ -214,7 +214,8 @@ def stripes(docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarra
     in stretches; a task's stripes are merged by Spark's aggregation, which spills.
     """
     wide = np.zeros(0, dtype=np.uint64) if wide is None else wide
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * parts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -240,7 +241,8 @@ def stripes(docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarra
             yield from passed(lang)
 
     # Dealt by bucket, stripes are merged where they are: a stripe, or a part of a wide one, has one bucket.
-    dealt = docs.mapInArrow(count, STRIPES).repartition("bucket")
+    # Packed as they are, they need more memory than their size in the shuffle tells, so tasks are not joined by it.
+    dealt = docs.mapInArrow(count, STRIPES).repartition(parts, "bucket")
     key = ["lang", "bucket", "prefix", "part"]
 
     def listed(s: Column) -> Column:
