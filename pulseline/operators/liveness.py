@@ -111,7 +111,15 @@ def flag_late(
     maxima, one row per range, pass through one task.
     """
     known = F.col(arrival).isNotNull()
+    rest = df.where(~known).withColumn("late", F.lit(False))
     ranged = in_ranges(df.where(known), arrival, tie, budget)
+
+    def late(high: Column) -> Column:
+        return F.coalesce(F.col(ts) < high, F.lit(False))
+
+    if ranged is None:
+        along = Window.partitionBy(F.lit(0)).orderBy(arrival, tie).rowsBetween(Window.unboundedPreceding, -1)
+        return df.where(known).withColumn("late", late(F.max(ts).over(along))).unionByName(rest)
     before = Window.orderBy(*RANGE).rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
         ranged.groupBy(*RANGE).agg(F.max(ts).alias("_top")).select(*RANGE, F.max("_top").over(before).alias("_earlier"))
@@ -120,10 +128,10 @@ def flag_late(
     high = F.greatest("_earlier", F.max(ts).over(inside))
     flagged = (
         ranged.join(earlier, RANGE)
-        .withColumn("late", F.coalesce(F.col(ts) < high, F.lit(False)))
+        .withColumn("late", late(high))
         .drop(*RANGE, "_earlier")
     )
-    return flagged.unionByName(df.where(~known).withColumn("late", F.lit(False)))
+    return flagged.unionByName(rest)
 
 
 def drop_late(df: DataFrame, arrival: str, **options) -> DataFrame:

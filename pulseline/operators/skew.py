@@ -108,17 +108,18 @@ def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 RANGE, BINS = ["_r0", "_r1", "_r2"], 1 << 16
 
 
-def in_ranges(df: DataFrame, by: str, tie: str, budget: Budget = DEFAULT) -> DataFrame:
+def in_ranges(df: DataFrame, by: str, tie: str, budget: Budget = DEFAULT) -> DataFrame | None:
     """Add ``RANGE``: numbers of ranges that follow each other in the order of ``by`` and ``tie`` (numbers).
 
+    None if all rows are within the budget of one range.
+
     Ranges come from the measured distribution. Bins of equal width are counted; neighbours with few rows share a range, and a
     bin over the budget is cut into as many parts as it has budgets of rows. What is over the budget even then is cut once
     more, by ``tie`` if it is a single value. Places are floating point, which keeps the order.
     """
     low, high, n = df.agg(F.min(by).cast("double"), F.max(by).cast("double"), F.count(F.lit(1))).first()
     if n <= budget.rows:
-        # One range; what follows would find the same.
-        return df.withColumns({c: F.lit(0).cast("bigint") for c in RANGE})
+        return None
     low, width = low or 0.0, max(((high or 0.0) - (low or 0.0)) / BINS, 1.0)
     rows = df.withColumn("_at", (F.col(by).cast("double") - F.lit(low)) / F.lit(width)).withColumn("_bin", F.floor("_at"))
     parts = F.when(F.col("_n") > budget.rows, F.ceil(F.col("_n") / F.lit(budget.rows)))
