@@ -269,11 +269,10 @@ def test_transitions(spark, budget):
     assert sorted((r["event_id"], r["transition"]) for r in got) == sorted(want)
 
 
-@pytest.mark.parametrize("dense", [True, False])
-def test_hop_aggregate(spark, dense):
+def test_hop_aggregate(spark):
     rows = random_events(12)
     got = windows.hop_aggregate(
-        frame(spark, rows), ["event_type"], "15 seconds", "5 seconds", {"n": windows.count_rows()}, dense=dense
+        frame(spark, rows), ["event_type"], "15 seconds", "5 seconds", {"n": windows.count_rows()}
     ).collect()
     want = {}
     for r in rows:
