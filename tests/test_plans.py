@@ -72,3 +72,11 @@ def test_rows_are_not_copied_into_windows(spark, folder, name):
 def test_retention_reaches_the_scan(spark, folder):
     """Row groups before the bound are not read."""
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts,2024", plan(spark, folder, "retained_events"))
+
+
+@pytest.mark.parametrize("name", ["overlap_join_tiled", "overlap_join_ab", "proximity_box", "radius_pairs", "proximity_named"])
+def test_copied_rows_are_not_broadcast(spark, folder, name):
+    """Spark reckons a side by its files, not by its copies in cells or tiles: it must not go through the driver."""
+    text = plan(spark, folder, name)
+    joins = [line for line in text[: text.index("\n\n")].splitlines() if "Join" in line]
+    assert "SortMergeJoin" in joins[0]

@@ -361,3 +361,17 @@ def test_tiles(spark, hot_left, hot_right):
     assert pairs[-1] <= 4 * max(pairs[len(pairs) // 2], 600)
     # Each side is copied along its own axis only: far fewer rows than pairs.
     assert cut.count() + across.count() < len(want) / 4 + len(a) + len(b) + 2
+
+
+def test_tiles_of_all_keys_are_bounded(spark, monkeypatch):
+    """A budget far too small for all pairs does not copy rows more and more often."""
+    monkeypatch.setattr(skew, "TILES", 40)
+    left = spark.range(600).selectExpr("id", "id % 2 AS k")
+    right = spark.range(400).selectExpr("id AS other", "id % 2 AS k")
+    cut = []
+    tiles = skew.tiles
+    monkeypatch.setattr(skew, "tiles", lambda *args: cut.extend(tiles(*args)) or tuple(cut))
+    got = skew.tiled_join(left, right, ["k"], ["id"], ["other"], Budget(pairs=1))
+    assert got.count() == 2 * 300 * 200
+    assert got.distinct().count() == 2 * 300 * 200
+    assert cut[0].count() + cut[1].count() < 20 * 1_000
