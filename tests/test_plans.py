@@ -80,3 +80,8 @@ def test_copied_rows_are_not_broadcast(spark, folder, name):
     text = plan(spark, folder, name)
     joins = [line for line in text[: text.index("\n\n")].splitlines() if "Join" in line]
     assert "SortMergeJoin" in joins[0]
+
+
+def test_axis_pairs_are_not_joined_with_pairs(spark, folder):
+    """Pairs close on one axis alone are never made: rows become pairs once, at the end."""
+    assert plan(spark, folder, "axis_pair_join").count("inline(") == 1

@@ -1,5 +1,6 @@
 """Operators against plain definitions on random input, with hot keys and small task budgets."""
 
+import itertools
 import math
 import random
 from datetime import datetime, timedelta
@@ -375,3 +376,19 @@ def test_tiles_of_all_keys_are_bounded(spark, monkeypatch):
     assert got.count() == 2 * 300 * 200
     assert got.distinct().count() == 2 * 300 * 200
     assert cut[0].count() + cut[1].count() < 20 * 1_000
+
+
+def test_axis_pairs_of_devices_with_many_live_positions(spark):
+    """Each latitude pair of two devices meets each of their longitude pairs, if all four events are alive together."""
+    rnd = random.Random(11)
+    rows = [(i, i % 3, rnd.randrange(0, 120), rnd.randrange(0, 4) / 4, rnd.randrange(0, 4) / 4) for i in range(28)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long, lat double, lon double").withColumn("ts", F.timestamp_seconds("s"))
+    got = geo.axis_pair_join(df, 0.25, 0.5, "60 seconds", "10 seconds")
+    got = got.withColumns({c: F.unix_seconds(c) for c in ("valid_from", "valid_to")}).collect()
+    want = []
+    for a1, a2, b1, b2 in itertools.product(rows, repeat=4):
+        if a1[1] == a2[1] != b1[1] == b2[1] and abs(a1[3] - b1[3]) <= 0.25 and abs(a2[4] - b2[4]) <= 0.5:
+            hops = [e[2] // 10 for e in (a1, a2, b1, b2)]
+            if max(hops) - min(hops) < 6:
+                want.append((a1[1], b1[1], abs(a1[3] - b1[3]), abs(a2[4] - b2[4]), max(hops) * 10, min(hops) * 10 + 60))
+    assert sorted(map(tuple, got)) == sorted(want)
