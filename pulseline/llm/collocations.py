@@ -27,7 +27,7 @@ from pulseline.llm.common import saved, shipped
 from pulseline.operators.skew import Budget, salted_join
 
 # Bytes of text counted at once; bits of the filter (a power of two), 4 MB whatever the input.
-CHUNK, FILTER_BITS = 8 << 20, 1 << 25
+CHUNK, FILTER_BITS = 4 << 20, 1 << 25
 # A prefix with one in WIDE of all words (so at most WIDE prefixes of a length) has its stripe cut into PARTS.
 WIDE, PARTS = 1_000, 64
 # A-Z to a-z; the marks that end a piece to a newline, a tab to a space.

@@ -268,3 +268,13 @@ def test_a_table_of_other_thresholds(spark):
 def test_rules_use_no_user_functions(spark):
     plan = quality_rules.quality_rules(table_of(spark, CASES))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_collocation_stretches_are_short():
+    """What a task counts at once is bounded by 4 MB of text, wherever its texts end, and no word is lost."""
+    from pulseline.llm import collocations
+
+    texts = [b"some words of a text\n" * 50_000] * 9
+    parts = list(collocations.pieces(texts))
+    assert max(map(len, parts)) <= 4 << 20
+    assert b"\n".join(parts) == b"\n".join(texts)
