@@ -272,8 +272,6 @@ def test_rules_use_no_user_functions(spark):
 
 def test_collocation_stretches_are_short():
     """What a task counts at once is bounded by 4 MB of text, wherever its texts end, and no word is lost."""
-    from pulseline.llm import collocations
-
     texts = [b"some words of a text\n" * 50_000] * 9
     parts = list(collocations.pieces(texts))
     assert max(map(len, parts)) <= 4 << 20
