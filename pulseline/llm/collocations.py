@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulseline.llm.common import saved, shipped
@@ -74,6 +74,12 @@ def pieces(texts: list[bytes]) -> Iterator[bytes]:
     yield data[at:]
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each key, by when they first come up, and where that is."""
+    number, _ = pd.factorize(keys)
+    return number, np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
+
+
 def _eight(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Up to eight bytes from each place on, as one number; what is beyond ``size`` bytes is zero."""
     every = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
@@ -93,15 +99,17 @@ def coded(data: bytes) -> tuple[np.ndarray, list[bytes]]:
     starts, ends = np.flatnonzero(turns == -1), np.flatnonzero(turns == 1)
     if not len(starts):
         return np.zeros(0, dtype=np.int64), []
+    breaks = raw[ends[:-1]] == 10
+    more = np.flatnonzero(starts[1:] - ends[:-1] > 1)
     lines = np.flatnonzero(raw == 10)
-    breaks = np.searchsorted(lines, starts[1:]) > np.searchsorted(lines, ends[:-1])
+    breaks[more] = np.searchsorted(lines, starts[1:][more]) > np.searchsorted(lines, ends[:-1][more])
     size = ends - starts
     low, high = _eight(raw, starts, size), _eight(raw, starts + 8, size - 8)
     # A word has no zero padding that is its own: its length is part of what tells it.
     name = run_hash(run_hash(run_hash(np.zeros_like(low), low), high), size.astype(np.uint64))
     number = np.zeros(len(starts), dtype=np.int64)
     short = np.flatnonzero(size <= 16)
-    _, first, number[short] = np.unique(name[short], return_index=True, return_inverse=True)
+    number[short], first = numbered(name[short])
     pick = short[first]
     if any((x[pick][number[short]] != x[short]).any() for x in (low, high, size)):
         short, pick = short[:0], pick[:0]  # two words have one hash: the dictionary tells all of them apart
@@ -144,11 +152,14 @@ def stripes_of(
     # Prefixes are numbered; ``first`` is where each stands for the first time.
     prefix, first = np.zeros(len(starts), dtype=np.int64), np.zeros(1, dtype=np.int64)
     for k in range(length - 1):
-        _, first, prefix = np.unique(prefix * size + code[starts + k], return_index=True, return_inverse=True)
+        prefix, first = numbered(prefix * size + code[starts + k])
     named = run[starts[first]] if length > 1 else np.zeros(1, dtype=np.uint64)
     cut = np.isin(named, wide) | (length == 1)
     part = np.r_[own % np.uint64(PARTS), np.uint64(0)].astype(np.int64)[after] * cut[prefix]
-    keys, counts = np.unique((prefix * PARTS + part) * (size + 1) + after + 1, return_counts=True)
+    keys = (prefix * PARTS + part) * (size + 1) + after + 1
+    entry, at = numbered(keys)
+    ordered = np.argsort(keys[at])
+    keys, counts = keys[at][ordered], np.bincount(entry)[ordered]
     rows, next_ = keys // (size + 1), keys % (size + 1)
     begins = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
     which, parts = rows[begins] // PARTS, rows[begins] % PARTS
@@ -244,13 +255,10 @@ def stripes(docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarra
     # Packed as they are, they need more memory than their size in the shuffle tells, so tasks are not joined by it.
     dealt = docs.mapInArrow(count, STRIPES).repartition(parts, "bucket")
     key = ["lang", "bucket", "prefix", "part"]
-
-    def listed(s: Column) -> Column:
-        entry = lambda w, n: F.struct(s["prefix"].alias("prefix"), s["part"].alias("part"), w.alias("word"), n.alias("n"))
-        return F.zip_with(F.split(s["words"], " "), s["counts"], entry)
-
-    entries = dealt.select("lang", "bucket", F.inline(F.flatten(F.transform("stripes", listed))))
-    entries = entries.groupBy(*key, "word").agg(F.sum("n").alias("n"))
+    each = dealt.select("lang", "bucket", F.inline("stripes"))
+    # No stripe is empty. "outer" keeps Spark from splitting the words once more to see that.
+    entries = each.select(*key, "counts", F.posexplode_outer(F.split("words", " ")).alias("_i", "word"))
+    entries = entries.groupBy(*key, "word").agg(F.sum(F.get("counts", F.col("_i"))).alias("n"))
     kept = F.when((F.col("n") >= least) & (F.col("word") != ""), F.struct("word", "n"))
     return entries.groupBy(*key).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("next")).drop("bucket")
 

@@ -190,6 +190,12 @@ def test_stripes_add_up(spark):
     assert second == {"a": (5, [("b", 3)]), "b": (3, [("a", 2)])}
 
 
+def test_stripes_are_taken_apart_once(spark):
+    rows = langs(spark, [("en", "a b a b")]).selectExpr("lang", "cast(text as binary) as text")
+    plan = collocations.stripes(rows, 1, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and plan.count("split(") == 1
+
+
 def test_long_texts_are_cut_between_pieces(monkeypatch):
     monkeypatch.setattr(collocations, "CHUNK", 20)
     text = b"one two three. four five six seven eight nine ten eleven, twelve"
