@@ -87,9 +87,14 @@ def stream_a_then_b_in_hop(spark: SparkSession, folder: str) -> DataFrame:
 
 def stepped(spark: SparkSession, folder: str, step: stepwise.Step, carry: str, name: str) -> DataFrame:
     """All rows of a step over the stored events, slice by slice."""
+    return stepwise.rows_of(spark, step_run(spark, folder, step, carry, name))
+
+
+def step_run(spark: SparkSession, folder: str, step: stepwise.Step, carry: str, name: str) -> str:
+    """The folder with what a step has written over the stored events."""
     run = work_dir(spark, name)
     run_to_end(stepwise.stepwise(sliced(spark, folder), step, carry, run, f"{run}/checkpoint"), in_slices=True)
-    return stepwise.rows_of(spark, run)
+    return run
 
 
 def stream_overlap_join_ab(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,12 +208,14 @@ def stream_seq_fsm_hop(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_proximity_named(spark: SparkSession, folder: str) -> DataFrame:
     pairs = places.watched_pairs(spark, folder)
-    near = replayed(
-        spark,
-        folder,
-        lambda s: named_proximity(with_location(s), pairs, "1 day", "6 hours", 1.0),
-        "proximity_named",
-    )
+    build = lambda located: named_proximity(located, pairs, "1 day", "6 hours", 1.0)
+    if in_slices(spark, folder):
+        step, still_open = stepwise.window_step(with_location, build, duration("1 day"))
+        layout = "event_id BIGINT, user_id BIGINT, ts TIMESTAMP, lat DOUBLE, lon DOUBLE"
+        run = step_run(spark, folder, step, layout, "proximity_named")
+        near = stepwise.rows_of(spark, run).unionByName(still_open(stepwise.carried(spark, run)))
+    else:
+        near = replayed(spark, folder, lambda s: build(with_location(s)), "proximity_named")
     return near.withColumn("distance", F.round("distance", 6))
 
 

@@ -25,13 +25,13 @@ def _store(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def _names(spark: SparkSession, path: str) -> list[str]:
+def names(spark: SparkSession, path: str) -> list[str]:
     store, where = _store(spark, path)
     return [s.getPath().getName() for s in store.listStatus(where)] if store.exists(where) else []
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
-    return sorted(int(n) for n in _names(spark, f"{path}/versions") if n.isdigit())
+    return sorted(int(n) for n in names(spark, f"{path}/versions") if n.isdigit())
 
 
 def parts(spark: SparkSession, path: str, version: int) -> list[tuple[int, str]]:
@@ -78,7 +78,7 @@ def add(changes: DataFrame, path: str, number: int, keys: list[str], fanout: int
     before = parts(spark, path, number - 1) if number else []
     wanted = {name for _, name in [*live, *before]}
     for folder, keep in (("parts", wanted), ("versions", {str(number), str(number - 1)})):
-        for old in _names(spark, f"{path}/{folder}"):
+        for old in names(spark, f"{path}/{folder}"):
             if old not in keep:
                 store, where = _store(spark, f"{path}/{folder}/{old}")
                 store.delete(where, True)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from pulseline.functions.temporal import micros
+from pulseline.streaming.changelog import names
 
 # (slice, carried) -> (rows, carry, *persisted)
 Step = Callable[[DataFrame, DataFrame], tuple[DataFrame, ...]]
@@ -71,11 +72,39 @@ def pair_step(slim: Callable[[DataFrame], DataFrame], pairs: Callable[[DataFrame
     return step
 
 
+def window_step(
+    slim: Callable[[DataFrame], DataFrame], windows: Callable[[DataFrame], DataFrame], size: int
+) -> tuple[Step, Callable[[DataFrame], DataFrame]]:
+    """Windows of ``size`` microseconds over what ``slim`` makes of a slice, as a step; and what gives those still open at the end.
+
+    ``windows`` computes them from a table, as a batch, with their ``window_end``. A window's row comes with the slice that
+    brings an event at its end or later. Events are carried as long as an open window may hold them.
+    """
+
+    def step(batch: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = slim(batch).select(*before.columns).where(F.col("ts").isNotNull())
+        newest = new.agg(F.max(micros(F.col("ts")))).first()[0]
+        if newest is None:  # nothing new: what was carried still waits
+            return windows(before.limit(0)), before
+        since = before.agg(F.max(micros(F.col("ts")))).first()[0]
+        known, end = before.unionByName(new), micros(F.col("window_end"))
+        over = end <= newest if since is None else (end <= newest) & (end > since)
+        return windows(known).where(over), known.where(micros(F.col("ts")) > newest - size)
+
+    def still_open(carry: DataFrame) -> DataFrame:
+        newest = carry.agg(F.max(micros(F.col("ts")))).first()[0]
+        return windows(carry).where(micros(F.col("window_end")) > (newest or 0))
+
+    return step, still_open
+
+
 def rows_of(spark: SparkSession, path: str) -> DataFrame:
     """All rows that ``stepwise`` has written."""
     return spark.read.parquet(f"{path}/rows").drop("batch")
 
 
-def carried(spark: SparkSession, path: str, number: int) -> DataFrame:
-    """What slice ``number`` has carried over."""
+def carried(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """What slice ``number`` has carried over, by default the last one."""
+    if number is None:
+        number = max(int(n) for n in names(spark, f"{path}/carry") if n.isdigit())
     return spark.read.parquet(f"{path}/carry/{number}")
