@@ -114,7 +114,7 @@ def tiled_join(
     return left.repartition(tasks, *keys).join(right.repartition(tasks, *keys).hint("merge"), keys).drop("_row", "_col")
 
 
-def _with(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+def attached(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with the other columns of ``table``, which has a row per key at most; NULL keys match too.
 
     Spark broadcasts the table if it measures it as small.
@@ -185,7 +185,7 @@ def _sliced(df: DataFrame, keys: list[str], ts: str, budget: Budget) -> DataFram
 
     if keys:
         hot = over_budget(df, keys).select(*keys, F.lit(True).alias("_hot"))
-        rows = _with(df, hot, keys).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+        rows = attached(df, hot, keys).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
     else:
         rows = df.withColumn("_hot", F.lit(True))
     rows = rows.withColumns(
@@ -202,7 +202,7 @@ def _sliced(df: DataFrame, keys: list[str], ts: str, budget: Budget) -> DataFram
         cut = over_budget(rows.where(crowded), path).select(*path, parts)
         scaled = F.col("_at") * F.col(f"_parts{level}")
         part = F.call_function("div", scaled, F.lit(width).cast("bigint"))
-        rows = _with(rows, cut, path).withColumns(
+        rows = attached(rows, cut, path).withColumns(
             {f"_s{level}": part, "_at": F.pmod(scaled, F.lit(width))}
         )
         path, crowded = [*path, f"_s{level}"], F.col(f"_parts{level}").isNotNull()

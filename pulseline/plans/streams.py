@@ -19,7 +19,7 @@ from pulseline.plans.registry import A, B, C, D, Query
 from pulseline.session import shared_root, work_dir
 from pulseline.sources import slices
 from pulseline.sources.tables import events, events_stream, load, with_location
-from pulseline.streaming import automata, changelog, facts, keyed, sinks, stepwise, windowed
+from pulseline.streaming import automata, changelog, devices, facts, keyed, sinks, stepwise, windowed
 from pulseline.streaming.replay import disorder, replay, run_to_end
 
 # Files per micro-batch of the streams of files; None takes all at once. The rows do not depend on it.
@@ -305,14 +305,16 @@ def stream_alert_topics(spark: SparkSession, folder: str) -> DataFrame:
 
 def kept_facts(spark: SparkSession, folder: str) -> DataFrame:
     """What a stream keeps of each device for the event report's questions."""
-    run = work_dir(spark, "facts")
-    ordered = in_slices(spark, folder)
-    stream = sliced(spark, folder) if ordered else source(spark, folder)
-    stream = stream.withWatermark("ts", "0 seconds" if ordered else disorder(events(spark, folder)))
     types = sorted({t for p in patterns.PATTERNS for t in p})
-    updates = facts.device_facts(stream, basics.EVAL_RULES, [(A, B, "24 hours"), (A, A, "7 days")], types)
+    asked = (basics.EVAL_RULES, [(A, B, "24 hours"), (A, A, "7 days")], types)
+    if in_slices(spark, folder):
+        run = step_run(spark, folder, devices.facts_step(*asked), devices.FACTS_CARRY, "facts")
+        return devices.facts_of(stepwise.carried(spark, run))
+    run = work_dir(spark, "facts")
+    stream = source(spark, folder).withWatermark("ts", disorder(events(spark, folder)))
+    updates = facts.device_facts(stream, *asked)
     writer = updates.writeStream.format("parquet").option("path", f"{run}/out")
-    run_to_end(writer.option("checkpointLocation", f"{run}/checkpoint"), ordered)
+    run_to_end(writer.option("checkpointLocation", f"{run}/checkpoint"))
     return facts.kept(spark, f"{run}/checkpoint")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pulseline.operators import evaluation, filters, joins, liveness
 from pulseline.sources import slices
 from pulseline.sources.rules import EvalRule
-from pulseline.streaming import facts, keyed
+from pulseline.streaming import devices, facts, keyed, stepwise
 from pulseline.streaming.replay import replay, run_to_end
 
 T0 = datetime(2024, 1, 1)
@@ -102,3 +102,24 @@ def test_silences_are_counted_by_timers(spark, tmp_path):
         stream = stream.withColumn("ts", stream["ts"].cast("timestamp"))
         got = replay(spark, stream, keyed.stream_liveness_steps, "t", close=False, in_slices=True)
         same(got, want)
+
+
+def stepped(spark, stored, tmp_path, step, carry, rows):
+    stream = slices.slice_stream(spark, stored, str(tmp_path / "plan"), slice_rows=rows)
+    stream = stream.withColumn("ts", stream["ts"].cast("timestamp"))
+    run_to_end(stepwise.stepwise(stream, step, carry, str(tmp_path / "run"), str(tmp_path / "state")), in_slices=True)
+    return str(tmp_path / "run")
+
+
+@pytest.mark.parametrize("rows", [150, 10_000])
+def test_carried_facts_answer_like_the_batch(spark, feed, tmp_path, rows):
+    path = stepped(spark, feed, tmp_path, devices.facts_step(RULES, WATCHED, list("abcd")), devices.FACTS_CARRY, rows)
+    carry = stepwise.carried(spark, path)
+    # At most a device's last times, newest samples and the events within reach, not its history.
+    assert carry.where("role = 'recent'").count() < feed.where("event_type in ('b', 'c')").count() / 2
+    known, stored = devices.facts_of(carry), feed.withColumn("ts", feed["ts"].cast("timestamp"))
+    same(facts.rules_now(known, RULES), evaluation.evaluate_rules(stored, RULES))
+    hits = joins.lookback(stored, "a", "b", "50 seconds").select("user_id", "event_id", "ts", "anchor_ts")
+    same(facts.lookback_now(known, "a", "b", "50 seconds"), hits)
+    same(facts.frequency_now(known, "c", 2, "2 minutes"), joins.frequency_lookback(stored, "c", 2, "2 minutes"))
+    same(facts.last_seen_now(known, list("abcd")), filters.last_seen(stored, list("abcd")))

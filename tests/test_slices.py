@@ -126,11 +126,12 @@ def test_pairs_over_many_slices(spark, monkeypatch, name):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["proximity_named"])
+@pytest.mark.parametrize("name", ["proximity_named", "lookback_b_before_a"])
 def test_answers_over_many_slices(spark, folder, monkeypatch, name):
     """What is open or kept goes on from slice to slice, and no device is asked through a state store."""
     monkeypatch.setattr(slices, "SLICE_ROWS", 300)
     monkeypatch.setattr(streams, "replayed", None)
+    monkeypatch.setattr(streams.facts, "device_facts", None)
     got = streams.QUERIES[f"stream_{name}"](spark, folder)
     want = QUERIES[name](spark, folder).select(*got.columns)
     assert want.count() > 0
