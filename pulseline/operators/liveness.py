@@ -68,6 +68,17 @@ def silence_steps(tick: str) -> list[tuple[int, str, int]]:
     return [(n * duration(tick), status, lost) for n, status, lost in SILENCE_STEPS]
 
 
+def stages(tick: str, last_seen: Column, until: Column, given: Column | None = None) -> Column:
+    """The stages of a silence from ``last_seen`` to ``until``, as an array; without the first ``given`` ones."""
+    length = micros(until) - micros(last_seen)
+    found = []
+    for i, (after, status, lost) in enumerate(silence_steps(tick)):
+        due = length >= after if given is None else (length >= after) & (given <= i)
+        since = at(micros(last_seen) + after).alias("since")
+        found.append(F.when(due, F.struct(since, F.lit(status).alias("status"), F.lit(lost).alias("lost_time"))))
+    return F.array_compact(F.array(*found))
+
+
 def liveness_steps(
     df: DataFrame,
     tick: str = "1 second",
@@ -83,19 +94,7 @@ def liveness_steps(
     with nothing lost any more, at 243. Any event ends a silence. An event without a time is none.
     """
     silences = _silences(df.where(F.col(ts).isNotNull()), as_of, device, ts, tie, budget)
-    length = micros(F.col("_until")) - micros(F.col("last_seen"))
-    stages = [
-        F.when(
-            length >= after,
-            F.struct(
-                at(micros(F.col("last_seen")) + after).alias("since"),
-                F.lit(status).alias("status"),
-                F.lit(lost).alias("lost_time"),
-            ),
-        )
-        for after, status, lost in silence_steps(tick)
-    ]
-    return silences.select(device, "last_seen", F.inline(F.array_compact(F.array(*stages))))
+    return silences.select(device, "last_seen", F.inline(stages(tick, F.col("last_seen"), F.col("_until"))))
 
 
 def flag_late(

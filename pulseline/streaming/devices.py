@@ -14,14 +14,39 @@ from pyspark.sql import functions as F
 
 from pulseline.functions.temporal import duration, micros
 from pulseline.operators.evaluation import deepest, whole_value
-from pulseline.operators.skew import attached
+from pulseline.operators.liveness import silence_steps, stages
+from pulseline.operators.skew import DEFAULT, Budget, attached, with_previous
 from pulseline.sources.rules import EvalRule
 from pulseline.streaming.facts import Watch
 from pulseline.streaming.stepwise import Step
 
+SILENCE_CARRY = "user_id BIGINT, ts TIMESTAMP, event_id BIGINT, given INT"
 FACTS_CARRY = "user_id BIGINT, role STRING, event_type STRING, at BIGINT, event_id BIGINT, whole BIGINT"
 
 
+def silence_step(tick: str = "1 second", budget: Budget = DEFAULT) -> Step:
+    """The stages of silences, as ``liveness.liveness_steps`` has them, each with the slice after which it is due.
+
+    A device's last event is carried, with how many stages of the silence after it have been given.
+    """
+
+    def step(events: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
+        new = events.where(F.col("ts").isNotNull()).select("user_id", "ts", "event_id", F.lit(0).alias("given"))
+        known = before.unionByName(new)
+        beats = with_previous(known, ["ts", "given"], ["user_id"], budget=budget).where(F.col("prev_1").isNotNull())
+        between = beats.select("user_id", F.col("prev_1.ts").alias("last_seen"), F.col("ts").alias("until"), "prev_1.given")
+        last = known.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "given")).alias("last")).select("user_id", "last.*")
+        now = F.lit(known.agg(F.max("ts")).first()[0]).cast("timestamp")
+        trailing = last.select("user_id", F.col("ts").alias("last_seen"), now.alias("until"), "given")
+        silences = between.unionByName(trailing)
+        rows = silences.select("user_id", "last_seen", F.inline(stages(tick, F.col("last_seen"), F.col("until"), F.col("given"))))
+        quiet = micros(now) - micros(F.col("ts"))
+        given = reduce(lambda a, b: a + b, [(quiet >= after).cast("int") for after, _, _ in silence_steps(tick)])
+        return rows, last.withColumn("given", given)
+
+    return step
+
+
 def facts_step(rules: list[EvalRule], watched: list[Watch], types: list[str]) -> Step:
     """The facts that ``facts.device_facts`` keeps, carried as rows; the step's rows say how many events a device has had.
 

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from pulseline.operators import evaluation, filters, joins, liveness
+from pulseline.operators.skew import Budget
 from pulseline.sources import slices
 from pulseline.sources.rules import EvalRule
 from pulseline.streaming import devices, facts, keyed, stepwise
@@ -123,3 +124,12 @@ def test_carried_facts_answer_like_the_batch(spark, feed, tmp_path, rows):
     same(facts.lookback_now(known, "a", "b", "50 seconds"), hits)
     same(facts.frequency_now(known, "c", 2, "2 minutes"), joins.frequency_lookback(stored, "c", 2, "2 minutes"))
     same(facts.last_seen_now(known, list("abcd")), filters.last_seen(stored, list("abcd")))
+
+
+@pytest.mark.parametrize(("rows", "hot"), [(150, False), (10_000, False), (300, True)])
+def test_silences_by_slices_are_those_of_the_batch(spark, feed, tmp_path, rows, hot):
+    step = devices.silence_step("100 milliseconds", *([Budget(rows=20, slice="10 seconds")] if hot else []))
+    path = stepped(spark, feed, tmp_path, step, devices.SILENCE_CARRY, rows)
+    stored = feed.withColumn("ts", feed["ts"].cast("timestamp"))
+    same(stepwise.rows_of(spark, path), liveness.liveness_steps(stored, "100 milliseconds"))
+    assert stepwise.carried(spark, path).count() == feed.select("user_id").distinct().count()

@@ -126,7 +126,7 @@ def test_pairs_over_many_slices(spark, monkeypatch, name):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["proximity_named", "lookback_b_before_a"])
+@pytest.mark.parametrize("name", ["proximity_named", "lookback_b_before_a", "liveness_steps"])
 def test_answers_over_many_slices(spark, folder, monkeypatch, name):
     """What is open or kept goes on from slice to slice, and no device is asked through a state store."""
     monkeypatch.setattr(slices, "SLICE_ROWS", 300)
