@@ -2,8 +2,9 @@
 
 A stripe is a prefix with an associative counter of the words that follow it. Tasks count stripes over
 stretches of text, and stripes of one prefix are merged elementwise. The merged stripe holds all that is asked: its
-entries are the counts of the prefix's extensions, their sum (with what follows rarely, or nothing, under the
-empty word) is the count of the prefix, and the largest entry tells what the prefix is subsumed by.
+entries are the counts of the prefix's extensions, and the largest entry tells what the prefix is subsumed by. On request
+what follows rarely, or nothing, is counted under the empty word, so that the sum is the count of the prefix; the query does
+without, as that count is an entry one length before.
 
 Stripes are merged length by length. A phrase can only be frequent if the phrases without its last
 and without its first word are; a filter of fixed size over the frequent ones of the length before, which may let
@@ -125,7 +126,7 @@ def coded(data: bytes) -> tuple[np.ndarray, list[bytes]]:
 
 
 def stripes_of(
-    lang: str, data: bytes, length: int, bits: np.ndarray | None, wide: np.ndarray, buckets: int
+    lang: str, data: bytes, length: int, bits: np.ndarray | None, wide: np.ndarray, buckets: int, totals: bool = True
 ) -> pa.RecordBatch | None:
     """The stripes of the prefixes of ``length - 1`` words in a stretch of text, as rows of ``STRIPES``."""
     code, vocab = coded(data)
@@ -145,7 +146,7 @@ def stripes_of(
             run = run_hash(run, hashes[k : n + 1 + k])
             whole &= code[k : n + 1 + k] >= 0
         frequent = whole & passes(bits, run)
-        starts = np.flatnonzero(frequent[:n])
+        starts = np.flatnonzero(frequent[:n] if totals else frequent[:n] & frequent[1:])
         after = np.where(frequent[starts + 1], follows[starts], -1)
     if not len(starts):
         return None
@@ -217,12 +218,15 @@ def phrase_slots(lang: pd.Series, phrase: pd.Series) -> list:
     return np.stack([s.astype(np.int64) for s in slots(run)], 1).tolist() if words else []
 
 
-def stripes(docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarray | None = None) -> DataFrame:
+def stripes(
+    docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarray | None = None, totals: bool = True
+) -> DataFrame:
     """Merged stripes of all prefixes of ``length - 1`` words that may be frequent.
 
     ``lang``, ``prefix``, ``part`` (0, or of a wide prefix one of ``PARTS`` by the next word), ``total`` (of all
-    entries) and ``next``: the entries of at least ``least``, ``word`` and ``n``. Text of any length is taken
-    in stretches; a task's stripes are merged by Spark's aggregation, which spills.
+    entries) and ``next``: the entries of at least ``least``, ``word`` and ``n``. Without ``totals`` a stripe with no such
+    entry is left out, and ``total`` is of those entries only: where a prefix goes on rarely nothing is passed on at all.
+    Text of any length is taken in stretches; a task's stripes are merged by Spark's aggregation, which spills.
     """
     wide = np.zeros(0, dtype=np.uint64) if wide is None else wide
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -235,7 +239,7 @@ def stripes(docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarra
         def passed(lang: str) -> Iterator[pa.RecordBatch]:
             sizes.pop(lang)
             for data in pieces(held.pop(lang)):
-                out = stripes_of(lang, data, length, bits.value if bits else None, wide, buckets)
+                out = stripes_of(lang, data, length, bits.value if bits else None, wide, buckets, totals)
                 if out is not None:
                     yield out
 
@@ -259,6 +263,8 @@ def stripes(docs: DataFrame, length: int, least: int, bits=None, wide: np.ndarra
     # No stripe is empty. "outer" keeps Spark from splitting the words once more to see that.
     entries = each.select(*key, "counts", F.posexplode_outer(F.split("words", " ")).alias("_i", "word"))
     entries = entries.groupBy(*key, "word").agg(F.sum(F.get("counts", F.col("_i"))).alias("n"))
+    if not totals:
+        entries = entries.where((F.col("n") >= least) & (F.col("word") != ""))
     kept = F.when((F.col("n") >= least) & (F.col("word") != ""), F.struct("word", "n"))
     return entries.groupBy(*key).agg(F.sum("n").alias("total"), F.collect_list(kept).alias("next")).drop("bucket")
 
@@ -277,8 +283,8 @@ COVERED = "cast({longer} as decimal(28,0)) * 100 >= cast({a} as decimal(28,0)) *
 
 def _ranked(levels: list[DataFrame], words: DataFrame, longest: int, covered: int, top: int) -> DataFrame:
     """The ranked phrases from the merged stripes of all lengths, and the words of each language."""
-    counts = reduce(DataFrame.unionByName, [m.select("lang", "prefix", "total") for m in levels[1:]])
-    counts = counts.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("total").alias("f"))
+    # A part of a frequent phrase is frequent itself, so its count is an entry of a shorter length.
+    counts = reduce(DataFrame.unionByName, [extensions(m) for m in levels[:-1]]).withColumnRenamed("n", "f")
     found = reduce(DataFrame.unionByName, [extensions(m) for m in levels[1:]])
     word = F.split("phrase", " ")
     # Each way to cut a phrase asks for the counts of its two parts.
@@ -353,7 +359,7 @@ def collocations(docs: DataFrame, longest: int = 4, least: int = 30, covered: in
     )
     levels, bits, wide = [], None, None
     for length in range(1, longest + 1):
-        merged = saved(stripes(rows, length, least, bits, wide), f"stripes{length}")
+        merged = saved(stripes(rows, length, least, bits, wide, totals=length == 1), f"stripes{length}")
         levels.append(merged)
         if length == 1:
             words = merged.groupBy("lang").agg(F.sum("total").alias("n"))

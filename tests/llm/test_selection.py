@@ -196,6 +196,32 @@ def test_stripes_are_taken_apart_once(spark):
     assert "lambdafunction" not in plan and plan.count("split(") == 1
 
 
+def test_stripes_of_what_goes_on_rarely_are_not_passed_on(spark, monkeypatch):
+    """"a b" comes up often, but nothing that starts with "b" does: no stripe of three words can hold a frequent phrase."""
+    passed, saved = {}, collocations.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        passed[name] = out.count()
+        return out
+
+    monkeypatch.setattr(collocations, "saved", counted)
+    rows = [("en", f"a b x{i}.") for i in range(40)]
+    how = {"longest": 4, "least": 30, "covered": 80, "top": 10}
+    assert mined(spark, rows, **how) == collocated(rows, *how.values()) == [("en", 1, "a b", 40, 40, 40, 120, 1_000_000)]
+    assert passed["stripes2"] == 1 and passed["stripes3"] == passed["stripes4"] == 0
+
+
+def test_stripes_without_totals_have_the_same_frequent_entries(spark):
+    rng = random.Random(5)
+    texts = [("en", " ".join(rng.choice(["a", "b", "c", f"x{i}", "d."]) for _ in range(30))) for i in range(60)]
+    rows = langs(spark, texts).selectExpr("lang", "cast(text as binary) as text")
+    bits = collocations._broadcast(spark, collocations.extensions(collocations.stripes(rows, 1, 20)))
+    with_, without = (collocations.stripes(rows, 2, 20, bits, totals=t) for t in (True, False))
+    found = [sorted(tuple(r) for r in collocations.extensions(s).collect()) for s in (with_, without)]
+    assert found[0] == found[1] and len(found[0]) > 5 and without.count() < with_.count()
+
+
 def test_long_texts_are_cut_between_pieces(monkeypatch):
     monkeypatch.setattr(collocations, "CHUNK", 20)
     text = b"one two three. four five six seven eight nine ten eleven, twelve"
