@@ -85,3 +85,11 @@ def test_copied_rows_are_not_broadcast(spark, folder, name):
 def test_axis_pairs_are_not_joined_with_pairs(spark, folder):
     """Pairs close on one axis alone are never made: rows become pairs once, at the end."""
     assert plan(spark, folder, "axis_pair_join").count("inline(") == 1
+
+
+@pytest.mark.parametrize("name", ["overlap_join_ab", "overlap_join_tiled"])
+def test_times_of_pairs_are_made_per_event(spark, folder, name):
+    """What a pair of lifetimes costs is compared, not made: times have their ends and their type before the join."""
+    plan_ = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan_[: plan_.index("Join ")]
+    assert "greatest(" in above and not re.search(r"cast\(|timestamp_micros", above)
