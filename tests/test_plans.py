@@ -87,6 +87,15 @@ def test_axis_pairs_are_not_joined_with_pairs(spark, folder):
     assert plan(spark, folder, "axis_pair_join").count("inline(") == 1
 
 
+@pytest.mark.parametrize("name", ["radius_pairs", "geo_report"])
+def test_a_distance_is_measured_once(spark, folder, name):
+    """The join tells near pairs without an arc; where rounding could matter, and for the result, it is taken once each."""
+    plan_ = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString().split("list_in_radius")[0]
+    join = next(line for line in plan_.splitlines() if "Join Inner" in line and "_lx" in line)
+    assert "CASE WHEN" not in join[: join.index("_lx")] and "round(" not in join
+    assert sum("round(" in line and "_llat" in line for line in plan_.splitlines()) == 1
+
+
 @pytest.mark.parametrize("name", ["overlap_join_ab", "overlap_join_tiled"])
 def test_times_of_pairs_are_made_per_event(spark, folder, name):
     """What a pair of lifetimes costs is compared, not made: times have their ends and their type before the join."""

@@ -165,6 +165,21 @@ def test_pairs_within(spark, radius_km, budget):
     assert sorted((r["left_id"], r["right_id"]) for r in got) == sorted(want)
 
 
+def test_pairs_within_of_repeated_and_unnamed_objects(spark):
+    """Both ways, however often an id comes up or is missing; distances have the same bits both ways."""
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, 2, 3, None]), 40 + rng.uniform(-0.1, 0.1), -105 + rng.uniform(-0.1, 0.1)) for _ in range(25)]
+    df = spark.createDataFrame(rows, "user_id long, lat double, lon double")
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    for include_self in (True, False):
+        got = geo.pairs_within(df, "10 km", include_self=include_self).collect()
+        near = [(a[0], b[0]) for a in rows for b in rows if haversine(a[1:], b[1:]) <= 10_000]
+        want = [p for p in near if include_self or None not in p and p[0] != p[1]]
+        assert sorted(((r["left_id"], r["right_id"]) for r in got), key=key) == sorted(want, key=key)
+        ways = [{r["distance_m"] for r in got if (r["left_id"], r["right_id"]) == p} for p in ((1, 3), (3, 1))]
+        assert ways[0] == ways[1] != set()
+
+
 @pytest.mark.parametrize("budget", [Budget(), Budget(4)])
 def test_box_and_axis_pairs(spark, budget):
     rng = random.Random(8)
