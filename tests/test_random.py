@@ -149,6 +149,13 @@ def haversine(a, b):
     return 2 * EARTH_RADIUS_M * math.asin(math.sqrt(min(h, 1.0)))
 
 
+def test_one_key_of_nine_million_pairs_is_no_single_task(spark):
+    left, right = (spark.range(3_000).selectExpr(f"id as {side}", "id div 100000 as k") for side in "ab")
+    pairs = skew.tiled_join(left, right, ["k"], ["a"], ["b"]).select(F.spark_partition_id().alias("task"), "a", "b")
+    each = [r["n"] for r in pairs.groupBy("task").agg(F.count("a").alias("n"), F.sum("b")).collect()]
+    assert sum(each) == 9_000_000 and max(each) < 8_000_000
+
+
 @pytest.mark.parametrize("radius_km", [1, 40, 300, 3000, 9000, 25000])
 @pytest.mark.parametrize("budget", [Budget(), Budget(3)])
 def test_pairs_within(spark, radius_km, budget):
