@@ -48,3 +48,8 @@ def test_rows_are_not_moved_to_learn_their_tiles(spark):
             assert plan.index("Join") == plan.index("BroadcastHashJoin") + len("BroadcastHash")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("name", ["overlap_join_ab", "overlap_join_tiled"])
+def test_ends_of_lifetimes_are_not_moved(spark, folder, name):
+    assert "left_from" not in moved(spark, folder, name)
