@@ -53,3 +53,12 @@ def test_rows_are_not_moved_to_learn_their_tiles(spark):
 @pytest.mark.parametrize("name", ["overlap_join_ab", "overlap_join_tiled"])
 def test_ends_of_lifetimes_are_not_moved(spark, folder, name):
     assert "left_from" not in moved(spark, folder, name)
+
+
+@pytest.mark.parametrize(("name", "joins"), [("proximity_box", 1)])
+def test_rows_are_copied_into_cells_where_they_meet(spark, folder, name, joins):
+    """Each side is moved once per join, and copied above that shuffle, not below it."""
+    text = tree(spark, folder, name)
+    pieces = text.split("SortMergeJoin")[1:]
+    assert len(pieces) == joins and all("Generate" in p[: p.index("Exchange")] for p in pieces)
+    assert len(re.findall(r"Exchange", text)) == 2 * joins
