@@ -55,6 +55,12 @@ def test_ends_of_lifetimes_are_not_moved(spark, folder, name):
     assert "left_from" not in moved(spark, folder, name)
 
 
+@pytest.mark.parametrize("name", ["radius_pairs", "geo_report"])
+def test_points_on_the_sphere_are_not_moved(spark, folder, name):
+    below = moved(spark, folder, name)
+    assert "_lx" not in below and "_llat" in below
+
+
 @pytest.mark.parametrize(("name", "joins"), [("proximity_box", 1), ("axis_pair_join", 3)])
 def test_rows_are_copied_into_cells_where_they_meet(spark, folder, name, joins):
     """Each side is moved once per join, and copied above that shuffle, not below it."""
