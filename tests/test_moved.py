@@ -68,3 +68,20 @@ def test_rows_are_copied_into_cells_where_they_meet(spark, folder, name, joins):
     pieces = text.split("SortMergeJoin")[1:]
     assert len(pieces) == joins and all("Generate" in p[: p.index("Exchange")] for p in pieces)
     assert len(re.findall(r"Exchange", text)) == 2 * joins
+
+
+@pytest.mark.parametrize(
+    ("name", "columns"),
+    [("overlap_join_ab", ["event_id", "ts", "event_type"]), ("proximity_box", ["event_id", "user_id", "ts", "lat", "lon"])],
+)
+def test_a_slice_is_held_without_what_pairs_do_not_need(spark, folder, monkeypatch, name, columns):
+    class Seen(Exception):
+        pass
+
+    def spy(stream, *rest):
+        raise Seen(stream.columns)
+
+    monkeypatch.setattr(streams.stepwise, "stepwise", spy)
+    with pytest.raises(Seen) as seen:
+        QUERIES[f"stream_{name}"](spark, folder)
+    assert seen.value.args[0] == columns
